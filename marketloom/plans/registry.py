@@ -33,14 +33,14 @@ def r6(value: Column | str, digits: int = 6) -> Column:
     return F.round(col.cast("double"), digits)
 
 
-def published(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles and render dates and timestamps as text for publication."""
+def published(df: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Round doubles (unless ``digits`` is None) and render dates and times as text."""
     out = []
     for field in df.schema.fields:
         kind = field.dataType.simpleString()
         c = F.col(field.name)
         if kind == "double":
-            c = F.round(c, digits)
+            c = c if digits is None else F.round(c, digits)
         elif kind == "date":
             c = F.date_format(c, "yyyy-MM-dd")
         elif kind in ("timestamp", "timestamp_ntz"):
