@@ -107,7 +107,7 @@ def next_open(df: DataFrame, sessions: DataFrame, ts: str = "ts") -> DataFrame:
     span = sessions.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"))
     days = span.select(F.explode(F.expr("sequence(date_sub(a, 7), b)")).alias("day"))
     every = days.join(sessions.select(F.col("session_date").alias("day"), "open_at", "close_at"), "day", "left")
-    # A calendar is one small group; its months partition the forward search with a halo.
+    # One row per calendar day: this window sees thousands of rows at most.
     ahead = Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
     every = every.withColumn("later_open", F.first("open_at", ignorenulls=True).over(ahead))
     j = df.withColumn("day", F.to_date(ts)).join(bounded_broadcast(every), "day", "left")

@@ -26,7 +26,7 @@ vendor AS (
   FROM lineitem),
 daily AS (
   SELECT p_brand AS asset, CAST(l_shipdate AS DATE) AS d,
-         round(avg(l_extendedprice / l_quantity), 10) AS px,
+         round(avg(l_extendedprice / l_quantity), 8) AS px,
          max(l_extendedprice / l_quantity) AS hi, min(l_extendedprice / l_quantity) AS lo,
          sum(l_quantity) AS vol, count(*) AS n
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),

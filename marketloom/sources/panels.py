@@ -100,7 +100,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("p_brand").alias("asset"), "d")
         .agg(
-            F.round(F.avg("px"), 10).alias("px"),
+            F.round(F.avg("px"), 8).alias("px"),
             F.max("px").alias("hi"),
             F.min("px").alias("lo"),
             F.sum("l_quantity").alias("vol"),
