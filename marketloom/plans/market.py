@@ -506,7 +506,7 @@ def join14(spark, sf):
 @query("join15_attribution", PANELS + """, f AS (SELECT p_brand AS asset, CAST(year(l_shipdate) AS BIGINT) AS fold, CAST(month(l_shipdate) AS BIGINT) AS session,
     sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * l_extendedprice) AS outflow, sum(l_extendedprice * l_tax) AS fees, sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * l_quantity) AS q
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
-px AS (SELECT asset, CAST(year(d) AS BIGINT) AS fold, CAST(month(d) AS BIGINT) AS session, arg_max(px, d) AS px FROM daily GROUP BY 1, 2, 3),
+px AS (SELECT asset, CAST(year(d) AS BIGINT) AS fold, CAST(month(d) AS BIGINT) AS session, floor(arg_max(px, d)) AS px FROM daily GROUP BY 1, 2, 3),
 ps AS (SELECT *, sum(q) OVER (PARTITION BY asset, fold ORDER BY session) * px AS mv FROM f JOIN px USING (asset, fold, session)),
 l AS (SELECT *, coalesce(lag(mv) OVER (PARTITION BY asset, fold ORDER BY session), 0) AS mv_prev FROM ps)
 SELECT asset, fold, session, round(mv, 6) + 0.0 AS mv, round(mv_prev, 6) + 0.0 AS mv_prev, round(mv - mv_prev - outflow - fees, 6) + 0.0 AS pnl, outflow > 20000 AS decided FROM l""")
@@ -516,7 +516,7 @@ def join15(spark, sf):
     keys = ["asset", "fold", "session"]
     f = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("asset"), F.year("l_shipdate").alias("fold"), F.month("l_shipdate").alias("session")).agg(
         F.sum(sign * F.col("l_extendedprice")).alias("outflow"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("fees"), F.sum(sign * F.col("l_quantity")).alias("q"))
-    px = daily(spark, sf).groupBy("asset", F.year("d").alias("fold"), F.month("d").alias("session")).agg(F.max_by("px", "d").alias("px"))
+    px = daily(spark, sf).groupBy("asset", F.year("d").alias("fold"), F.month("d").alias("session")).agg(F.floor(F.max_by("px", "d")).cast("double").alias("px"))
     w = Window.partitionBy("asset", "fold").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
     pos = f.join(px, keys).select(*keys, (F.sum("q").over(w) * F.col("px")).alias("market_value"))
     decisions = f.where("outflow > 20000").select(*keys, F.col("outflow").alias("target"))
