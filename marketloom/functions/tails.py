@@ -12,24 +12,25 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _map(series: pd.Series, fn) -> pd.Series:
     return series.map(lambda v: None if v is None or np.isnan(v) else fn(float(v))).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|)."""
     return _map(z, lambda v: math.erfc(abs(v) / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return _map(z, lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return _map(p, lambda v: NormalDist().inv_cdf(v) if 0.0 < v < 1.0 else math.nan)
 
@@ -90,7 +91,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * h / a
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_upper(stat: pd.Series, dof: pd.Series) -> pd.Series:
     """P(chi-square with ``dof`` degrees >= stat)."""
     out = [
@@ -100,7 +101,7 @@ def chi2_upper(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_upper(t: pd.Series, dof: pd.Series) -> pd.Series:
     """P(T with ``dof`` degrees >= t)."""
     out = []

@@ -105,7 +105,7 @@ def declared_pairs(panel: DataFrame, keys: Sequence[str], features: Sequence[str
     """One row per declared feature pair with both values; pairs come from the columns."""
     names = sorted(features)
     pairs = [
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("a"), F.col(b).alias("b"))
+        F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a).alias("a"), F.col(b).alias("b"))
         for i, a in enumerate(names)
         for b in names[i + 1 :]
     ]
@@ -116,7 +116,7 @@ def declared_pairs(panel: DataFrame, keys: Sequence[str], features: Sequence[str
 def pair_rank_correlation(panel: DataFrame, ts: str, features: Sequence[str], minimum: int) -> DataFrame:
     """Rank correlation per timestamp and pair, ranked inside the pair's intersection."""
     d = declared_pairs(panel, [ts], features)
-    by = [ts, "left", "right"]
+    by = [ts, "factor_a", "factor_b"]
     d = d.select(*by, average_rank("a", by).alias("ra"), average_rank("b", by).alias("rb"))
     g = d.groupBy(*by).agg(F.count("*").alias("breadth"), correlation("ra", "rb").alias("rho"))
     return g.where(F.col("breadth") >= minimum)
@@ -178,7 +178,7 @@ def robustness(means: DataFrame, by: Sequence[str], slices: Sequence[str], gate:
 
 def similarity_by_state(rho: DataFrame, probabilities: DataFrame, ts: str) -> DataFrame:
     """State-weighted mean of a per-timestamp statistic. probabilities: ts, state, p."""
-    return rho.join(probabilities, ts).groupBy("left", "right", "state").agg(weighted_mean("rho", "p").alias("similarity"))
+    return rho.join(probabilities, ts).groupBy("factor_a", "factor_b", "state").agg(weighted_mean("rho", "p").alias("similarity"))
 
 
 # --- portfolios of one factor ---------------------------------------------------------
@@ -223,10 +223,10 @@ def return_summary(df: DataFrame, by: Sequence[str], ret: str, order: str, annua
 def strategy_correlation(wide: DataFrame, strategies: Sequence[str]) -> DataFrame:
     """Correlation of declared return columns over days; an unresolved day gives NULL."""
     d = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("a"), F.col(b).alias("b"))
+        F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a).alias("a"), F.col(b).alias("b"))
         for i, a in enumerate(sorted(strategies)) for b in sorted(strategies)[i + 1 :]
     ])).alias("p")).select("p.*")
-    return d.groupBy("left", "right").agg(
+    return d.groupBy("factor_a", "factor_b").agg(
         F.count("*").alias("days"),
         F.when(F.count_if(F.col("a").isNull() | F.col("b").isNull()) == 0, correlation("a", "b")).alias("rho"),
     )
@@ -270,11 +270,11 @@ def greedy_selection(scores: DataFrame, rho: DataFrame, family: str, limit: int,
     """Best-first selection skipping candidates close to one already chosen.
 
     Inherently ordered, so it runs once per family on aggregated scores (tens of rows).
-    scores: family, candidate, score; rho: family, left, right, rho.
+    scores: family, candidate, score; rho: family, factor_a, factor_b, rho.
     """
 
     def pick(s: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        near = {(a, b): abs(v) for a, b, v in zip(r["left"], r["right"], r["rho"]) if v is not None}
+        near = {(a, b): abs(v) for a, b, v in zip(r["factor_a"], r["factor_b"], r["rho"]) if v is not None}
         chosen: list[tuple] = []
         for row in s[s["score"] > 0].sort_values(["score", "candidate"], ascending=[False, True]).itertuples():
             if len(chosen) == limit:
