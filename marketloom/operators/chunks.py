@@ -124,3 +124,16 @@ def asof_backward(
         F.col("_hit._rts").alias("matched_ts"),
         *[F.col(f"_hit.{p}").alias(p) for p in payload],
     )
+
+
+def running_max(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: str, chunk: Column, name: str
+) -> DataFrame:
+    """Largest ``value`` strictly before each row; NULL on the first row of a key."""
+    d = df.withColumn(CHUNK, chunk)
+    tops = d.groupBy(*by, CHUNK).agg(F.max(value).alias("_t"))
+    before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    base = tops.select(*by, CHUNK, F.max("_t").over(before).alias("_base"))
+    inside = Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = d.withColumn("_run", F.max(value).over(inside)).join(base, [*by, CHUNK])
+    return out.withColumn(name, F.greatest("_run", "_base")).drop(CHUNK, "_run", "_base")
