@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import Col, as_col
@@ -31,7 +31,14 @@ def jaccard(left: Column, right: Column) -> Column:
     """Set similarity; two empty sets are alike, one empty set is not."""
     a, b = F.size(left), F.size(right)
     both = F.size(F.array_intersect(left, right))
-    return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(both / F.size(F.array_union(left, right)))
+    # Inputs are sets, so the union follows from the sizes.
+    return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(both / (a + b - both))
+
+
+def token_literal(spark: SparkSession, text: str) -> Column:
+    """Tokens of one statement as a literal array, so that rows do not repeat the work."""
+    row = spark.range(1).select(tokens(F.lit(text)).alias("t")).first()
+    return F.array(*[F.lit(t) for t in row["t"]]).cast("array<string>")
 
 
 def content_id(columns: Sequence[str], prefix: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import FLAT, Col, as_col, average_rank, clip
+from marketloom.settings import cut_lineage
 
 
 def over(by: Sequence[str]):
@@ -150,14 +151,20 @@ def spread_and_monotonicity(df: DataFrame, by: Sequence[str], bucket: str, label
     return g.where(F.col("_n") == q).drop("_n")
 
 
-def turnover(df: DataFrame, ts: str, asset: str, weight: str, by: Sequence[str] = (), reset: Sequence[str] = ()) -> DataFrame:
+def turnover(
+    df: DataFrame, ts: str, asset: str, weight: str, by: Sequence[str] = (), reset: Sequence[str] = (), stored: bool = False
+) -> DataFrame:
     """One-way turnover between consecutive weight vectors of each portfolio.
 
     Periods are indexed first. A weight then counts in its own period (entered or changed)
     and once more, as an exit, in the next period when the asset is absent there: two
     sparse contributions instead of a dense grid. ``reset`` restarts from zero.
+
+    The weights are read three times, so they are written once unless already ``stored``.
     """
     group = [*by, *reset]
+    if not stored:
+        df = cut_lineage(df.select(*group, ts, asset, weight), "weights")
     order = Window.partitionBy(*group).orderBy(ts) if group else Window.orderBy(ts)
     idx = df.select(*group, ts).distinct().withColumn("_i", F.row_number().over(order))
     d = df.join(idx, [*group, ts])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import FLAT, average_rank, correlation, mean_over_std, reasons, weighted_mean
 from marketloom.operators import cross
+from marketloom.settings import cut_lineage
 
 
 def observations(panel: DataFrame, features: Sequence[str], keep: Sequence[str], name: str = "candidate") -> DataFrame:
@@ -79,12 +80,12 @@ def quantile_portfolios(obs: DataFrame, by: Sequence[str], ts: str, asset: str,
 
 
 def quantile_diagnostics(obs: DataFrame, by: Sequence[str], ts: str, asset: str, value: str, label: str, q: int, minimum: int, annual: float) -> DataFrame:
-    p = quantile_portfolios(obs, by, ts, asset, value, label, q, minimum)
+    p = cut_lineage(quantile_portfolios(obs, by, ts, asset, value, label, q, minimum), "portfolios")
     m = p.groupBy(*by, ts, "bucket").agg(F.avg(label).alias("m"))
     per = m.groupBy(*by, ts).agg(
         (F.sum(F.when(F.col("bucket") == q - 1, F.col("m"))) - F.sum(F.when(F.col("bucket") == 0, F.col("m")))).alias("spread")
     )
-    t = cross.turnover(p.where("weight <> 0"), ts, asset, "weight", by)
+    t = cross.turnover(p.where("weight <> 0"), ts, asset, "weight", by, stored=True)
     return per.join(t, [*by, ts]).groupBy(*by).agg(
         F.count("*").alias("periods"),
         F.avg("spread").alias("long_short_mean"),
@@ -192,13 +193,13 @@ def trial_trace(obs: DataFrame, by: Sequence[str], ts: str, asset: str, value: s
     part = [*by, ts]
     has = F.count(label).over(Window.partitionBy(*part))
     d = obs.where(F.col(value).isNotNull()).withColumn("_h", has).where("_h > 0")
-    w = cross.rank_weights(d, value, part)
+    w = cut_lineage(cross.rank_weights(d, value, part).select(*part, asset, label, "weight"), "weights")
     per = w.groupBy(*part).agg(
         F.count("*").alias("breadth"),
         F.sum(F.col("weight") * F.col(label)).alias("gross"),
         F.count_if(F.col(label).isNull() & (F.col("weight") != 0)).alias("missing_labels"),
     )
-    t = cross.turnover(w, ts, asset, "weight", by)
+    t = cross.turnover(w, ts, asset, "weight", by, stored=True)
     d = per.join(t, part)
     cost = F.col("turnover") * 2 * cost_bps / 10000
     return d.withColumn("cost", cost).withColumn("net", F.col("gross") - F.col("cost"))

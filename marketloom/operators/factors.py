@@ -80,6 +80,7 @@ class Factor:
 
 ROLLING = ("ret", "logret", "mean", "std", "lowest", "highest")
 CROSS = ("rank", "zscore", "winsor", "gate")
+MAY_OVERFLOW = ("field", "add", "subtract", "multiply", "divide", "ret", "logret")
 
 
 def _same_unit(op: str, a: Factor, b: Factor) -> Factor:
@@ -191,7 +192,10 @@ def with_factors(
     out = df.withColumns(base)
     for depth in range(1 + max(n.depth for n in nodes.values())):
         level = {k: n for k, n in nodes.items() if n.depth == depth}
-        raw = {f"{slot[k]}_x": finite(_value(n, [slot[a.key] for a in n.args], by, ts, minimum)) for k, n in level.items()}
+        raw = {}
+        for k, n in level.items():
+            x = _value(n, [slot[a.key] for a in n.args], by, ts, minimum)
+            raw[f"{slot[k]}_x"] = finite(x) if n.op in MAY_OVERFLOW else x
         out = out.withColumns(raw)
         masked: dict[str, Column] = {}
         for k, n in level.items():
@@ -199,6 +203,8 @@ def with_factors(
             short = F.col("_pos") < n.lookback
             broken = ~F.col(f"_ok{n.lookback}")
             masked[c] = F.when(~short & ~broken, F.col(f"{c}_x"))
+            if not reasons:
+                continue
             why = F.when(short, "INSUFFICIENT_HISTORY").when(broken, "INCOMPLETE_BAR")
             own = F.when(F.col(f"{c}_x").isNull(), _own_reason(n, [slot[a.key] for a in n.args], ts, minimum))
             masked[f"{c}_r"] = F.coalesce(why, *[F.col(f"{slot[a.key]}_r") for a in n.args], own)

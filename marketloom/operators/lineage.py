@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.text import jaccard, tokens
+from marketloom.functions.text import jaccard, token_literal, tokens
 from marketloom.operators.chunks import with_lookback
 from marketloom.settings import cut_lineage
 
@@ -62,9 +62,10 @@ def similar_statements(corpus: DataFrame, key: str, text: str, tags: str, statem
     """Top matches of one statement: one scan of the corpus, no pairing of rows."""
     if not 1 <= limit <= 50:
         raise ValueError("limit must lie in 1..50")
-    mine = tokens(F.lit(statement))
+    mine = token_literal(corpus.sparkSession, statement)
     want = F.array(*[F.lit(t) for t in sorted(set(wanted))]) if wanted else F.array().cast("array<string>")
-    base = jaccard(tokens(text), mine)
+    corpus = corpus.select(key, tags, tokens(text).alias("_t"))
+    base = jaccard(F.col("_t"), mine)
     either = (F.size(want) > 0) | (F.size(tags) > 0)
     score = F.when(either, base * 0.85 + jaccard(F.col(tags), want) * 0.15).otherwise(base)
     return corpus.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(limit)
@@ -78,9 +79,10 @@ def similar_experiments(corpus: DataFrame, key: str, spec: dict, limit: int) ->
     def arr(xs: Sequence[str]) -> Column:
         return F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
 
+    corpus = corpus.withColumn("_t", tokens("hypothesis"))
     # Weights of the signature parts.
     score = (
-        jaccard(tokens("hypothesis"), tokens(F.lit(spec["hypothesis"]))) * 0.40
+        jaccard(F.col("_t"), token_literal(corpus.sparkSession, spec["hypothesis"])) * 0.40
         + jaccard(F.col("universe"), arr(spec["universe"])) * 0.20
         + jaccard(F.col("parameters"), arr(spec["parameters"])) * 0.15
         + (F.col("dataset") == spec["dataset"]).cast("double") * 0.15
@@ -93,9 +95,10 @@ def similar_experiments(corpus: DataFrame, key: str, spec: dict, limit: int) ->
 def similar_features(corpus: DataFrame, key: str, hypothesis: str, fields: Sequence[str], lookback: int, limit: int) -> DataFrame:
     """corpus: key, hypothesis, fields[], lookback."""
     near = F.least(F.col("lookback"), F.lit(lookback)) / F.greatest(F.col("lookback"), F.lit(lookback))
+    corpus = corpus.withColumn("_t", tokens("hypothesis"))
     # Weights of the feature parts.
     score = (
-        jaccard(tokens("hypothesis"), tokens(F.lit(hypothesis))) * 0.60
+        jaccard(F.col("_t"), token_literal(corpus.sparkSession, hypothesis)) * 0.60
         + jaccard(F.col("fields"), F.array(*[F.lit(f) for f in fields])) * 0.25 + near * 0.15
     )
     return corpus.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(limit)

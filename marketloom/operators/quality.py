@@ -43,10 +43,12 @@ def collapse_exact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def _extremes(columns: Sequence[str]) -> list[Column]:
+def _extremes(columns: Sequence[str], counts: bool = True) -> list[Column]:
     out = [F.count("*").alias("_n")]
     for c in columns:
-        out += [F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"), F.count(c).alias(f"_k_{c}")]
+        out += [F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}")]
+        if counts:
+            out.append(F.count(c).alias(f"_k_{c}"))
     return out
 
 
@@ -93,7 +95,7 @@ def corpus_summary(df: DataFrame, asset: str = "asset", ts: str = "ts") -> DataF
         (~valid_volume()).cast("bigint").alias("_bad_vol"),
     )
     per_key = flagged.groupBy(asset, ts).agg(
-        *_extremes(OHLCV),
+        *_extremes(OHLCV, counts=False),
         F.sum("_bad_id").alias("_bad_id"),
         F.sum("_bad_px").alias("_bad_px"),
         F.sum("_bad_vol").alias("_bad_vol"),

@@ -12,6 +12,7 @@ from marketloom.operators import windows as win
 from marketloom.plans.panel import A, STATE, market_state
 from marketloom.plans.registry import published, query
 from marketloom.plans.sqltext import PANELS, pub
+from marketloom.settings import cut_lineage
 from marketloom.sources.panels import daily, table, weekly
 
 # Candidates: two momentum widths, close location and volume surprise.
@@ -50,8 +51,12 @@ CT = ["candidate", "wk"]
 
 
 def period_ic(spark, sf):
-    ic = ev.rank_ic(obs(spark, sf), [*CT, "yr"], "value", "y1", 5)
-    return ic
+    return ev.rank_ic(obs(spark, sf), [*CT, "yr"], "value", "y1", 5)
+
+
+def stored_ic(spark, sf):
+    """The metric series written once, for queries that read it several times."""
+    return cut_lineage(period_ic(spark, sf), "rank-ic")
 
 
 @query("ev01_pearson_ic", pub(CAND + """, b AS (SELECT candidate, wk, y1, least(quantile_cont(value, 0.95) OVER t, greatest(quantile_cont(value, 0.05) OVER t, value)) AS v FROM obs WHERE value IS NOT NULL AND y1 IS NOT NULL WINDOW t AS (PARTITION BY candidate, wk))
@@ -152,20 +157,21 @@ def ev11(spark, sf):
 DIRS = CAND + ", dirs AS (SELECT candidate, avg(rank_ic) AS tm, CASE WHEN avg(rank_ic) >= 0 THEN 1 ELSE -1 END AS direction FROM ic WHERE yr <= 1997 GROUP BY 1)\n"
 
 
-def directions(spark, sf):
-    return ev.train_direction(period_ic(spark, sf), ["candidate"], F.col("yr") <= 1997)
+def directions(ic):
+    return ev.train_direction(ic, ["candidate"], F.col("yr") <= 1997)
 
 
 @query("ev12_train_direction", DIRS + "SELECT candidate, round(tm, 6) + 0.0 AS train_mean, CAST(direction AS BIGINT) AS direction FROM dirs")
 def ev12(spark, sf):
-    return published(directions(spark, sf))
+    return published(directions(period_ic(spark, sf)))
 
 
 @query("ev13_fold_summary", pub(DIRS + """SELECT candidate, yr, count(*) AS periods, avg(rank_ic * direction) AS signed_mean, avg(rank_ic * direction) / stddev_samp(rank_ic) AS signed_icir, avg(CASE WHEN rank_ic * direction > 0 THEN 1.0 ELSE 0 END) AS hit_rate
 FROM ic JOIN dirs USING (candidate) WHERE yr > 1997 GROUP BY 1, 2""", "signed_mean signed_icir hit_rate"))
 def ev13(spark, sf):
-    ic = period_ic(spark, sf).where("yr > 1997")
-    d = directions(spark, sf).select("candidate", "direction")
+    ic = stored_ic(spark, sf)
+    d = directions(ic).select("candidate", "direction")
+    ic = ic.where("yr > 1997")
     return published(ev.fold_summary(ic, d, ["candidate"], "yr"))
 
 
@@ -179,7 +185,8 @@ def ev14(spark, sf):
 g AS (SELECT candidate, count(*) < 3 AS blocked, avg(CASE WHEN mean > 0 THEN 1.0 ELSE 0 END) AS s FROM m GROUP BY 1)
 SELECT candidate, blocked, round(CASE WHEN blocked THEN 0 ELSE s END, 6) AS positive_share, CASE WHEN blocked THEN 0 ELSE s END >= 0.6 AS robust FROM g""")
 def ev15(spark, sf):
-    ic = period_ic(spark, sf).join(directions(spark, sf).select("candidate", "direction"), "candidate")
+    ic = stored_ic(spark, sf)
+    ic = ic.join(directions(ic).select("candidate", "direction"), "candidate")
     slice_ = F.when(F.col("breadth") >= 25, "full").when(F.col("breadth") >= 24, "near").otherwise("thin")
     means = ic.groupBy("candidate", slice_.alias("slice")).agg(F.avg(F.col("rank_ic") * F.col("direction")).alias("mean"))
     return published(ev.robustness(means, ["candidate"], ["full", "near", "thin"], 0.6))
@@ -217,12 +224,12 @@ SELECT candidate, n, mu AS mean, (count(*) FILTER (abs(m - mu) >= abs(mu)) + 1)
 
 @query("ev18_block_bootstrap", pub(CAND + ", sx AS (SELECT candidate, wk, rank_ic AS x FROM ic)" + boot_sql("sx", "wk", 200, 8, 7), "mean p_value low high"))
 def ev18(spark, sf):
-    return published(st.block_bootstrap(period_ic(spark, sf), ["candidate"], "wk", "rank_ic", 200, 8, 7))
+    return published(st.block_bootstrap(stored_ic(spark, sf), ["candidate"], "wk", "rank_ic", 200, 8, 7))
 
 
 @query("ev19_session_bootstrap", pub(CAND + ", sx AS (SELECT candidate, date_trunc('month', wk) AS mo, avg(rank_ic) AS x FROM ic GROUP BY 1, 2)" + boot_sql("sx", "mo", 200, 4, 11), "mean p_value low high"))
 def ev19(spark, sf):
-    ic = period_ic(spark, sf).withColumn("mo", F.trunc("wk", "month"))
+    ic = stored_ic(spark, sf).withColumn("mo", F.trunc("wk", "month"))
     return published(st.session_bootstrap(ic, ["candidate"], "mo", "rank_ic", 200, 4, 11))
 
 
@@ -251,7 +258,7 @@ def family(spark, sf):
     r = F.log(F.col("close") / win.lagged("close", 1, ["asset"], "wk")) / 20
     r = w.select(F.lit("all").alias("family"), F.col("asset").alias("trial"), "wk", r.alias("r")).where("r IS NOT NULL")
     full = r.groupBy("wk").agg(F.count("*").alias("c")).withColumn("k", F.max("c").over(Window.partitionBy())).where("c = k").select("wk")
-    return r.join(full, "wk", "left_semi")
+    return cut_lineage(r.join(full, "wk", "left_semi"), "family")
 
 
 FAMILY = PANELS + """, fr AS (SELECT asset AS trial, wk, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY wk)) / 20 AS r FROM weekly), fk AS (SELECT wk, count(r) AS c FROM fr GROUP BY 1),
@@ -308,7 +315,7 @@ def ev27b(spark, sf):
 @query("ev28_describe_returns", pub(NW + """, dd AS (SELECT candidate, min(nav / greatest(1, pk) - 1) AS max_drawdown FROM (SELECT candidate, wk, nav, max(nav) OVER (PARTITION BY candidate ORDER BY wk) AS pk FROM (SELECT candidate, wk, product(1 + x) OVER (PARTITION BY candidate ORDER BY wk) AS nav FROM cc)) AS z GROUP BY 1)
 SELECT candidate, n, 0 AS missing, mean, mean / sqrt(lrv / n) AS t_stat, n * variance / lrv AS effective_n, max_drawdown FROM nw JOIN dd USING (candidate)""", "mean t_stat effective_n max_drawdown").replace("0 AS missing", "CAST(0 AS BIGINT) AS missing"))
 def ev28(spark, sf):
-    return published(st.describe_returns(period_ic(spark, sf), ["candidate"], "wk", "rank_ic", 4))
+    return published(st.describe_returns(stored_ic(spark, sf), ["candidate"], "wk", "rank_ic", 4))
 
 
 REPORT = DIRS + """, rep AS (SELECT candidate, avg(CASE WHEN m * direction > 0 THEN 1.0 ELSE 0 END) AS positive_share, avg(CASE WHEN (m >= 0) = (direction = 1) THEN 1.0 ELSE 0 END) AS direction_share, min(m * direction / s) AS worst_icir, avg(m * direction / s) AS mean_icir
@@ -318,8 +325,9 @@ pool AS (SELECT candidate, avg(rank_ic * direction) / stddev_samp(rank_ic) AS ic
 
 
 def walk_forward_report(spark, sf):
-    ic = period_ic(spark, sf).where("yr > 1997")
-    d = directions(spark, sf).select("candidate", "direction")
+    ic = stored_ic(spark, sf)
+    d = directions(ic).select("candidate", "direction")
+    ic = ic.where("yr > 1997")
     per = ic.groupBy("candidate", "yr").agg(F.avg("rank_ic").alias("m"), F.stddev_samp("rank_ic").alias("s")).join(d, "candidate")
     signed = F.col("m") * F.col("direction")
     rep = per.groupBy("candidate").agg(
@@ -479,7 +487,7 @@ def wf07(spark, sf):
 te AS (SELECT fold, candidate, avg(rank_ic) AS t, count(*) AS periods FROM ic JOIN folds ON wk BETWEEN test_start AND test_end GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY s DESC, candidate) AS r FROM tr)
 SELECT fold AS outer_fold, candidate, round(s, 6) + 0.0 AS inner_score, round(t, 6) + 0.0 AS outer_score, periods FROM b JOIN te USING (fold, candidate) WHERE r = 1""")
 def wf09(spark, sf):
-    d = fo.tag(period_ic(spark, sf), week_folds(spark, sf), "wk").withColumnRenamed("fold", "outer_fold")
+    d = cut_lineage(fo.tag(period_ic(spark, sf), week_folds(spark, sf), "wk"), "tagged").withColumnRenamed("fold", "outer_fold")
     inner = d.where("role = 'train'")
     outer = d.where("role = 'test'").groupBy("outer_fold", "candidate").agg(F.avg("rank_ic").alias("outer_score"), F.count("*").alias("periods"))
     return published(fo.choose_by_inner(inner, outer, "rank_ic"))

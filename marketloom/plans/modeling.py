@@ -11,7 +11,7 @@ from marketloom.operators import folds as fo
 from marketloom.operators import models as md
 from marketloom.operators import state as ms
 from marketloom.operators import windows as win
-from marketloom.plans.evaluation import CAND, FAMILY, TRIAL, WF, family, obs, period_ic, week_folds
+from marketloom.plans.evaluation import CAND, FAMILY, TRIAL, WF, family, obs, period_ic, stored_ic, week_folds
 from marketloom.plans.factor import BASE, catalog_panel
 from marketloom.plans.market import GRID, dense
 from marketloom.plans.panel import STATE, market_state
@@ -179,7 +179,7 @@ pq AS (SELECT candidate, wk, greatest(coalesce(q, 0), 0) AS q FROM tq), aw AS (S
 
 
 def rolling_weights(spark, sf):
-    return al.rolling_allocator(period_ic(spark, sf).select("candidate", "wk", "rank_ic"), "wk", "rank_ic", 26, 8)
+    return al.rolling_allocator(stored_ic(spark, sf).select("candidate", "wk", "rank_ic"), "wk", "rank_ic", 26, 8)
 
 
 @query("al01_rolling_allocator", HIST + "SELECT candidate, strftime(wk, '%Y-%m-%d') AS wk, round(weight, 6) + 0.0 AS weight, fallback FROM aw")
@@ -200,12 +200,12 @@ def month_probabilities(spark, sf):
 sp AS (SELECT *, greatest(coalesce(q, 0), 0) AS g FROM sq), sw AS (SELECT *, CASE WHEN sum(g) OVER t > 0 THEN g / sum(g) OVER t ELSE 1.0 / count(*) OVER t END AS part, NOT sum(g) OVER t > 0 AS fb FROM sp WINDOW t AS (PARTITION BY wk, state))
 SELECT candidate, strftime(wk, '%Y-%m-%d') AS wk, round(sum(p * part), 6) + 0.0 AS weight, count(*) FILTER (fb AND p > 0) AS failed_states FROM sw GROUP BY 1, 2""")
 def al02(spark, sf):
-    ic = period_ic(spark, sf).select("candidate", "wk", "rank_ic")
+    ic = stored_ic(spark, sf).select("candidate", "wk", "rank_ic")
     return published(al.regime_allocator(ic, month_probabilities(spark, sf), "wk", "rank_ic", 26, 8))
 
 
 def ridge_examples(spark, sf):
-    ic = period_ic(spark, sf).select("candidate", "wk", "rank_ic")
+    ic = stored_ic(spark, sf).select("candidate", "wk", "rank_ic")
     q = al.trailing_quality(ic, "wk", "rank_ic", 26, 8).withColumnRenamed("quality", "x1")
     return al.trailing_quality(q, "wk", "rank_ic", 8, 4).withColumnRenamed("quality", "x2")
 

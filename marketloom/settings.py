@@ -29,6 +29,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording a call site per column expression slows plan building several times.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in REQUIRED.items():
         builder = builder.config(key, value)
