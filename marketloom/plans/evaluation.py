@@ -25,7 +25,7 @@ obs AS (SELECT asset, wk, yr, is_complete, candidate, value, y1, y2, nxt FROM (
   SELECT *, unnest(['mom1', 'mom4', 'loc', 'vsur']) AS candidate, unnest([mom1, mom4, loc, vsur]) AS value FROM cw) AS u),
 rk AS (SELECT candidate, wk, yr, (rank() OVER (PARTITION BY candidate, wk ORDER BY value) + count(*) OVER (PARTITION BY candidate, wk ORDER BY value)) / 2.0 AS rv,
   (rank() OVER (PARTITION BY candidate, wk ORDER BY y1) + count(*) OVER (PARTITION BY candidate, wk ORDER BY y1)) / 2.0 AS ry FROM obs WHERE value IS NOT NULL AND y1 IS NOT NULL),
-ic AS (SELECT candidate, wk, yr, count(*) AS breadth, covar_pop(rv, ry) / (stddev_pop(rv) * stddev_pop(ry)) AS rank_ic FROM rk GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+ic AS (SELECT candidate, wk, yr, count(*) AS breadth, covar_pop(rv, ry) / nullif(stddev_pop(rv) * stddev_pop(ry), 0) AS rank_ic FROM rk GROUP BY 1, 2, 3 HAVING count(*) >= 5)
 """
 FEATS = ["mom1", "mom4", "loc", "vsur"]
 
@@ -60,7 +60,7 @@ def stored_ic(spark, sf):
 
 
 @query("ev01_pearson_ic", pub(CAND + """, b AS (SELECT candidate, wk, y1, least(quantile_cont(value, 0.95) OVER t, greatest(quantile_cont(value, 0.05) OVER t, value)) AS v FROM obs WHERE value IS NOT NULL AND y1 IS NOT NULL WINDOW t AS (PARTITION BY candidate, wk))
-SELECT candidate, wk, count(*) AS breadth, covar_pop(v, y1) / (stddev_pop(v) * stddev_pop(y1)) AS ic FROM b GROUP BY 1, 2 HAVING count(*) >= 5""", "ic", "wk"))
+SELECT candidate, wk, count(*) AS breadth, covar_pop(v, y1) / nullif(stddev_pop(v) * stddev_pop(y1), 0) AS ic FROM b GROUP BY 1, 2 HAVING count(*) >= 5""", "ic", "wk"))
 def ev01(spark, sf):
     return published(ev.pearson_ic(obs(spark, sf), CT, "value", "y1", 0.05, 0.95, 5))
 
@@ -78,7 +78,7 @@ def ev03(spark, sf):
 @query("ev04_ic_decay", pub(CAND + """, l AS (SELECT candidate, wk, value, unnest(['y1', 'y2']) AS label_name, unnest([y1, y2]) AS y FROM obs),
 r AS (SELECT candidate, wk, label_name, (rank() OVER (PARTITION BY candidate, wk, label_name ORDER BY value) + count(*) OVER (PARTITION BY candidate, wk, label_name ORDER BY value)) / 2.0 AS rv,
   (rank() OVER (PARTITION BY candidate, wk, label_name ORDER BY y) + count(*) OVER (PARTITION BY candidate, wk, label_name ORDER BY y)) / 2.0 AS ry FROM l WHERE value IS NOT NULL AND y IS NOT NULL),
-i AS (SELECT candidate, label_name, wk, covar_pop(rv, ry) / (stddev_pop(rv) * stddev_pop(ry)) AS ic FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+i AS (SELECT candidate, label_name, wk, covar_pop(rv, ry) / nullif(stddev_pop(rv) * stddev_pop(ry), 0) AS ic FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 5)
 SELECT candidate, label_name, count(*) AS periods, avg(ic) AS ic_mean, avg(ic) / stddev_samp(ic) AS icir FROM i GROUP BY 1, 2""", "ic_mean icir"))
 def ev04(spark, sf):
     return published(ev.ic_decay(obs(spark, sf), ["candidate"], "value", ["y1", "y2"], "wk", 5))
@@ -107,7 +107,7 @@ def ev06(spark, sf):
 PAIRS = CAND + """, pr AS (SELECT wk, unnest(['loc','loc','loc','mom1','mom1','mom4']) AS l, unnest(['mom1','mom4','vsur','mom4','vsur','vsur']) AS r, unnest([loc,loc,loc,mom1,mom1,mom4]) AS a, unnest([mom1,mom4,vsur,mom4,vsur,vsur]) AS b FROM cw),
 prk AS (SELECT wk, l, r, (rank() OVER (PARTITION BY wk, l, r ORDER BY a) + count(*) OVER (PARTITION BY wk, l, r ORDER BY a)) / 2.0 AS ra, (rank() OVER (PARTITION BY wk, l, r ORDER BY b) + count(*) OVER (PARTITION BY wk, l, r ORDER BY b)) / 2.0 AS rb
   FROM pr WHERE a IS NOT NULL AND b IS NOT NULL),
-rho AS (SELECT wk, l, r, count(*) AS breadth, covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) AS rho FROM prk GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+rho AS (SELECT wk, l, r, count(*) AS breadth, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS rho FROM prk GROUP BY 1, 2, 3 HAVING count(*) >= 5)
 """
 
 
@@ -222,7 +222,7 @@ bm AS (SELECT bi.candidate, bi.n, bi.mu, d, avg(x) AS m FROM bi JOIN bs ON bs.ca
 SELECT candidate, n, mu AS mean, (count(*) FILTER (abs(m - mu) >= abs(mu)) + 1) / {draws + 1}.0 AS p_value, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY 1, 2, 3"""
 
 
-@query("ev18_block_bootstrap", pub(CAND + ", sx AS (SELECT candidate, wk, rank_ic AS x FROM ic)" + boot_sql("sx", "wk", 200, 8, 7), "mean p_value low high"))
+@query("ev18_block_bootstrap", pub(CAND + ", sx AS (SELECT candidate, wk, rank_ic AS x FROM ic WHERE rank_ic IS NOT NULL)" + boot_sql("sx", "wk", 200, 8, 7), "mean p_value low high"))
 def ev18(spark, sf):
     return published(st.block_bootstrap(stored_ic(spark, sf), ["candidate"], "wk", "rank_ic", 200, 8, 7))
 

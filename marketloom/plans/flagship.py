@@ -20,7 +20,7 @@ ranked AS (
          (rank() OVER (PARTITION BY wk ORDER BY y) + count(*) OVER (PARTITION BY wk ORDER BY y)) / 2.0 AS ry
   FROM mom WHERE f IS NOT NULL AND y IS NOT NULL),
 ic AS (
-  SELECT wk, count(*) AS breadth, covar_pop(rf, ry) / (stddev_pop(rf) * stddev_pop(ry)) AS rank_ic
+  SELECT wk, count(*) AS breadth, covar_pop(rf, ry) / nullif(stddev_pop(rf) * stddev_pop(ry), 0) AS rank_ic
   FROM ranked GROUP BY wk HAVING count(*) >= 5)
 """
 
