@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.settings import bounded_broadcast
+from marketloom.settings import bounded_broadcast, cut_lineage
 
 
 def purged_folds(
@@ -16,11 +16,12 @@ def purged_folds(
 ) -> DataFrame:
     """Complete folds as date ranges: train [.., ..], then a gap, then test [.., ..].
 
-    ``calendar`` holds dates (per ``by`` group, e.g. an outer fold). Bounds are looked up
-    by index with an equi-join.
+    ``calendar`` holds dates (per ``by`` group, e.g. an outer fold); its distinct dates are
+    written once, so the source is scanned once. Bounds are looked up by an equi-join.
     """
+    calendar = cut_lineage(calendar.select(*by, date).distinct(), "calendar")
     w = Window.partitionBy(*by, F.lit(0)).orderBy(date) if by else Window.orderBy(date)
-    idx = calendar.select(*by, date).distinct().withColumn("i", F.row_number().over(w) - 1)
+    idx = calendar.withColumn("i", F.row_number().over(w) - 1)
     gap = purge + embargo
     n = idx.groupBy(*by).agg(F.count("*").alias("n")) if by else idx.agg(F.count("*").alias("n"))
     count = F.floor((F.col("n") - (train + gap + test)) / step) + 1

@@ -257,8 +257,9 @@ def family(spark, sf):
     w = weekly(spark, sf)
     r = F.log(F.col("close") / win.lagged("close", 1, ["asset"], "wk")) / 20
     r = w.select(F.lit("all").alias("family"), F.col("asset").alias("trial"), "wk", r.alias("r")).where("r IS NOT NULL")
+    r = cut_lineage(r, "family")
     full = r.groupBy("wk").agg(F.count("*").alias("c")).withColumn("k", F.max("c").over(Window.partitionBy())).where("c = k").select("wk")
-    return cut_lineage(r.join(full, "wk", "left_semi"), "family")
+    return r.join(full, "wk", "left_semi")
 
 
 FAMILY = PANELS + """, fr AS (SELECT asset AS trial, wk, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY wk)) / 20 AS r FROM weekly), fk AS (SELECT wk, count(r) AS c FROM fr GROUP BY 1),

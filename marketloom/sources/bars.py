@@ -66,21 +66,29 @@ def month_gaps(df: DataFrame, month: str) -> DataFrame:
     return want.join(seen, "month", "left_anti")
 
 
-def manifest(spark: SparkSession, path: str, source: str, revision: str, pattern: str = "*.parquet") -> DataFrame:
-    """Partition list with sizes and one identity over names and sizes, never the path."""
+def partition_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """Files of a corpus as (month, file, length); contents are never read."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
         .load(path).select("path", "length")
     )
-    name = F.element_at(F.split("path", "/"), -1)
     month = F.nullif(F.regexp_extract("path", r"month=(\d{4}-\d{2})", 1), F.lit(""))
-    listed = files.select(F.struct(F.coalesce(month, F.lit("")).alias("month"), name.alias("file"), "length").alias("f"))
-    one = listed.agg(F.sort_array(F.collect_list("f")).alias("files"), F.count("*").alias("file_count"),
-                     F.sum("f.length").alias("bytes"))
-    body = F.to_json(F.struct(F.lit(source).alias("source"), F.lit(revision).alias("revision"), F.col("files")))
-    return one.select(
-        F.concat(F.lit("manifest-"), F.substring(F.sha2(body, 256), 1, 24)).alias("manifest_id"), "file_count", "bytes", "files"
-    )
+    return files.select(month.alias("month"), F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+
+
+def manifest(spark: SparkSession, path: str, source: str, revision: str, pattern: str = "*.parquet") -> DataFrame:
+    """One identity over months, names and sizes, never the path.
+
+    File hashes are summed, so no list of files is gathered however many there are.
+    """
+    files = partition_files(spark, path, pattern)
+    h = F.xxhash64(F.coalesce("month", F.lit("")), "file", "length").cast("decimal(38,0)")
+    one = files.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.sum(h).alias("_h"))
+    body = F.concat_ws("|", F.lit(source), F.lit(revision), F.col("file_count"), F.col("bytes"), F.col("_h"))
+    ident = F.concat(F.lit("manifest-"), F.substring(F.sha2(body, 256), 1, 24))
+    # An empty corpus is an error, not an empty manifest.
+    ident = F.when(F.col("file_count") > 0, ident).otherwise(F.raise_error(F.lit(f"no file matches {pattern}")).cast("string"))
+    return one.select(ident.alias("manifest_id"), "file_count", "bytes")
 
 
 def preview(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
