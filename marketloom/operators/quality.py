@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import reasons
 from marketloom.operators.chunks import running_total, with_lookback
+from marketloom.operators.resample import exact_quantiles
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -393,12 +394,11 @@ def clock_offsets(
 
 def broker_offset(df: DataFrame, by: str, offset: str, quantum: float, tolerance: float) -> DataFrame:
     """Median clock offset per broker rounded to ``quantum`` and its worst residual."""
+    middle = exact_quantiles(df, [by], offset, [0.5]).withColumnRenamed("q50", "median_offset")
     med = df.groupBy(by).agg(
-        F.count("*").alias("observations"),
-        F.median(offset).alias("median_offset"),
-        F.min(offset).alias("_lo"),
-        F.max(offset).alias("_hi"),
+        F.count("*").alias("observations"), F.min(offset).alias("_lo"), F.max(offset).alias("_hi")
     )
+    med = med.join(middle, by, "left")
     snap = F.round(F.col("median_offset") / quantum) * quantum
     out = med.withColumn("clock_offset", snap)
     worst = F.greatest(F.abs(F.col("_hi") - F.col("clock_offset")), F.abs(F.col("_lo") - F.col("clock_offset")))

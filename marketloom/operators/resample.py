@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.operators.chunks import running_total
 from marketloom.operators.sets import tagged_union
 
 
@@ -73,10 +74,29 @@ def session_endpoints(df: DataFrame, by: Sequence[str], slot: str, first_by: int
     return g.select(*by, "rows", F.when(ok, F.col("_o")).alias("first_open"), F.when(ok, F.col("_c")).alias("last_close"))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles (Type 7) per group."""
-    out = [F.percentile(value, F.lit(float(p))).alias(f"q{int(p * 100):02d}") for p in points]
-    return df.groupBy(*by).agg(*out)
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], buckets: int = 1024) -> DataFrame:
+    """Linear-interpolated quantiles (Type 7) per group, exact for groups of any size.
+
+    ``percentile`` would hold all distinct values of a group in one task. Here values are
+    counted, the counts run up over value buckets, and each quantile picks the two values
+    that hold its neighbouring ranks.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    s = c.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    d = c.join(s, list(by))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(F.lit(0))
+    r = running_total(d, by, ["_v"], "_c", place, "_cum")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum")), F.col("_v")))
+
+    out = []
+    for p in points:
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        below = F.floor(h)
+        a, b = at(below), at(F.least(below + 1, F.col("_n") - 1))
+        out.append((a + (b - a) * F.max(h - below)).alias(f"q{int(p * 100):02d}"))
+    return r.groupBy(*by).agg(*out)
 
 
 def compounded(df: DataFrame, by: Sequence[Column | str], ret: str) -> DataFrame:

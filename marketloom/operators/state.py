@@ -38,14 +38,14 @@ class Mixture:
 def fit_mixture(df: DataFrame, features: Sequence[str], k: int, rounds: int = 40, tol: float = 1e-5, floor: float = 1e-6) -> Mixture:
     """Expectation-maximization; every round is one aggregate that returns a single row.
 
-    Starts from quantiles of the first feature; states end ordered by centroid, which
+    Starts from (approximate) quantiles of the first feature; states end ordered by centroid, which
     settles label switching.
     """
     feats = list(features)
     d = df.select(*feats).dropna()
     d = cut_lineage(d, "mixture")
     scale = d.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(feats)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(feats)],
-                  F.percentile(feats[0], F.array(*[F.lit((j + 0.5) / k) for j in range(k)])).alias("q"), F.count("*").alias("n")).first()
+                  F.percentile_approx(feats[0], [(j + 0.5) / k for j in range(k)], 10000).alias("q"), F.count("*").alias("n")).first()
     if scale["n"] < 2 * k:
         raise ValueError("too few rows to fit the states")
     spread = [max(scale[f"s{i}"], 1e-12) ** 2 for i in range(len(feats))]

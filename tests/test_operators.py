@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helpers import as_map, assert_causal, assert_layout_free, close, rows
 from marketloom.functions import text as tx
 from marketloom.functions.numeric import average_rank, clip, correlation, safe_divide
-from marketloom.operators import calendar, chunks, cross, folds, joins, lineage, ordering, orders, quality, windows
+from marketloom.operators import calendar, chunks, cross, folds, joins, lineage, ordering, orders, quality, resample, windows
 from marketloom.operators import factors as fa
 
 BAR = "asset string, ts int, open double, high double, low double, close double, volume double"
@@ -100,6 +100,15 @@ def test_asof_matches_pandas(spark, strict):
     assert as_map(got, "i", "p") == expect
 
 
+def test_exact_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(6)
+    data = [("hot", float(round(v, 1))) for v in rng.lognormal(0, 2, 700)] + [("one", 3.0), ("flat", 2.0), ("flat", 2.0)]
+    got = resample.exact_quantiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", [0.0, 0.1, 0.5, 0.95, 1.0], buckets=16)
+    for r in got.collect():
+        want = np.quantile([v for k, v in data if k == r["k"]], [0.0, 0.1, 0.5, 0.95, 1.0])
+        assert all(close(a, float(b), 1e-9) for a, b in zip(list(r)[1:], want))
+
+
 # --- time windows ---------------------------------------------------------------------
 
 
