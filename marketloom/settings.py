@@ -45,16 +45,21 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder on the storage named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) is a temporary folder
-    chosen, and then it is recorded so that later calls agree.
+    Only where that setting is absent is a temporary folder made, one for each process, and
+    only in local mode, where driver and tasks share the machine; a cluster must name one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-marketloom-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_dir.setdefault("root", "") or tempfile.mkdtemp(prefix="spark-marketloom-")
+        _own_dir["root"] = root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
