@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketloom.llm import minhash_paths
+from marketloom.llm import minhash_paths, substring
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +32,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_paths.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_substring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.cleaned(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def load() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(PLANS)
 
