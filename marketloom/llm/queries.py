@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, minhash_paths, substring
+from marketloom.llm import bpe, minhash_paths, substring, winnow
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query("op8_winnow")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def load() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(PLANS)
 
