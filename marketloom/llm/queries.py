@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, language, minhash_paths, substring, winnow
+from marketloom.llm import bpe, language, minhash_paths, mixing, substring, winnow
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,6 +57,53 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+MIXING_SQL = """
+WITH counted AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS BIGINT) AS size FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM counted GROUP BY source
+), weighed AS (
+  SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS most FROM totals
+), levels AS (
+  SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY most / weight, source IS NULL, source)
+), opened AS (
+  SELECT *, min(CASE WHEN level * weight <= most THEN most / weight END) OVER () AS first_open,
+    arg_min(CASE WHEN level * weight <= most THEN level END, CASE WHEN level * weight <= most THEN most / weight END) OVER () AS last_level
+  FROM levels
+), targets AS (
+  SELECT source, source_size, CASE WHEN most / weight >= first_open THEN least(most, weight * last_level) ELSE most END AS target FROM opened
+), bounds AS (
+  SELECT *, CASE WHEN lead(source_size) OVER o IS NULL THEN 2147483648 ELSE CAST(floor(sum(target) OVER (o ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * 2147483648) AS BIGINT) END AS upper
+  FROM targets WHERE target > 0 WINDOW o AS (ORDER BY source IS NULL, source)
+), ranges AS (
+  SELECT *, coalesce(lag(upper) OVER (ORDER BY upper), 0) AS lower FROM bounds
+), slots AS (
+  SELECT i, (i % 2147483648) * 1327217885 % 2147483648 AS point FROM range(CAST((SELECT ceil(sum(target) / 256) FROM targets) AS BIGINT)) r(i)
+), ranked AS (
+  SELECT source, source_size, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank FROM slots JOIN ranges ON point >= lower AND point < upper
+), times AS (
+  SELECT source, rank % CAST(ceil(source_size / 256) AS BIGINT) AS block, count(*) AS times FROM ranked WHERE rank < 2 * CAST(ceil(source_size / 256) AS BIGINT) GROUP BY ALL
+), laid AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', doc_id, size)), size ROWS UNBOUNDED PRECEDING) - size AS start FROM counted
+), pieces AS (
+  SELECT source, start, size, unnest(range(CAST(start // 256 AS BIGINT), CAST((start + size - 1) // 256 AS BIGINT) + 1)) AS block FROM laid WHERE size > 0
+), took AS (
+  SELECT p.source, p.start, CAST(sum((least(start + size, (p.block + 1) * 256) - greatest(start, p.block * 256)) * times) AS BIGINT) AS taken
+  FROM pieces p JOIN times t ON p.source IS NOT DISTINCT FROM t.source AND p.block = t.block GROUP BY ALL
+)
+SELECT l.doc_id, l.source, l.size, t.source_size, t.target, coalesce(k.taken, 0) AS taken
+FROM laid l JOIN targets t ON l.source IS NOT DISTINCT FROM t.source
+LEFT JOIN took k ON l.source IS NOT DISTINCT FROM k.source AND l.start = k.start AND l.size > 0
+"""
+
+
+@query("op10_mixing", MIXING_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def load() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(PLANS)
 
