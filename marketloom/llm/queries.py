@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, language, minhash_paths, mixing, pii, substring, winnow
+from marketloom.llm import bpe, language, minhash_paths, mixing, pii, substring, vectors, winnow
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +35,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_sorted_projections")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_minhash_paths")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_paths.near_duplicates(table(spark, sf_dir, "documents"))
