@@ -4,19 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm import minhash_paths
+from marketloom.llm import bpe, language, minhash_paths, mixing, pii
+from marketloom.settings import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A document whose leading language has less than this share of it is rejected.
+LEAST_SHARE = 0.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, and those in which no language leads, go; the others stay as they are."""
+    tagged = language.predict(docs, language.trained(docs))
+    return tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    """One document of each group stays: the one with the smallest doc_id. Rows without an id all stay."""
     kept = minhash_paths.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    single = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    single = single.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    return single.union(docs.where("doc_id is null"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every item of personal data gives way to its kind in angle brackets; ``n_chars`` follows the new text."""
+    found = pii.find(docs, pii.fit(docs)).withColumn("text", F.col("masked")).withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*docs.columns)
+
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes its words, rounded: not at all, once or twice."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    taken = mixing.mixed(keyed, doc_id="_key").where("size > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("_key")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
+    often = keyed.join(copies.where("_copies > 0"), "_key")
+    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
-STAGES: list[tuple[str, Stage]] = [("minhash", near_duplicates)]
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)`` of every document."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix),
+    ("tokens", tokenize),
+]
+
+#: Trained models, minwise trees and tokens have no SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages to ``documents``; every stage but the last is written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -212,7 +212,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
-def _encode(shared, digests: bool):
+def _encode(shared, digests: bool, with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
@@ -226,7 +226,12 @@ def _encode(shared, digests: bool):
                 parts = np.split(ids, ends[:-1])
                 back = [encoder.decode(p).decode("utf-8", "replace") for p in parts]
                 columns = [doc_id, pa.array([len(p) for p in parts], pa.int64()), pa.array([hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in parts])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]))
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -254,8 +259,12 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(shared), "doc_id long, text string")
 
 
-def digests(documents: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes every text in one pass: number of ids, digest of the ids, digest of the decoded text."""
+def digests(documents: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text in one pass: number of ids, digest of the ids, digest of the decoded text.
+
+    ``with_ids`` adds the ids themselves. Null texts count as empty; other columns are ignored.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(Vocabulary.read(path, pattern))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(shared, True), schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(_encode(shared, True, with_ids), schema)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketloom.llm import texts
 
@@ -112,13 +113,16 @@ def infer(parts: list[tuple[np.ndarray, np.ndarray]], likelihood: np.ndarray) ->
     return best
 
 
-def _predict(shared):
+def _tag(shared, at: int, drop: list[int]):
+    """Appends prediction, score and blend to batches whose text is column ``at``; columns ``drop`` go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, likelihood = shared.value
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         for batch in batches:
-            for lo, hi in texts.row_slices(batch.column(1), 1 << 20):
-                parts = [trigrams(t or "") for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            for lo, hi in texts.row_slices(batch.column(at), 1 << 20):
+                rows = batch.slice(lo, hi - lo)
+                parts = [trigrams(t or "") for t in rows.column(at).to_pylist()]
                 some = [i for i, (g, _) in enumerate(parts) if len(g) and langs]
                 named, score, blend = ["und"] * len(parts), [0.0] * len(parts), [[] for _ in parts]
                 if some:
@@ -127,21 +131,24 @@ def _predict(shared):
                     for i, row, t in zip(some, shares, top.tolist(), strict=True):
                         named[i], score[i] = langs[t], min(1.0, float(row[t]))
                         blend[i] = [{"lang": langs[j], "share": float(row[j])} for j in np.flatnonzero(row > 0)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(named), pa.array(score), pa.array(blend, kind)], ["doc_id", "lang_pred", "score", "blend"])
+                kept = [i for i in range(rows.num_columns) if i not in drop]
+                columns = [rows.column(i) for i in kept] + [pa.array(named), pa.array(score), pa.array(blend, kind)]
+                yield pa.RecordBatch.from_arrays(columns, [rows.schema.names[i] for i in kept] + ["lang_pred", "score", "blend"])
 
     return run
 
 
-def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score, blend)`` for every row from its text alone.
+def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """All rows and columns, with ``lang_pred``, ``score`` and ``blend`` from the text alone.
 
     ``und`` with score 0 for null texts, texts without letters, and models without languages.
-    ``blend`` lists the chosen languages and their shares. Repeated rows get repeated results;
-    other columns are ignored.
+    ``blend`` lists the chosen languages and their shares. Columns of these three names are replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, blend array<struct<lang:string,share:double>>")
+    old = [i for i, c in enumerate(documents.columns) if c in ("lang_pred", "score", "blend")]
+    added = StructType.fromDDL("lang_pred string, score double, blend array<struct<lang:string,share:double>>")
+    schema = StructType([f for i, f in enumerate(documents.schema.fields) if i not in old] + added.fields)
+    return documents.mapInArrow(_tag(shared, documents.columns.index(text), old), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

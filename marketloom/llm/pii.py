@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketloom.llm import charnet, texts
 
@@ -244,21 +245,25 @@ def fit(documents: DataFrame, text: str = "text", windows: int = 400, epochs: in
     return charnet.train(ids, tags, HIDDEN, TAGS, epochs if len(ids) else 0)
 
 
-def _find(shared):
+def _find(shared, at: int, drop: list[int]):
+    """Appends spans and the masked text to batches whose text is column ``at``; columns ``drop`` go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())]))
         for batch in batches:
-            for lo, hi in texts.row_slices(batch.column(1), 2 << 20):
-                some = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                more = added_spans(net, some)
+            for lo, hi in texts.row_slices(batch.column(at), 2 << 20):
+                rows = batch.slice(lo, hi - lo)
+                some = rows.column(at).to_pylist()
                 out, masked = [], []
-                for text, added in zip(some, more, strict=True):
-                    base = base_spans(text)
+                for text, added in zip(some, added_spans(net, [t or "" for t in some]), strict=True):
+                    base = base_spans(text or "")
                     own, full = set(base), all_spans(base, added)
                     out.append([{"kind": KINDS[k], "start": a, "stop": b, "base": (a, k, b) in own} for a, k, b in full])
-                    masked.append(_masked(text, full))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, kind), pa.array(masked)], ["doc_id", "spans", "masked"])
+                    masked.append(None if text is None else _masked(text, full))
+                kept = [i for i in range(rows.num_columns) if i not in drop]
+                columns = [rows.column(i) for i in kept] + [pa.array(out, kind), pa.array(masked, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [rows.schema.names[i] for i in kept] + ["spans", "masked"])
 
     return run
 
@@ -274,11 +279,13 @@ def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[at:]]) if spans else text
 
 
-def find(documents: DataFrame, net: charnet.Net, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, spans, masked)`` for every row: spans in code points, and the text with each span as its kind.
+def find(documents: DataFrame, net: charnet.Net, text: str = "text") -> DataFrame:
+    """All rows and columns, with ``spans`` in code points and ``masked``, the text with each span as its kind.
 
-    Null and empty texts have no spans. Rows that repeat get equal results; other columns are ignored.
+    Null and empty texts have no spans, and a null text stays null. Columns of these two names are replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(net)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_find(shared), "doc_id long, spans array<struct<kind:string,start:int,stop:int,base:boolean>>, masked string")
+    old = [i for i, c in enumerate(documents.columns) if c in ("spans", "masked")]
+    added = StructType.fromDDL("spans array<struct<kind:string,start:int,stop:int,base:boolean>>, masked string")
+    schema = StructType([f for i, f in enumerate(documents.schema.fields) if i not in old] + added.fields)
+    return documents.mapInArrow(_find(shared, documents.columns.index(text), old), schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, language, minhash_paths, mixing, pii, substring, vectors, winnow
+from marketloom.llm import bpe, language, minhash_paths, mixing, pii, shards, substring, url_rules, vectors, winnow
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,13 +28,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_url_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = url_rules.mined_rules(url_rules.page_labels(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judged(pages, rules)
+
+
 @query("op2_language")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    found = language.predict(documents, language.trained(documents))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(documents.select("doc_id", "text"), language.trained(documents))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+SHARD_BYTES = 1 << 20
+
+SHARDS_SQL = f"""
+WITH hashed AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+    CAST('0x' || left(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), '-'), md5(coalesce(text, '')))), 15) AS BIGINT) AS hash
+  FROM documents
+), levels AS (
+  SELECT *, sum(n_bytes) OVER (PARTITION BY depth, hash >> (60 - depth)) AS bytes
+  FROM hashed, (SELECT CAST(i AS INTEGER) AS depth FROM range(61) r(i))
+), settled AS (
+  SELECT doc_id, n_bytes, hash, coalesce(min(depth) FILTER (bytes <= {SHARD_BYTES}), 60) AS depth FROM levels GROUP BY ALL
+)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(ltrim(bin(hash >> (60 - depth)), '0'), depth, '0') END AS shard,
+  CAST(depth AS BIGINT) AS depth, CAST(0 AS BIGINT) AS page
+FROM settled
+"""
+
+
+@query("op3_shards", SHARDS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assigned(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 @query("op4_sorted_projections")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -64,7 +95,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_pii")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(documents, pii.fit(documents))
 
     def printed(spans):
@@ -123,7 +154,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(PLANS)
+    import corpus_pipeline
+
+    return PLANS | {"pipeline": corpus_pipeline.run}
 
 
 def load_sql() -> dict[str, str]:
