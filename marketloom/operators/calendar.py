@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.settings import bounded_broadcast
 
 
 def from_rows(rows: DataFrame, regular_minutes: int) -> DataFrame:
@@ -41,7 +40,7 @@ def clip_sessions(sessions: DataFrame, start: str, end: str, zone: str) -> DataF
 def sessionize(df: DataFrame, sessions: DataFrame, zone: str = "UTC", ts: str = "ts") -> DataFrame:
     """Add session_date, session_type, is_regular_session and the minute since the open."""
     local = F.to_date(F.from_utc_timestamp(ts, zone))
-    cal = bounded_broadcast(sessions.select("session_date", "open_at", "close_at"))
+    cal = sessions.select("session_date", "open_at", "close_at")
     j = df.withColumn("session_date", local).join(cal, "session_date", "left")
     regular = (F.col(ts) >= F.col("open_at")) & (F.col(ts) < F.col("close_at"))
     kind = (
@@ -67,7 +66,7 @@ def session_grid(assets: DataFrame, sessions: DataFrame, start: str, end: str, s
     """assets x sessions x slots without a cross join: dates are exploded and matched."""
     days = F.sequence(F.lit(start).cast("date"), F.date_sub(F.lit(end).cast("date"), 1))
     n = F.lit(slots) if isinstance(slots, int) else slots
-    cal = bounded_broadcast(sessions)
+    cal = sessions
     return (
         assets.select("asset", F.explode(days).alias("session_date"))
         .join(cal, "session_date")
@@ -102,21 +101,21 @@ def next_open(df: DataFrame, sessions: DataFrame, ts: str = "ts") -> DataFrame:
     """Session membership and the first open at or after each row.
 
     The next open of a date depends only on the row's own day and the day after its
-    close, so it is prepared per calendar day and found by an equi-join on the date.
+    close, so it is prepared per calendar day and found by an equi-join on the date. Rows
+    before the first session, however early, wait for its open; rows after the last have none.
     """
-    span = sessions.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"))
-    days = span.select(F.explode(F.expr("sequence(date_sub(a, 7), b)")).alias("day"))
+    span = sessions.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"), F.min("open_at").alias("_first"))
+    days = span.select(F.explode(F.expr("sequence(a, b)")).alias("day"))
     every = days.join(sessions.select(F.col("session_date").alias("day"), "open_at", "close_at"), "day", "left")
     # One row per calendar day: this window sees thousands of rows at most.
     ahead = Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
     every = every.withColumn("later_open", F.first("open_at", ignorenulls=True).over(ahead))
-    j = df.withColumn("day", F.to_date(ts)).join(bounded_broadcast(every), "day", "left")
+    j = df.withColumn("day", F.to_date(ts)).join(every, "day", "left").crossJoin(span.select("_first"))
     t = F.col(ts)
+    upcoming = F.when(t <= F.col("_first"), F.col("_first")).when(t <= F.col("open_at"), F.col("open_at")).otherwise(F.col("later_open"))
     return j.withColumn(
         "in_session", F.coalesce((t >= F.col("open_at")) & (t < F.col("close_at")), F.lit(False))
-    ).withColumn("next_open", F.when(t <= F.col("open_at"), F.col("open_at")).otherwise(F.col("later_open"))).drop(
-        "day", "open_at", "close_at", "later_open"
-    )
+    ).withColumn("next_open", upcoming).drop("day", "open_at", "close_at", "later_open", "_first")
 
 
 def indivisible_sessions(sessions: DataFrame, interval: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.settings import bounded_broadcast, cut_lineage
+from marketloom.settings import cut_lineage
 
 
 def purged_folds(
@@ -47,13 +47,13 @@ def role_days(folds: DataFrame, date: str, keep: Sequence[str] = ("fold",)) -> D
 
 def tag(df: DataFrame, folds: DataFrame, date: str) -> DataFrame:
     """Panel rows once per (fold, role) that holds their date; an equi-join on the day."""
-    return df.join(bounded_broadcast(role_days(folds, date)), date)
+    return df.join(role_days(folds, date), date)
 
 
 def nested_folds(calendar: DataFrame, outer: DataFrame, date: str, train: int, test: int, step: int, purge: int, embargo: int) -> DataFrame:
     """Inner folds inside each outer training range."""
     days = role_days(outer.withColumnRenamed("fold", "outer_fold"), date, ["outer_fold"]).where("role = 'train'")
-    inner = calendar.select(date).distinct().join(bounded_broadcast(days.select("outer_fold", date)), date)
+    inner = calendar.select(date).distinct().join(days.select("outer_fold", date), date)
     return purged_folds(inner, date, train, test, step, purge, embargo, by=["outer_fold"])
 
 

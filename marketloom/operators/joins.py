@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import reasons
 from marketloom.operators.chunks import asof_backward
-from marketloom.settings import bounded_broadcast
 
 
 def snapshot_at(df: DataFrame, asof: str, clock: str = "available_at") -> DataFrame:
@@ -91,7 +90,7 @@ def tag_folds(df: DataFrame, folds: DataFrame, date: str, how: str = "inner") ->
     Folds are exploded to days: an equi-join replaces the range condition.
     """
     days = folds.withColumn(date, F.explode(F.expr("sequence(start, date_sub(end, 1))"))).drop("start", "end")
-    return df.join(bounded_broadcast(days), date, how)
+    return df.join(days, date, how)
 
 
 def without(df: DataFrame, banned: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,10 +136,14 @@ def listing_eligibility(requests: DataFrame, master: DataFrame, placeholder: str
 def interval_status(df: DataFrame, periods: DataFrame, by: str, day: str) -> DataFrame:
     """Rows with the statuses whose [start_date, end_date] covers the day; open ends allowed.
 
-    Periods are bucketed by year on both sides, so the equi-join key includes the year.
+    Both sides are bucketed by year, so the equi-join key includes the year. Periods spread over
+    the years that the days really span, which a one-row side brings, so no end date is assumed.
     """
-    far = F.coalesce(F.col("end_date"), F.lit("2100-12-31").cast("date"))
-    spread = periods.withColumn("_y", F.explode(F.sequence(F.year("start_date"), F.year(far))))
+    span = df.agg(F.year(F.min(day)).alias("_low"), F.year(F.max(day)).alias("_high"))
+    first = F.greatest(F.year("start_date"), F.col("_low"))
+    last = F.least(F.coalesce(F.year("end_date"), F.col("_high")), F.col("_high"))
+    known = periods.crossJoin(span).where(first <= last)
+    spread = known.withColumn("_y", F.explode(F.sequence(first, last))).drop("_low", "_high")
     j = df.withColumn("_y", F.year(day)).join(spread, [by, "_y"])
     inside = (F.col(day) >= F.col("start_date")) & (F.col("end_date").isNull() | (F.col(day) <= F.col("end_date")))
     return j.where(inside).drop("_y")

@@ -11,36 +11,37 @@ from marketloom.functions.text import jaccard, token_literal, tokens
 from marketloom.operators.chunks import with_lookback
 from marketloom.settings import cut_lineage
 
-MAX_DEPTH, MAX_NODES = 6, 100
 
+def traverse(edges: DataFrame, start: str, direction: str = "out", depth: int = 6) -> DataFrame:
+    """``(node, depth)``: breadth-first reach of one node within ``depth`` hops, without a node limit.
 
-def traverse(edges: DataFrame, start: str, direction: str = "out", depth: int = MAX_DEPTH, nodes: int = MAX_NODES) -> DataFrame:
-    """Breadth-first reach of one node, nearest and smallest keys first.
-
-    The answer is bounded by ``nodes`` by definition, so each hop sends the frontier to the
-    scan as a filter on the edge table. edges: parent, child.
+    The frontier is a table: a hop joins it with the edges (parent, child) and drops nodes seen
+    before. Hops are written to the shared folder, and the walk ends when a hop finds nothing new.
     """
-    if not 1 <= depth <= MAX_DEPTH or not 1 <= nodes <= MAX_NODES:
-        raise ValueError("depth or node bound out of range")
-    spark = edges.sparkSession
-    seen, found, frontier, cut = {start}, [(start, 0)], [start], False
+    if depth < 1 or direction not in ("out", "in", "both"):
+        raise ValueError("depth or direction out of range")
+    steps = []
+    if direction in ("out", "both"):
+        steps.append(edges.select(F.col("parent").alias("node"), F.col("child").alias("next")))
+    if direction in ("in", "both"):
+        steps.append(edges.select(F.col("child").alias("node"), F.col("parent").alias("next")))
+    moves = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
+    seen = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).cast("bigint").alias("depth"))
+    frontier = seen
     for hop in range(1, depth + 1):
-        steps = []
-        if direction in ("out", "both"):
-            steps.append(edges.where(F.col("parent").isin(frontier)).select(F.col("child").alias("node")))
-        if direction in ("in", "both"):
-            steps.append(edges.where(F.col("child").isin(frontier)).select(F.col("parent").alias("node")))
-        reach = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-        room = nodes - len(found)
-        new = [r["node"] for r in reach.where(~F.col("node").isin(list(seen))).distinct().orderBy("node").limit(room + 1).collect()]
-        cut = cut or len(new) > room
-        frontier = new[:room]
-        found += [(n, hop) for n in frontier]
-        seen.update(frontier)
-        if not frontier or cut:
+        reach = moves.join(frontier.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct()
+        frontier = cut_lineage(reach.join(seen, "node", "left_anti").withColumn("depth", F.lit(hop).cast("bigint")), "frontier")
+        if frontier.isEmpty():
             break
-    out = spark.createDataFrame(found, "node string, depth long")
-    return out.withColumn("truncated", F.lit(cut))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def traversed_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """The edges between reached nodes."""
+    ends = reached.select("node")
+    inner = edges.join(ends.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    return inner.join(ends.withColumnRenamed("node", "child"), "child", "left_semi").select(*edges.columns)
 
 
 def depths(nodes: DataFrame, node: str, parent: str) -> DataFrame:

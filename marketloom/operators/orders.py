@@ -141,14 +141,16 @@ def rebalance_decision(pairs: DataFrame, by: Sequence[str], force: float, least:
 
 
 def stress(weights: DataFrame, shocks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Loss per scenario; an asset without a shock in any scenario is counted.
+    """Return of every book under every scenario, with the assets that have no shock there.
 
-    shocks: scenario, asset, shock.
+    shocks: scenario, asset, shock. Scenarios are the declared ones, so a book none of whose
+    assets has a shock still shows, with all of them missing. The scenario list is one row.
     """
-    j = weights.join(shocks, "asset", "left")
-    known = j.where("scenario IS NOT NULL").groupBy(*by, "scenario").agg(F.sum(F.col("weight") * F.col("shock")).alias("scenario_return"), F.count("*").alias("_k"))
-    size = weights.groupBy(*by).agg(F.count("*").alias("_n"))
-    return known.join(size, list(by)).select(*by, "scenario", "scenario_return", (F.col("_n") - F.col("_k")).alias("missing_shocks"))
+    declared = shocks.agg(F.array_sort(F.collect_set("scenario")).alias("_all"))
+    every = weights.crossJoin(declared).withColumn("scenario", F.explode("_all")).drop("_all")
+    j = every.join(shocks, ["scenario", "asset"], "left")
+    total = F.sum(F.col("weight") * F.coalesce("shock", F.lit(0.0)))
+    return j.groupBy(*by, "scenario").agg(total.alias("scenario_return"), F.count_if(F.col("shock").isNull()).alias("missing_shocks"))
 
 
 def compare_books(pairs: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from marketloom.operators import joins, ordering, sets
 from marketloom.plans.quality import CLEAN, MASTER, master
 from marketloom.plans.registry import published, query
 from marketloom.plans.sqltext import PANELS, pub
-from marketloom.settings import bounded_broadcast, cut_lineage, shared_dir
+from marketloom.settings import cut_lineage, shared_dir
 from marketloom.sources import bars, records
 from marketloom.sources.panels import daily, hourly, sessions, table, ticks, vendor_rows, weekly
 
@@ -277,7 +277,7 @@ WHERE session_date BETWEEN DATE '2024-01-08' - 1 AND DATE '2024-01-12' + 1 GROUP
 def cal04(spark, sf):
     s = cal.clip_sessions(sessions(spark), "2024-01-08", "2024-01-12", "UTC")
     t = ticks(spark, sf).withColumn("session_date", F.to_date("ts"))
-    return published(t.join(bounded_broadcast(s), "session_date").groupBy("session_date").agg(F.count("*").alias("n")))
+    return published(t.join(s, "session_date").groupBy("session_date").agg(F.count("*").alias("n")))
 
 
 GRID = PANELS + """,

@@ -1,4 +1,4 @@
-"""Session settings, shared folders and size-checked broadcasts."""
+"""Session settings and shared folders."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Engine options the operators rely on; everything else is left to the cluster.
 REQUIRED = {
@@ -16,9 +15,6 @@ REQUIRED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
-#: Row bound below which a dimension (calendar, folds, policies) may be broadcast.
-BROADCAST_ROWS = 200_000
-
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and benches; clusters bring their own."""
@@ -68,14 +64,3 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, row_bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its own row count is within ``row_bound``.
-
-    The probe reads at most ``row_bound + 1`` rows. Larger sides are returned as they
-    are, and the join stays a shuffle join that AQE may split.
-    """
-    if df.limit(row_bound + 1).count() <= row_bound:
-        return F.broadcast(df)
-    return df

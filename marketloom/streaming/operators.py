@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from marketloom.operators.chunks import running_max
-from marketloom.settings import bounded_broadcast, shared_dir
+from marketloom.settings import shared_dir
 from marketloom.streaming.run import ROCKSDB, batch_folder, collect_batches, run_available
 
 
@@ -88,7 +88,7 @@ def positions(stream: DataFrame, deal: str, ts: str, delay: str, by: Sequence[st
 
 def session_bars(stream: DataFrame, sessions: DataFrame, base_minutes: int, widths: Sequence[int], price: str, size: str, delay: str = "1 day") -> DataFrame:
     """Session-anchored bars of several widths (in base slots) in update mode."""
-    cal = bounded_broadcast(sessions.select("session_date", "open_at", "close_at"))
+    cal = sessions.select("session_date", "open_at", "close_at")
     d = stream.withWatermark("ts", delay).withColumn("session_date", F.to_date("ts")).join(cal, "session_date")
     d = d.where((F.col("ts") >= F.col("open_at")) & (F.col("ts") < F.col("close_at")))
     slot = F.floor(F.expr("timestampdiff(MINUTE, open_at, ts)") / base_minutes)

@@ -304,3 +304,45 @@ def test_register_is_idempotent(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1")], "id string, c string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1"), ("d", "1"), ("d", "2")], "id string, c string")
     assert as_map(lineage.register(old, new, ["id"], "c"), "id", "action") == {"a": "SKIP", "b": "CONFLICT", "c": "APPEND", "d": "CONFLICT"}
+
+
+def test_next_open_waits_for_the_first_session_from_any_distance(spark):
+    from marketloom.operators.calendar import next_open
+
+    s = spark.sql("SELECT DATE'2024-01-20' AS session_date, TIMESTAMP'2024-01-20 09:00:00' AS open_at, TIMESTAMP'2024-01-20 17:00:00' AS close_at")
+    t = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP'2023-06-01 10:00:00'), (2, TIMESTAMP'2024-01-20 10:00:00'), (3, TIMESTAMP'2024-03-01 10:00:00') AS t(id, ts)")
+    got = {r["id"]: (r["in_session"], str(r["next_open"])) for r in next_open(t, s).collect()}
+    assert got == {1: (False, "2024-01-20 09:00:00"), 2: (True, "None"), 3: (False, "None")}
+
+
+def test_open_periods_have_no_assumed_end(spark):
+    from marketloom.operators.joins import interval_status
+
+    p = spark.sql("SELECT 1 AS k, DATE'2020-05-01' AS start_date, CAST(NULL AS DATE) AS end_date, 'x' AS status")
+    d = spark.sql("SELECT 1 AS k, explode(array(DATE'2019-01-01', DATE'2020-05-01', DATE'2101-07-01')) AS day")
+    assert sorted(str(r["day"]) for r in interval_status(d, p, "k", "day").collect()) == ["2020-05-01", "2101-07-01"]
+
+
+def test_stress_shows_books_without_any_shock(spark):
+    from marketloom.operators.orders import stress
+
+    w = spark.sql("SELECT * FROM VALUES ('a', 'X', 1.0D), ('b', 'Y', 1.0D) AS t(account, asset, weight)")
+    sh = spark.sql("SELECT 's' AS scenario, 'X' AS asset, -0.5D AS shock")
+    got = sorted(tuple(r) for r in stress(w, sh, ["account"]).collect())
+    assert got == [("a", "s", -0.5, 0), ("b", "s", 0.0, 1)]
+
+
+def test_traversal_has_no_node_limit(spark):
+    from marketloom.operators.lineage import traverse, traversed_edges
+
+    e = spark.range(1, 301).selectExpr("'r' AS parent", "concat('n', id) AS child").union(spark.sql("SELECT 'n1' AS parent, 'r' AS child"))
+    got = traverse(e, "r", "out", 4)
+    assert got.count() == 301 and got.agg({"depth": "max"}).first()[0] == 1
+    assert traversed_edges(e, got).count() == 301
+
+
+def test_exact_quantiles_survive_an_outlier(spark):
+    from marketloom.operators.resample import exact_quantiles
+
+    d = spark.range(1000).selectExpr("'g' AS g", "CASE WHEN id = 999 THEN 1e15 ELSE CAST(id AS DOUBLE) END AS v")
+    assert exact_quantiles(d, ["g"], "v", [0.25, 0.5]).first()[1:] == (249.75, 499.5)
