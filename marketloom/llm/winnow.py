@@ -80,7 +80,7 @@ def _range_of(order: str, bounds: list[int]) -> Column:
     table = F.array(*[F.array(*[F.lit(b).cast("long") for b in r]) for r in rows])
     whole = F.size(F.filter(tops, lambda b: b >= value))
     part = F.size(F.filter(F.get(table, whole), lambda b: b >= value))
-    return F.when(value.isNull(), len(bounds) + 1).otherwise(whole * side + F.greatest(part, F.lit(0)))
+    return F.when(value.isNull(), len(rows) * side + 1).otherwise(whole * side + F.greatest(part, F.lit(0)))
 
 
 def with_next(df: DataFrame, order: str, tie: str, columns: list[str], buckets: int = 1024) -> DataFrame:
