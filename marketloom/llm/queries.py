@@ -66,17 +66,73 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assigned(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-@query("op4_sorted_projections")
+VECTORS_SQL = """
+WITH v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), sound AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON least.a = vec_id LEFT JOIN counted ON counted.a = vec_id
+""".replace("WITH v", "WITH RECURSIVE v")
+
+
+@query("op4_sorted_projections", VECTORS_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query("op5_minhash_paths")
+WORDS_SQL = "regexp_extract_all(coalesce({}, ''), '[^ \\t-\\r]+')"
+
+NEAR_SQL = f"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, {WORDS_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM cut
+), sizes AS (
+  SELECT doc_id, count(s) AS n FROM cut LEFT JOIN shingles USING (doc_id) GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN least USING (doc_id)
+"""
+
+
+@query("op5_minhash_paths", NEAR_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_paths.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op6_substring")
+REPEATS_SQL = f"""
+WITH cut AS (
+  SELECT doc_id, {WORDS_SQL.format("text")} AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM cut)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS earliest FROM windows) WHERE earliest < doc_id
+), placed AS (
+  SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM cut)
+), judged AS (
+  SELECT doc_id, i, word, coalesce(max(r.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) >= p.i - 49, false) AS gone
+  FROM placed p LEFT JOIN repeated r USING (doc_id, i)
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text FROM judged GROUP BY 1
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+""".replace("max(r.i)", "max(CASE WHEN r.i IS NOT NULL THEN p.i END)")
+
+
+@query("op6_substring", REPEATS_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.cleaned(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
