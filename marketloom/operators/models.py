@@ -22,6 +22,8 @@ def gram(df: DataFrame, ts: str, asset: str, value: str, weight: str | None = No
     assets squared per task instead of pairs per timestamp. Timestamps with a missing
     asset drop out; the constant column yields weights and sums.
     """
+    # One row per (time, asset): repeated rows count by their mean, so they can't stand in for a missing asset.
+    df = df.groupBy(ts, asset).agg(F.avg(value).alias(value), *([F.max(weight).alias(weight)] if weight else []))
     members = df.agg(F.count_distinct(asset).alias("_k"))
     w = F.max(weight) if weight else F.lit(1.0)
     rows = (

@@ -15,7 +15,7 @@ hourly AS (
   SELECT asset, CAST(ts AS DATE) AS session_date, CAST(hour(ts) - 9 AS BIGINT) AS slot,
          arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
          arg_max(price, ts) AS close, CAST(sum(size) AS DOUBLE) AS volume, count(*) AS n
-  FROM ticks WHERE hour(ts) >= 9 AND hour(ts) < 17 GROUP BY 1, 2, 3),
+  FROM ticks WHERE hour(ts) >= 9 AND hour(ts) < CASE WHEN isodow(ts) = 5 THEN 13 ELSE 17 END GROUP BY 1, 2, 3),
 vendor AS (
   SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS asset, l_shipdate AS ts,
          l_extendedprice / l_quantity AS open,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketloom.operators import quality as q
 from marketloom.operators.orders import admissible
 from marketloom.operators.resample import multi_interval
 from marketloom.plans.registry import published, query
@@ -37,10 +36,10 @@ def str01(spark, sf):
     return run.to_table(d.select("event_id", "asset", "price"), "append", "str01")
 
 
-@query("str02_source_conflicts", """SELECT user_id, event_type AS asset, count(*) + count(*) FILTER (user_id < 50) AS deliveries, min(value) <> max(value) AS conflict FROM events GROUP BY 1, 2""")
+@query("str02_source_conflicts", """SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, event_type AS asset, count(*) + count(*) FILTER (user_id < 50) AS deliveries, min(value) <> max(value) AS conflict FROM events GROUP BY 1, 2, 3""")
 def str02(spark, sf):
-    d = so.source_conflicts(doubled(spark, sf), ["user_id", "asset"], "price")
-    return run.to_table(d, "update", "str02", ["user_id", "asset"])
+    d = so.source_conflicts(doubled(spark, sf), ["user_id", "asset"], "price", "ts", "2 days")
+    return published(run.to_table(d, "update", "str02", ["day", "user_id", "asset"]))
 
 
 @query("str03_arrival_counters", PANELS + """, z AS (SELECT asset, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) + size * 30 - 60 AS arr, size * 30 - 60 AS age FROM ticks),
@@ -144,9 +143,9 @@ def str12(spark, sf):
 @query("str13_derived_rows", """SELECT user_id, event_type AS asset, strftime(ts, '%Y-%m-%d') AS day, min(value) AS price FROM events GROUP BY 1, 2, 3 HAVING count(DISTINCT value) = 1""")
 def str13(spark, sf):
     """Equal derived rows collapse, unequal ones drop out."""
-    t = ticks(spark, sf).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2))))
-    t = t.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return q.quarantine_conflicts(t, ["user_id", "asset", "day"], ["price"])
+    d = so.derived_rows(doubled(spark, sf), ["user_id", "asset"], ["price"], "ts", "2 days")
+    out = run.to_table(d, "update", "str13", ["day", "user_id", "asset"])
+    return published(out.where("NOT conflict").drop("conflict"), None)
 
 
 @query("str14_quote_events", PANELS + f"SELECT strftime(date_trunc('second', ts), {FMT}) AS event_time, asset, count(*) AS n FROM ticks GROUP BY 1, 2")
@@ -164,13 +163,16 @@ def src20(spark, sf):
     return published(run.to_table(d.select("event_id", "received_at", "price"), "append", "src20"), None)
 
 
-@query("ev35_stream_batch_parity", BARS + "SELECT CAST(count(*) AS BIGINT) AS stream_rows, CAST(count(*) AS BIGINT) AS batch_rows, CAST(0 AS BIGINT) AS only_stream, CAST(0 AS BIGINT) AS only_batch, true AS equal FROM b WHERE NOT (isodow(session_date) = 5)")
+@query("ev35_stream_batch_parity", BARS + "SELECT CAST(count(*) AS BIGINT) AS stream_rows, CAST(count(*) AS BIGINT) AS batch_rows, CAST(0 AS BIGINT) AS only_stream, CAST(0 AS BIGINT) AS only_batch, true AS equal FROM b")
 def ev35(spark, sf):
-    """Streamed bars against batch bars of the same ticks (full sessions)."""
+    """Streamed bars against batch bars of the same ticks, all days and columns."""
     d = so.session_bars(tick_stream(spark, sf), sessions(spark), 60, [1, 2, 4], "price", "size")
-    s = run.to_table(d, "update", "ev35", ["asset", "session_date", "width", "bucket"]).where("weekday(session_date) <> 4")
-    b = multi_interval(hourly(spark, sf).drop("n"), [1, 2, 4]).drop("is_complete", "rows").where("weekday(session_date) <> 4")
-    return so.parity(s.drop("rows"), b)
+    s = run.to_table(d, "update", "ev35", ["asset", "session_date", "width", "bucket"])
+    h = hourly(spark, sf)
+    b = multi_interval(h.drop("n"), [1, 2, 4]).drop("is_complete", "rows")
+    wide = h.withColumn("width", F.explode(F.array(*[F.lit(w) for w in (1, 2, 4)])))
+    n = wide.groupBy("asset", "session_date", "width", F.floor(F.col("slot") / F.col("width")).alias("bucket")).agg(F.sum("n").alias("rows"))
+    return so.parity(s, b.join(n, ["asset", "session_date", "width", "bucket"]))
 
 
 @query("udf04_stream_algorithm", "SELECT event_type AS asset, count(*) FILTER (value > 50) AS alerts FROM events GROUP BY 1")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OPEN_HOUR, CLOSE_HOUR = 9, 17
+OPEN_HOUR, CLOSE_HOUR, HALF_DAY_CLOSE = 9, 17, 13
 SPAN_START, SPAN_END = "2024-01-01", "2024-01-31"
 
 
@@ -43,7 +43,7 @@ def sessions(spark: SparkSession) -> DataFrame:
     return day.select(
         "session_date",
         (midnight + F.expr(f"INTERVAL {OPEN_HOUR} HOURS")).alias("open_at"),
-        F.when(half, midnight + F.expr("INTERVAL 13 HOURS"))
+        F.when(half, midnight + F.expr(f"INTERVAL {HALF_DAY_CLOSE} HOURS"))
         .otherwise(midnight + F.expr(f"INTERVAL {CLOSE_HOUR} HOURS"))
         .alias("close_at"),
         half.alias("is_half_day"),
@@ -53,7 +53,8 @@ def sessions(spark: SparkSession) -> DataFrame:
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regular-session base bars of 60 minutes; ``slot`` counts hours since the open."""
     t = ticks(spark, sf_dir)
-    t = t.where((F.hour("ts") >= OPEN_HOUR) & (F.hour("ts") < CLOSE_HOUR))
+    closes = F.when(F.dayofweek("ts") == 6, HALF_DAY_CLOSE).otherwise(CLOSE_HOUR)
+    t = t.where((F.hour("ts") >= OPEN_HOUR) & (F.hour("ts") < closes))
     return t.groupBy(
         "asset",
         F.to_date("ts").alias("session_date"),

@@ -25,12 +25,28 @@ def deduplicated(stream: DataFrame, ident: str, ts: str, delay: str) -> DataFram
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([ident])
 
 
-def source_conflicts(stream: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:
-    """Provider keys with their number of deliveries and whether contents differ.
+def source_conflicts(stream: DataFrame, keys: Sequence[str], ident: str, ts: str, delay: str) -> DataFrame:
+    """Provider keys of a day with their number of deliveries and whether contents differ.
 
-    Differing identities show as min <> max, so no per-key Python state is needed.
+    Differing identities show as min <> max, so no per-key Python state is needed. A day's keys
+    leave the state once the watermark has passed the day.
     """
-    return stream.groupBy(*keys).agg(F.count("*").alias("deliveries"), (F.min(ident) != F.max(ident)).alias("conflict"))
+    g = stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("_w"), *keys)
+    g = g.agg(F.count("*").alias("deliveries"), (F.min(ident) != F.max(ident)).alias("conflict"))
+    return g.select(F.to_date("_w.start").alias("day"), *keys, "deliveries", "conflict")
+
+
+def derived_rows(stream: DataFrame, keys: Sequence[str], values: Sequence[str], ts: str, delay: str) -> DataFrame:
+    """One row per key and day with ``conflict``: equal deliveries collapse, unequal ones are told apart.
+
+    Values are those of the smallest delivery; they mean nothing where ``conflict`` holds.
+    """
+    differs = F.lit(False)
+    for v in values:
+        differs = differs | (F.min(v) != F.max(v)) | ((F.count(v) > 0) & (F.count(v) < F.count("*")))
+    g = stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("_w"), *keys)
+    g = g.agg(*[F.min(v).alias(v) for v in values], differs.alias("conflict"))
+    return g.select(F.to_date("_w.start").alias("day"), *keys, *values, "conflict")
 
 
 def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:
@@ -93,14 +109,19 @@ def session_bars(stream: DataFrame, sessions: DataFrame, base_minutes: int, widt
     d = d.where((F.col("ts") >= F.col("open_at")) & (F.col("ts") < F.col("close_at")))
     slot = F.floor(F.expr("timestampdiff(MINUTE, open_at, ts)") / base_minutes)
     d = d.withColumns({"slot": slot, "width": F.explode(F.array(*[F.lit(int(w)) for w in widths]))})
-    return d.groupBy("asset", "session_date", "width", F.floor(F.col("slot") / F.col("width")).alias("bucket")).agg(
+    # The day window is the event-time key: bars leave the state when the watermark has passed their day.
+    g = d.groupBy(F.window("ts", "1 day").alias("_w"), "asset", "session_date", "width", F.floor(F.col("slot") / F.col("width")).alias("bucket"))
+    return g.agg(
         F.min_by(price, "ts").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, "ts").alias("close"),
-        F.sum(size).cast("double").alias("volume"), F.count("*").alias("rows"))
+        F.sum(size).cast("double").alias("volume"), F.count("*").alias("rows")).drop("_w")
+
 
+def barrier(stream: DataFrame, keys: Sequence[str], member: str, members: int, ts: str = "ts", delay: str = "1 day") -> DataFrame:
+    """Cross-sections that are complete; partial ones are not emitted and leave the state with the watermark.
 
-def barrier(stream: DataFrame, keys: Sequence[str], member: str, members: int) -> DataFrame:
-    """Cross-sections that are complete; partial ones stay in state and are not emitted."""
-    g = stream.groupBy(*keys).agg(F.size(F.collect_set(member)).cast("long").alias("members"))
+    ``keys`` must hold the event time ``ts``.
+    """
+    g = stream.withWatermark(ts, delay).groupBy(*keys).agg(F.size(F.collect_set(member)).cast("long").alias("members"))
     return g.where(F.col("members") == members)
 
 
@@ -154,10 +175,9 @@ class RollingFeatures(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self.bars.get()] if self.bars.exists() else []
-        for pdf in rows:
-            if not len(pdf):
-                continue
-            pdf = pdf.sort_values("ts")
+        # A key's rows of one micro-batch come in several Arrow batches in any order.
+        parts = [pdf for pdf in rows if len(pdf)]
+        for pdf in [pd.concat(parts).sort_values("ts")] if parts else []:
             t = pdf["ts"].astype("int64").to_numpy(dtype=float)
             if held and t[0] <= held[-1][0] or (len(t) > 1 and (t[1:] <= t[:-1]).any()):
                 raise ValueError(f"bars of {key[0]} do not move forward")
@@ -167,7 +187,8 @@ class RollingFeatures(StatefulProcessor):
                 "momentum": (closes / closes.shift(self.width - 1) - 1)[len(held):].to_numpy(),
                 "mean": closes.rolling(self.width).mean()[len(held):].to_numpy(),
             })
-            held = (held + list(zip(t.tolist(), pdf["close"].tolist())))[-(self.width - 1):]
+            both = held + list(zip(t.tolist(), pdf["close"].tolist()))
+            held = both[max(0, len(both) - self.width + 1):]
             yield out.astype(object).where(out.notna(), None)
         if held:
             self.bars.put([(float(a), float(b)) for a, b in held])
