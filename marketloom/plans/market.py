@@ -50,12 +50,11 @@ def src03(spark, sf):
     return bars.manifest(spark, path, "lineitem", "r1")
 
 
-@query("src04_month_gaps", """WITH m AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS mo FROM lineitem WHERE l_quantity = 50 AND l_tax = 0.08 AND l_discount = 0.1)
-SELECT strftime(g, '%Y-%m-%d') AS month FROM (SELECT unnest(generate_series((SELECT min(mo) FROM m), (SELECT max(mo) FROM m), INTERVAL 1 MONTH)) AS g) AS x
-WHERE g NOT IN (SELECT mo FROM m)""")
+@query("src04_month_gaps", """WITH m AS (SELECT DISTINCT l_partkey, date_trunc('month', l_shipdate) AS mo FROM lineitem), s AS (SELECT l_partkey, min(mo) AS a, max(mo) AS b FROM m GROUP BY 1),
+g AS (SELECT l_partkey, unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS mo FROM s)
+SELECT l_partkey, strftime(mo, '%Y-%m-%d') AS month FROM g ANTI JOIN m USING (l_partkey, mo)""")
 def src04(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity = 50 AND l_tax = 0.08 AND l_discount = 0.1")
-    return published(bars.month_gaps(li, "l_shipdate"))
+    return published(bars.month_gaps(table(spark, sf, "lineitem"), "l_shipdate", ["l_partkey"]))
 
 
 @query("src05_preview", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_orderkey, l_linenumber, l_extendedprice LIMIT 500")
@@ -123,16 +122,19 @@ def src12(spark, sf):
     return published(out, None)
 
 
-@query("src13_symbol_map", """WITH m AS (SELECT DISTINCT p_type AS source, p_brand AS target FROM part WHERE p_size > 45 AND p_retailprice < 1000),
+@query("src13_symbol_map", """WITH m AS (SELECT DISTINCT p_type || '-' || p_size AS source, p_brand AS target FROM part),
 s AS (SELECT source, count(DISTINCT target) AS n, min(target) AS target FROM m GROUP BY 1),
 t AS (SELECT target, count(DISTINCT source) > 1 AS shared FROM m GROUP BY 1)
 SELECT p_partkey, x.source, s.target, concat_ws(',', CASE WHEN s.target IS NULL THEN 'UNMAPPED' END, CASE WHEN n > 1 THEN 'AMBIGUOUS_SOURCE' END,
   CASE WHEN shared THEN 'AMBIGUOUS_TARGET' END) AS blockers
-FROM (SELECT p_partkey, p_type AS source FROM part) AS x LEFT JOIN s ON x.source = s.source LEFT JOIN t ON s.target = t.target""")
+FROM (SELECT p_partkey, p_type || '-' || (p_size + 1) AS source FROM part) AS x LEFT JOIN s ON x.source = s.source LEFT JOIN t ON s.target = t.target""")
 def src13(spark, sf):
+    def code(size):
+        return F.concat("p_type", F.lit("-"), size.cast("string")).alias("source")
+
     p = table(spark, sf, "part")
-    m = p.where("p_size > 45 AND p_retailprice < 1000").select(F.col("p_type").alias("source"), F.col("p_brand").alias("target")).distinct()
-    return published(records.map_symbols(p.select("p_partkey", F.col("p_type").alias("source")), m, "source", "target"))
+    m = p.select(code(F.col("p_size")), F.col("p_brand").alias("target")).distinct()
+    return published(records.map_symbols(p.select("p_partkey", code(F.col("p_size") + 1)), m, "source", "target"))
 
 
 @query("src14_unit_scaling", "SELECT o_orderkey, o_totalprice * 1000 AS amount, CAST(o_custkey AS DOUBLE) * 100 AS lots FROM orders")
@@ -444,11 +446,11 @@ def join08(spark, sf):
     return joins.without(a, b, ["lang", "source"]).select("doc_id")
 
 
-@query("join09_scheduled_universe", PANELS + """, sc AS (SELECT DISTINCT date_trunc('year', wk)::DATE AS effective_at, asset FROM weekly WHERE days >= 6 AND month(wk) = 3 AND year(wk) < 2000)
+@query("join09_scheduled_universe", PANELS + """, sc AS (SELECT DISTINCT date_trunc('year', wk)::DATE AS effective_at, asset FROM weekly)
 SELECT strftime(r.d, '%Y-%m-%d') AS request_date, strftime(v.effective_at, '%Y-%m-%d') AS effective_at, sc.asset, CASE WHEN v.effective_at IS NULL THEN 'BEFORE_FIRST_SCHEDULE' END AS reason
 FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) - 200 AS d FROM orders) AS r ASOF LEFT JOIN (SELECT DISTINCT effective_at FROM sc) AS v ON r.d >= v.effective_at LEFT JOIN sc ON v.effective_at = sc.effective_at""")
 def join09(spark, sf):
-    sc = weekly(spark, sf).where((F.col("days") >= 6) & (F.month("wk") == 3) & (F.col("yr") < 2000)).select(F.trunc("wk", "year").alias("effective_at"), "asset").distinct()
+    sc = weekly(spark, sf).select(F.trunc("wk", "year").alias("effective_at"), "asset").distinct()
     rq = table(spark, sf, "orders").select(F.date_sub(F.to_date("o_orderdate"), 200).alias("request_date")).distinct()
     return published(joins.scheduled_universe(rq, sc))
 
@@ -462,12 +464,12 @@ def join10(spark, sf):
     return published(joins.listing_eligibility(rq, master(spark, sf)))
 
 
-@query("join11_status_periods", """WITH p AS (SELECT o_custkey % 100 AS k, o_orderkey, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_orderdate AS DATE) + 20 END AS e, o_orderpriority AS status FROM orders WHERE o_totalprice > 480000)
+@query("join11_status_periods", """WITH p AS (SELECT o_custkey AS k, o_orderkey, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_orderdate AS DATE) + 20 END AS e, o_orderpriority AS status FROM orders)
 SELECT l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS day, status, count(*) AS n FROM lineitem JOIN p ON l_suppkey = k AND CAST(l_shipdate AS DATE) >= s AND (e IS NULL OR CAST(l_shipdate AS DATE) <= e) GROUP BY 1, 2, 3""")
 def join11(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 480000")
+    o = table(spark, sf, "orders")
     day = F.to_date("o_orderdate")
-    p = o.select((F.col("o_custkey") % 100).alias("l_suppkey"), day.alias("start_date"), F.when(F.col("o_orderstatus") != "O", F.date_add(day, 20)).alias("end_date"), F.col("o_orderpriority").alias("status"))
+    p = o.select(F.col("o_custkey").alias("l_suppkey"), day.alias("start_date"), F.when(F.col("o_orderstatus") != "O", F.date_add(day, 20)).alias("end_date"), F.col("o_orderpriority").alias("status"))
     li = table(spark, sf, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day"))
     li = li.groupBy("l_suppkey", "day").agg(F.count("*").alias("c"))
     out = joins.interval_status(li, p, "l_suppkey", "day")

@@ -58,12 +58,12 @@ def read_months(spark: SparkSession, path: str, start: str, end: str, zone: str
     return d.where((F.col(ts) >= lo) & (F.col(ts) < hi))
 
 
-def month_gaps(df: DataFrame, month: str) -> DataFrame:
-    """Months between the first and last observed one that have no rows."""
-    seen = df.select(F.trunc(F.col(month), "month").alias("month")).distinct()
-    span = seen.agg(F.min("month").alias("a"), F.max("month").alias("b"))
-    want = span.select(F.explode(F.expr("sequence(a, b, INTERVAL 1 MONTH)")).alias("month"))
-    return want.join(seen, "month", "left_anti")
+def month_gaps(df: DataFrame, month: str, by: Sequence[str] = ()) -> DataFrame:
+    """Months between the first and last observed one, of each key, that have no rows."""
+    seen = df.select(*by, F.trunc(F.col(month), "month").alias("month")).distinct()
+    span = seen.groupBy(*by).agg(F.min("month").alias("a"), F.max("month").alias("b"))
+    want = span.select(*by, F.explode(F.expr("sequence(a, b, INTERVAL 1 MONTH)")).alias("month"))
+    return want.join(seen, [*by, "month"], "left_anti")
 
 
 def partition_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
