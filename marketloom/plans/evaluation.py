@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marketloom.operators import cross as xs
 from marketloom.operators import evaluate as ev
 from marketloom.operators import folds as fo
 from marketloom.operators import stats as st
@@ -348,26 +349,31 @@ def ev34(spark, sf):
 GATES = {
     "positive_share": (">=", 0.5, "POSITIVE_SHARE_LOW"), "direction_share": (">=", 0.5, "DIRECTION_UNSTABLE"), "icir": (">=", 0.0, "POOLED_ICIR_LOW"),
     "worst_icir": (">=", -0.3, "WORST_ICIR_LOW"), "turnover": ("<=", 0.9, "TURNOVER_HIGH"), "coverage": (">=", 0.5, "COVERAGE_LOW"),
+    "mean_icir": (">=", 0.0, "MEAN_FOLD_ICIR_LOW"), "long_short": (">=", 0.0, "LONG_SHORT_SHARPE_LOW"), "monotonicity": (">=", 0.0, "NOT_MONOTONIC"),
 }
 
 
 GATED = REPORT + QP[len(CAND):] + """, cov AS (SELECT candidate, count(value) FILTER (is_complete) / count(*) FILTER (is_complete) AS coverage FROM obs GROUP BY 1),
-tt AS (SELECT candidate, avg(turnover) AS turnover FROM qt GROUP BY 1), ga AS (SELECT *, 0.5 AS monotonicity, 0.05 AS q_value FROM rep JOIN pool USING (candidate) JOIN cov USING (candidate) JOIN tt USING (candidate)),
+tt AS (SELECT candidate, avg(turnover) AS turnover FROM qt GROUP BY 1), ls AS (SELECT candidate, avg(spread) / stddev_samp(spread) * sqrt(52) AS long_short FROM qs GROUP BY 1),
+mo AS (SELECT candidate, corr(b, m) AS monotonicity FROM (SELECT candidate, b, avg(y1) AS m FROM qk GROUP BY 1, 2) AS z GROUP BY 1),
+ga AS (SELECT *, 0.05 AS q_value FROM rep JOIN pool USING (candidate) JOIN cov USING (candidate) JOIN tt USING (candidate) JOIN ls USING (candidate) JOIN mo USING (candidate)),
 gc AS (SELECT *, concat_ws(',', CASE WHEN positive_share < 0.5 THEN 'POSITIVE_SHARE_LOW' END, CASE WHEN direction_share < 0.5 THEN 'DIRECTION_UNSTABLE' END, CASE WHEN icir < 0 THEN 'POOLED_ICIR_LOW' END, CASE WHEN worst_icir < -0.3 THEN 'WORST_ICIR_LOW' END,
-  CASE WHEN turnover > 0.9 THEN 'TURNOVER_HIGH' END, CASE WHEN coverage < 0.5 THEN 'COVERAGE_LOW' END) AS codes FROM ga)
+  CASE WHEN turnover > 0.9 THEN 'TURNOVER_HIGH' END, CASE WHEN coverage < 0.5 THEN 'COVERAGE_LOW' END, CASE WHEN mean_icir < 0 THEN 'MEAN_FOLD_ICIR_LOW' END, CASE WHEN long_short < 0 THEN 'LONG_SHORT_SHARPE_LOW' END, CASE WHEN monotonicity < 0 THEN 'NOT_MONOTONIC' END) AS codes FROM ga)
 """
 
 
 def gated(spark, sf):
     o = obs(spark, sf)
     cov = ev.coverage(o, ["candidate"], "value", F.col("is_complete")).select("candidate", "coverage")
-    t = ev.quantile_diagnostics(o, ["candidate"], "wk", "asset", "value", "y1", 5, 10, 52.0).select("candidate", F.col("mean_turnover").alias("turnover"))
-    rep = walk_forward_report(spark, sf).join(cov, "candidate").join(t, "candidate")
-    rep = rep.withColumns({"monotonicity": F.lit(0.5), "q_value": F.lit(0.05)})
+    t = ev.quantile_diagnostics(o, ["candidate"], "wk", "asset", "value", "y1", 5, 10, 52.0).select("candidate", F.col("mean_turnover").alias("turnover"), F.col("long_short_sharpe").alias("long_short"))
+    held = ev.quantile_portfolios(o, ["candidate"], "wk", "asset", "value", "y1", 5, 10)
+    mono = xs.spread_and_monotonicity(held, ["candidate"], "bucket", "y1", 5, ranked=False).select("candidate", "monotonicity")
+    rep = walk_forward_report(spark, sf).join(cov, "candidate").join(t, "candidate").join(mono, "candidate")
+    rep = rep.withColumn("q_value", F.lit(0.05))  # a parameter of the score
     return ev.gate_candidates(rep, GATES, 0.5)
 
 
-@query("ev30_candidate_gate", GATED + """SELECT candidate, codes, codes = '' AS passed, round(CASE WHEN codes = '' THEN greatest(icir, 1e-12) * positive_share * direction_share * 0.75 * sqrt(greatest(coverage, 1e-12)) * 0.975 / (1 + 0.5 * turnover) ELSE 0 END, 6) + 0.0 AS score FROM gc""")
+@query("ev30_candidate_gate", GATED + """SELECT candidate, codes, codes = '' AS passed, round(CASE WHEN codes = '' THEN greatest(icir, 1e-12) * positive_share * direction_share * (greatest(monotonicity, 0) * 0.5 + 0.5) * sqrt(greatest(coverage, 1e-12)) * 0.975 / (1 + 0.5 * turnover) ELSE 0 END, 6) + 0.0 AS score FROM gc""")
 def ev30(spark, sf):
     return published(gated(spark, sf).select("candidate", "codes", "passed", "score"))
 
