@@ -42,6 +42,7 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
 
 
 _own_dir: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -56,7 +57,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own_dir.setdefault("root", "") or tempfile.mkdtemp(prefix="spark-marketloom-")
         _own_dir["root"] = root
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete the shared folders of this process, once no result that reads them is needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count
 
 
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:

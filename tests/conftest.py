@@ -10,6 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from marketloom.settings import local_session
+    from marketloom.settings import clear_shared, local_session
 
-    return local_session("4", 4, "4g")
+    session = local_session("4", 4, "4g")
+    yield session
+    clear_shared(session)

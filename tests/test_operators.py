@@ -344,3 +344,11 @@ def test_exact_quantiles_survive_an_outlier(spark):
 
     d = spark.range(1000).selectExpr("'g' AS g", "CASE WHEN id = 999 THEN 1e15 ELSE CAST(id AS DOUBLE) END AS v")
     assert exact_quantiles(d, ["g"], "v", [0.25, 0.5]).first()[1:] == (249.75, 499.5)
+
+
+def test_shared_folders_can_be_cleared(spark, monkeypatch):
+    from marketloom import settings
+
+    monkeypatch.setattr(settings, "_made", [])
+    frame = settings.cut_lineage(spark.range(3), "clear")
+    assert frame.count() == 3 and settings.clear_shared(spark) == 1 and settings.clear_shared(spark) == 0
