@@ -24,6 +24,18 @@ def tick_stream(spark, sf):
         F.get_json_object("props", "$.k").cast("bigint").alias("size"), "event_id", "user_id")
 
 
+def batched_ticks(spark, sf, batches=3, files=2):
+    """All events dealt to files of several micro-batches, so later batches hold rows that are late and out of order."""
+    events = table(spark, sf, "events")
+    path = shared_dir(spark, "batches")
+    for b in range(batches):  # one after the other: the source reads files in the order of their times
+        events.where(F.pmod("event_id", F.lit(batches)) == b).repartition(files).write.parquet(f"{path}/part{b}")
+    s = run.file_stream(spark, path, "*.parquet", events.schema, files)
+    return s.select(
+        F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("size"), "event_id", "user_id")
+
+
 def doubled(spark, sf):
     """Deliveries with repeats: users below 50 are delivered twice."""
     n = F.when(F.col("user_id") < 50, 2).otherwise(1)
@@ -42,11 +54,11 @@ def str02(spark, sf):
     return published(run.to_table(d, "update", "str02", ["day", "user_id", "asset"]))
 
 
-@query("str03_arrival_counters", PANELS + """, z AS (SELECT asset, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) + size * 30 - 60 AS arr, size * 30 - 60 AS age FROM ticks),
-m AS (SELECT *, max(seq) OVER (PARTITION BY asset ORDER BY arr, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM z)
+@query("str03_arrival_counters", PANELS + """, z AS (SELECT asset, event_id AS seq, event_id % 3 AS batch, CAST(floor(epoch(ts)) AS BIGINT) + size * 30 - 60 AS arr, size * 30 - 60 AS age FROM ticks),
+m AS (SELECT *, max(seq) OVER (PARTITION BY asset ORDER BY batch, arr, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM z)
 SELECT asset, count(*) AS events, count(*) FILTER (seq <= top) AS out_of_order, count(*) FILTER (age > 1500) AS stale, count(*) FILTER (age < 0) AS future FROM m GROUP BY 1""")
 def str03(spark, sf):
-    d = tick_stream(spark, sf).select("asset", F.col("event_id").alias("seq"), F.date_trunc("second", "ts").alias("event_time"), "size")
+    d = batched_ticks(spark, sf).select("asset", F.col("event_id").alias("seq"), F.date_trunc("second", "ts").alias("event_time"), "size")
     d = d.withColumn("received_at", F.col("event_time") + F.make_dt_interval(secs=F.col("size") * 30 - 60))
     return so.arrival_counters(d, "asset", "seq", "received_at", "event_time", 1500.0, "str03")
 
@@ -120,10 +132,12 @@ def str10(spark, sf):
     return rows.groupBy("sink", F.array_join("codes", ",").alias("codes")).agg(F.count("*").alias("n"))
 
 
-@query("str11_late_rows", "SELECT false AS late, event_type AS asset, count(*) AS n FROM events GROUP BY 2")
+@query("str11_late_rows", """WITH e AS (SELECT *, event_id % 3 AS batch FROM events), t AS (SELECT batch, max(ts) AS top FROM e GROUP BY 1),
+l AS (SELECT e.*, (SELECT max(top) FROM t WHERE t.batch < e.batch) AS top FROM e)
+SELECT coalesce(ts < top - INTERVAL 1 HOUR, false) AS late, event_type AS asset, count(*) AS n FROM l GROUP BY 1, 2""")
 def str11(spark, sf):
-    """Rows older than the limit go to a side table; ordered input has none."""
-    on, late = so.late_rows(tick_stream(spark, sf), "ts", 3600, "str11")
+    """Rows older than the limit that earlier batches set go to a side table."""
+    on, late = so.late_rows(batched_ticks(spark, sf), "ts", 3600, "str11")
     rows = on.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
     return rows.groupBy("late", "asset").agg(F.count("*").alias("n"))
 
