@@ -14,7 +14,7 @@ from marketloom.settings import cut_lineage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A document whose leading language has less than this share of it is rejected.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
