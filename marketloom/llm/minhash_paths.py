@@ -59,8 +59,8 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def sketch(values: np.ndarray) -> bytes:
-    """Lowest byte of the minwise value under each coordinate's hash."""
+def minwise(values: np.ndarray) -> np.ndarray:
+    """The smallest hash of the set under each coordinate's hash function, mixed once more."""
     low = values.astype(np.uint32)[None, :]
     best = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
     for at in range(0, low.shape[1], 2048):
@@ -70,31 +70,55 @@ def sketch(values: np.ndarray) -> bytes:
         h ^= h >> np.uint32(13)
         np.minimum(best, h.min(axis=1), out=best)
     best *= np.uint32(0x297A2D39)
-    return (best >> np.uint32(24)).astype(np.uint8).tobytes()
+    return best
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        count, signature, sketches = [], [], []
-        for values in shingle_sets(batch.column(1)):
-            count.append(len(values))
-            signature.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
-            sketches.append(sketch(values) if len(values) else None)
-        columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(signature, pa.binary()), pa.array(sketches, pa.binary()), batch.column(2)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "signature", "sketch", "nid"])
+def _sketches(trees: int, threshold: float):
+    """Set signature, sketch bytes and the first branches of every tree, from full minwise values."""
+    roots = np.array([_splitmix(7_000_000 + t) for t in range(trees)], np.uint64)
+    picks = _picks(roots, threshold)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count, signature, sketches, branches = [], [], [], []
+            for values in shingle_sets(batch.column(1)):
+                count.append(len(values))
+                if not len(values):
+                    signature.append(None)
+                    sketches.append(None)
+                    branches.append(None)
+                    continue
+                best = minwise(values)
+                signature.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
+                sketches.append((best >> np.uint32(24)).astype(np.uint8).tobytes())
+                branches.append(np.concatenate([_child(node, at, best[at]) for node, at in picks]).view(np.int64))
+            columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(signature, pa.binary()), pa.array(sketches, pa.binary()), pa.array(branches, pa.list_(pa.int64())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "signature", "sketch", "branches", "nid"])
 
-def _children(path: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and child paths: every node picks its coordinates from its own path alone."""
+    return run
+
+
+def _picks(path: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For nodes their coordinates, from their own paths alone: one each, and a second one for some."""
     h = texts.mix(path.astype(np.uint64))
     one = (h % np.uint64(COORDINATES)).astype(np.int64)
     other = (one + 1 + ((h >> np.uint64(20)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
     second = (h >> np.uint64(40)).astype(np.float64) / float(1 << 24) < 1 / threshold - 1
-    rows, paths = [], []
-    for at, chosen in ((one, np.arange(len(path))), (other, np.flatnonzero(second))):
-        key = at[chosen].astype(np.uint64) * np.uint64(256) + sketches[chosen, at[chosen]].astype(np.uint64) + np.uint64(1)
-        rows.append(chosen)
-        paths.append(texts.mix(h[chosen] ^ texts.mix(key * np.uint64(0x9E3779B97F4A7C15))))
+    return [(h, one), (h[second], other[second])]
+
+
+def _child(node: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.ndarray:
+    key = (coordinate.astype(np.uint64) << np.uint64(32)) + value.astype(np.uint64) + np.uint64(1)
+    return texts.mix(node ^ texts.mix(key * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _children(path: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and child paths of members of nodes below the first level, where sketch bytes suffice."""
+    every = np.arange(len(path))
+    h = texts.mix(path.astype(np.uint64))
+    second = (h >> np.uint64(40)).astype(np.float64) / float(1 << 24) < 1 / threshold - 1
+    rows = [every, every[second]]
+    paths = [_child(node, at, sketches[r, at]) for (node, at), r in zip(_picks(path, threshold), rows, strict=True)]
     return np.concatenate(rows), np.concatenate(paths)
 
 
@@ -147,20 +171,25 @@ def _compare_leaves(least: float):
         for batch in _runs(batches, 1):
             path, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             marks = _matrix(batch.column(2))
-            left, right = [], []
-            gap = 1
-            at = np.flatnonzero(path[1:] == path[:-1])
+            root = np.arange(len(path))
+            left, right, fresh = [], [], 0
+            gap, at = 1, np.flatnonzero(path[1:] == path[:-1])
             while len(at):
-                for part in range(0, len(at), 65536):
-                    some = at[part : part + 65536]
+                apart = at[root[at] != root[at + gap]] if len(left) else at
+                for part in range(0, len(apart), 65536):
+                    some = apart[part : part + 65536]
                     hit = some[(marks[some] == marks[some + gap]).sum(axis=1, dtype=np.int32) >= least * COORDINATES]
                     left.append(hit)
                     right.append(hit + gap)
+                    fresh += len(hit)
+                if fresh > 1024:  # pairs that are linked already need no comparison
+                    root = texts.local_components(len(path), np.concatenate([*left, np.arange(len(path))]), np.concatenate([*right, root]))
+                    left, right, fresh = [at[:0]], [at[:0]], 0
                 gap += 1
                 at = at[at + gap < len(path)]
                 at = at[path[at] == path[at + gap]]
             if left:
-                root = texts.local_components(len(path), np.concatenate(left), np.concatenate(right))
+                root = texts.local_components(len(path), np.concatenate([*left, np.arange(len(path))]), np.concatenate([*right, root]))
                 moved = np.flatnonzero(root != np.arange(len(path)))
                 if len(moved):
                     yield _edges(node[moved], node[root[moved]])
@@ -184,28 +213,14 @@ def _branch(threshold: float):
     return run
 
 
-def _plant(trees: int, threshold: float):
-    """The first level: every class enters the root of every tree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = np.array([_splitmix(7_000_000 + t) for t in range(trees)], np.uint64)
-        for batch in batches:
-            marks, node = _matrix(batch.column(1)), batch.column(0).to_numpy()
-            for root in roots:
-                rows, paths = _children(np.full(len(node), root, np.uint64), marks, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(node[rows])], ["path", "node"])
-
-    return run
-
-
-def candidate_links(classes: DataFrame, threshold: float, trees: int, node_limit: int) -> DataFrame:
-    """Links ``(a, b)`` between classes ``(node, sketch)`` whose sketches agree, found by the trees."""
-    # Six standard deviations of a sketch estimate below the threshold; unequal values agree once in 256.
+def candidate_links(classes: DataFrame, threshold: float, node_limit: int) -> DataFrame:
+    """Links ``(a, b)`` between classes ``(node, sketch, branches)`` whose sketches agree, found by the trees."""
+    # 4.5 standard deviations of a sketch estimate below the threshold; unequal values agree once in 256.
     spread = (threshold * (1 - threshold) / COORDINATES) ** 0.5
     least = threshold - 4.5 * spread
     loose, near = least - 0.1, 0.96
     links = []
-    level = classes.mapInArrow(_plant(trees, threshold), "path long, node long")
+    level = classes.select(F.explode("branches").alias("path"), "node")
     while True:
         counts = level.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
         shared = cut_lineage(level.join(counts, "path"), "paths")
@@ -217,7 +232,7 @@ def candidate_links(classes: DataFrame, threshold: float, trees: int, node_limit
             break
         pivots = large.groupBy("path").agg(F.min("node").alias("pivot"))
         marked = pivots.join(classes.select(F.col("node").alias("pivot"), F.col("sketch").alias("mark")), "pivot")
-        seen = large.join(classes, "node").join(marked, "path").select("path", "node", "sketch", "pivot", "mark")
+        seen = large.join(classes.select("node", "sketch"), "node").join(marked, "path").select("path", "node", "sketch", "pivot", "mark")
         judged = cut_lineage(seen.mapInArrow(_likeness, "path long, node long, sketch binary, pivot long, like double"), "pivots")
         links.append(judged.where((F.col("like") >= loose) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         rest = judged.where((F.col("like") < near) & (F.col("node") != F.col("pivot")))
@@ -304,7 +319,7 @@ def _row_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id, F.lit(-1) - F.shiftrightunsigned(F.xxhash64(text), 2))
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, hundredths: int = 85, trees: int = 16, node_limit: int = 512, chunk: int = 256) -> DataFrame:
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, hundredths: int = 85, trees: int = 16, node_limit: int = 2048, chunk: int = 256) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row for each input row.
 
     Null and wordless texts have no shingles and link with nothing. Rows that repeat an id are
@@ -315,13 +330,13 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     threshold = hundredths / 100
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("nid", F.when(F.col("text").isNotNull(), _row_key(F.col("doc_id"), F.col("text"))))
-    schema = "doc_id long, n_shingles long, signature binary, sketch binary, nid long"
-    marked = cut_lineage(rows.select("doc_id", "text", "nid").mapInArrow(_sketches, schema), "sketches")
+    schema = "doc_id long, n_shingles long, signature binary, sketch binary, branches array<long>, nid long"
+    marked = cut_lineage(rows.select("doc_id", "text", "nid").mapInArrow(_sketches(trees, threshold), schema), "sketches")
     full = marked.where("n_shingles > 0")
     named = full.groupBy("signature").agg(F.coalesce(F.min("doc_id"), F.min("nid")).alias("node"))
-    known = cut_lineage(full.join(named, "signature").select("doc_id", "nid", "node", "n_shingles", "sketch"), "classes")
-    classes = known.where("nid = node").select("node", "sketch").distinct()
-    found = graph.components(candidate_links(classes, threshold, trees, node_limit), "candidates")
+    known = cut_lineage(full.join(named, "signature").select("doc_id", "nid", "node", "n_shingles", "sketch", "branches"), "classes")
+    classes = known.where("nid = node").select("node", "sketch", "branches").distinct()
+    found = graph.components(candidate_links(classes, threshold, node_limit), "candidates")
 
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     grouped = found.join(sizes, "component").select("node", F.col("component").alias("group"), F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks")
