@@ -222,9 +222,11 @@ def candidate_links(classes: DataFrame, threshold: float, node_limit: int) -> Da
     links = []
     level = classes.select(F.explode("branches").alias("path"), "node")
     while True:
-        counts = level.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-        shared = cut_lineage(level.join(counts, "path"), "paths")
-        leaves = shared.where(F.col("members") <= node_limit).join(classes, "node").select("path", "node", "sketch")
+        # Written first, so that a hot path's rows can be split in the join. Both sides grow with the
+        # corpus, so the joins of this module are planned as shuffles at every size.
+        counts = cut_lineage(level.groupBy("path").agg(F.count("*").alias("members")).where("members > 1"), "path-counts")
+        shared = cut_lineage(level.join(counts.hint("merge"), "path"), "paths")
+        leaves = shared.where(F.col("members") <= node_limit).join(classes.select("node", "sketch").hint("merge"), "node").select("path", "node", "sketch")
         sorted_leaves = leaves.repartition("path").sortWithinPartitions("path")
         links.append(cut_lineage(sorted_leaves.mapInArrow(_compare_leaves(least), "a long, b long"), "leaf-links"))
         large = shared.where(F.col("members") > node_limit)
@@ -334,13 +336,13 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     marked = cut_lineage(rows.select("doc_id", "text", "nid").mapInArrow(_sketches(trees, threshold), schema), "sketches")
     full = marked.where("n_shingles > 0")
     named = full.groupBy("signature").agg(F.coalesce(F.min("doc_id"), F.min("nid")).alias("node"))
-    known = cut_lineage(full.join(named, "signature").select("doc_id", "nid", "node", "n_shingles", "sketch", "branches"), "classes")
-    classes = known.where("nid = node").select("node", "sketch", "branches").distinct()
+    known = cut_lineage(full.join(named.hint("merge"), "signature").select("doc_id", "nid", "node", "n_shingles", "sketch", "branches"), "classes")
+    classes = cut_lineage(known.where("nid = node").select("node", "sketch", "branches").distinct(), "representatives")
     found = graph.components(candidate_links(classes, threshold, node_limit), "candidates")
 
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     grouped = found.join(sizes, "component").select("node", F.col("component").alias("group"), F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks")
-    wanted = rows.where("nid is not null").select(F.col("nid").alias("node"), "text").join(grouped, "node").select("node", "group", "chunk", "chunks", "text")
+    wanted = rows.where("nid is not null").select(F.col("nid").alias("node"), "text").join(grouped.hint("merge"), "node").select("node", "group", "chunk", "chunks", "text")
     sets = wanted.mapInArrow(_sets(size), "node long, group long, chunk long, chunks long, shingles binary")
     facing = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     pairs = facing.select("group", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "node", "chunk", "shingles")
