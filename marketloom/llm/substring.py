@@ -116,12 +116,13 @@ def _spans(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     schema = "anchor long, piece long, ord long, key long, first int, last int"
     pieces = cut_lineage(ordered.where("text is not null").mapInArrow(_pieces(window, anchor), schema), "pieces")
     blocks = pieces.groupBy("anchor").agg(F.min("piece").alias("p1"), F.max("piece").alias("p2"), F.min("ord").alias("o1"), F.max("ord").alias("o2"))
-    blocks = blocks.where("o1 < o2").select("anchor", "o1", (F.col("p1") != F.col("p2")).alias("mixed"))
+    # Written, so that the join below reads two plain shuffles and a hot block's pieces can be split.
+    blocks = cut_lineage(blocks.where("o1 < o2").select("anchor", "o1", (F.col("p1") != F.col("p2")).alias("mixed")), "blocks")
     shared = cut_lineage(pieces.join(blocks, "anchor"), "shared-pieces")
     stop = lambda c: (F.col(c) + window).alias("stop")
     spans = shared.where("not mixed and ord > o1").select("key", F.col("first").alias("start"), stop("last"))
     mixed = shared.where("mixed")
-    factors = mixed.groupBy("anchor", "piece").agg(F.min("ord").alias("earliest"))
+    factors = cut_lineage(mixed.groupBy("anchor", "piece").agg(F.min("ord").alias("earliest")), "factors")
     parsed = cut_lineage(mixed.join(factors, ["anchor", "piece"]).select("anchor", "ord", "key", "first", "last", "earliest"), "parsed")
     spans = spans.union(parsed.where("ord > earliest").select("key", F.col("first").alias("start"), stop("last")))
     edges = parsed.where("ord = earliest").groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("pieces"))
