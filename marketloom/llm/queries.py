@@ -157,8 +157,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     def printed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [count(k) for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(printed(base), 256).alias("base_sha256"), printed(F.col("spans")).alias("spans"))
 
 
