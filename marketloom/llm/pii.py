@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marketloom.llm import charnet, texts
+from marketloom.settings import cut_lineage
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -237,7 +238,8 @@ def _pieces(each: int):
 
 def fit(documents: DataFrame, text: str = "text", windows: int = 400, epochs: int = 12) -> charnet.Net:
     """A net from at most ``windows`` pieces with items and a quarter as many without, of lowest hash."""
-    rows = documents.select(F.col(text).alias("text")).where("length(text) > 0").mapInArrow(_pieces(windows), "h long, piece string").distinct()
+    rows = documents.select(F.col(text).alias("text")).where("length(text) > 0").mapInArrow(_pieces(windows), "h long, piece string")
+    rows = cut_lineage(rows.distinct(), "pieces")  # at most 1.25 * windows rows of a task
     with_items = rows.where(f"h < {PLAIN}").orderBy("h", "piece").limit(windows)
     without = rows.where(f"h >= {PLAIN}").orderBy("h", "piece").limit(windows // 4)
     samples = [r["piece"] for r in with_items.union(without).collect()]
