@@ -50,15 +50,13 @@ def _keys(passes: int):
                     if len(v) and np.isfinite(v).all() and v.any():
                         by_dim.setdefault(len(v), []).append(r)
                 for dim, rows in by_dim.items():
-                    x = np.stack([values[ends[r] : ends[r + 1]] for r in rows])
-                    x /= np.abs(x).max(axis=1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    x = np.stack([_unit(values[ends[r] : ends[r + 1]]) for r in rows])
                     if dim not in planes:
                         planes[dim] = _planes(passes, dim)
                     signs = (x @ planes[dim] > 0).reshape(len(rows), passes, BITS)
                     found = (signs * power).sum(axis=2)
                     for i, r in enumerate(rows):
-                        raw = x[i].tobytes()
+                        raw = _packed(values[ends[r] : ends[r + 1]])
                         ok.append(r)
                         data.append(raw)
                         sig.append(hashlib.blake2b(raw, digest_size=16).digest())
@@ -70,8 +68,20 @@ def _keys(passes: int):
     return run
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """The components as they came: single precision where that holds them."""
+    single = v.astype(np.float32)
+    return b"\x04" + single.tobytes() if np.array_equal(single, v) else b"\x08" + v.tobytes()
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max()
+    return v / np.linalg.norm(v)
+
+
 def _stack(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.float64) for b in column.to_pylist()]
+    """Unit vectors in double precision."""
+    return [_unit(np.frombuffer(b, np.float32 if b[0] == 4 else np.float64, offset=1).astype(np.float64)) for b in column.to_pylist()]
 
 
 def _near(window: int, least: float):
@@ -139,7 +149,7 @@ def _counted(least: float):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98, passes: int = 12, window: int = 64, chunk: int = 256) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98, passes: int = 8, window: int = 64, chunk: int = 256) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
     Vectors link if their labels are equal and not null and their cosine is ``least`` or more. Null,
