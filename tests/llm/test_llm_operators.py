@@ -131,6 +131,25 @@ def test_vectors_link_as_brute_force(spark):
         assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("exhaustive", [16384, 0])
+def test_vectors_of_a_dense_label_find_their_partners(spark, exhaustive):
+    from marketloom.llm.vectors import near_duplicates
+
+    rng = np.random.default_rng(7)
+    count, planted = 4000, 150
+    noise = rng.normal(size=(count, 64))
+    x = rng.normal(size=64) + noise * 0.33  # mutual cosine about 0.9
+    x[:planted] = x[planted : 2 * planted] + rng.normal(size=(planted, 64)) * 0.2  # partners at about 0.98 and more
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert 50 < near.sum() < 2000
+    df = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(df, exhaustive=exhaustive).collect()}
+    assert [i for i in range(count) if got[i] != near[i].sum()] == []
+
+
 def test_components_of_chains_stars_and_loops(spark):
     from marketloom.llm.graph import components
 
