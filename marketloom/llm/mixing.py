@@ -5,7 +5,9 @@ cut into blocks of ``block`` words. Slot i of the schedule has the golden-ratio
 frac(i * phi), in integers modulo 2**31, and belongs to the source whose interval of cumulative
 weights holds it; the slots of a source are ranked, and slot rank r takes block r modulo the
 source's blocks. Low discrepancy keeps every prefix of the schedule near the weights, and the whole
-within a few blocks of them. Prefix sums run inside hash buckets (documents) and chunks (slots), with one row of
+within a few blocks of them. A source of fewer than ``SMALL`` blocks, for which a few blocks are all it has, is cut
+into ``PARTS`` finer blocks instead and takes as many as come nearest to its target, the schedule of
+the others staying as it is. Prefix sums run inside hash buckets (documents) and chunks (slots), with one row of
 totals for each source and bucket, so a source with a third of all rows is no single task.
 """
 
@@ -20,6 +22,8 @@ from marketloom.settings import cut_lineage
 WEIGHTS = (5, 2, 1)
 GOLDEN = 1327217885
 _MODULUS = 1 << 31
+#: Sources of fewer blocks than SMALL are cut into PARTS blocks of their own.
+SMALL, PARTS = 8, 64
 
 
 def word_count(text: Column) -> Column:
@@ -72,11 +76,18 @@ def placed(documents: DataFrame) -> DataFrame:
     return df.withColumn("start", F.col("_o") + F.col("_in")).drop("_h", "_b", "_in", "_s", "_c", "_o")
 
 
+def block_words(block: int) -> Column:
+    """Words of a block of a source: ``block``, or less in a small source."""
+    small = F.col("source_size") < SMALL * block
+    return F.when(small, F.least(F.lit(block), F.ceil(F.col("source_size") / PARTS))).otherwise(F.lit(block)).cast("long")
+
+
 def schedule(targets: DataFrame, block: int, chunk: int = 1 << 16) -> DataFrame:
     """``(slot, source, rank, block)``: every slot's source, its rank there and the block it takes.
 
     As many slots as the targets hold blocks. Slots whose rank is past the ceiling of the source
-    (twice its blocks) stay empty and are left out.
+    (twice its blocks) stay empty and are left out. Small sources have no slots of their
+    intervals, but as many finer ones as their target holds, placed evenly over the schedule.
     """
     named = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     summed = F.sum("target").over(named.rowsBetween(Window.unboundedPreceding, 0))
@@ -101,7 +112,16 @@ def schedule(targets: DataFrame, block: int, chunk: int = 1 << 16) -> DataFrame:
     owned = owned.withColumn("_in", F.row_number().over(inner) - 1)
     ranked = owned.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c"))).withColumn("rank", F.col("_o") + F.col("_in"))
     blocks = F.ceil(F.col("source_size") / block)
-    return ranked.where(F.col("rank") < 2 * blocks).select("slot", "source", "rank", (F.col("rank") % blocks).alias("block"))
+    whole = ranked.where((F.col("rank") < 2 * blocks) & (F.col("source_size") >= SMALL * block)).select("slot", "source", "rank", (F.col("rank") % blocks).alias("block"))
+    fine = targets.where((F.col("source_size") > 0) & (F.col("source_size") < SMALL * block)).withColumn("_w", block_words(block))
+    fine = fine.withColumn("_blocks", F.ceil(F.col("source_size") / F.col("_w")))
+    # The last block is short, so whole rounds are counted by words and only the rest by blocks.
+    rounds = F.floor(F.col("target") / F.col("source_size"))
+    rest = F.round((F.col("target") - rounds * F.col("source_size")) / F.col("_w")).cast("long")
+    fine = fine.withColumn("_n", F.least(rounds * F.col("_blocks") + F.least(rest, "_blocks"), 2 * F.col("_blocks"))).where("_n > 0")
+    fine = fine.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    slot = F.floor((F.col("rank") + 0.5) / F.col("_n") * total).alias("slot")
+    return whole.union(fine.select(slot, "source", "rank", (F.col("rank") % F.col("_blocks")).alias("block")))
 
 
 def mixed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 256) -> DataFrame:
@@ -118,9 +138,11 @@ def mixed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     slots = schedule(targets, block)
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string"))
     laid = cut_lineage(placed(rows.withColumn("key", key)), "laid")
-    last = F.when(F.col("size") > 0, F.floor((F.col("start") + F.col("size") - 1) / block)).otherwise(F.lit(-1))
-    pieces = laid.where("size > 0").select("source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
-    held = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    words = targets.select(F.col("source").alias("_n"), block_words(block).alias("_w"))
+    cut = laid.where("size > 0").join(words, F.col("source").eqNullSafe(F.col("_n")))
+    last = F.floor((F.col("start") + F.col("size") - 1) / F.col("_w"))
+    pieces = cut.select("source", "start", "size", "_w", F.explode(F.sequence(F.floor(F.col("start") / F.col("_w")), last)).alias("block"))
+    held = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("_w")) - F.greatest(F.col("start"), F.col("block") * F.col("_w"))
     pieces = pieces.select("source", "start", "block", held.alias("words"))
     times = slots.groupBy("source", "block").agg(F.count("*").alias("times")).withColumnRenamed("source", "_s").withColumnRenamed("block", "_k")
     taken = pieces.join(times, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_k")))

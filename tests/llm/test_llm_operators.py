@@ -354,6 +354,28 @@ def test_mixing_takes_near_the_targets(spark, corpus):
     assert mixing.mixed(documents(spark, [])).count() == 0
 
 
+def test_mixing_fills_sources_smaller_than_a_block(spark):
+    from marketloom.llm import mixing
+
+    sizes = {"a": [20, 30], "b": [7] * 40, "c": [40_000] * 3, "d": [1], "e": [257], "f": [300] * 6, None: [11, 0, 90]}
+    rows = [(n * 100 + i, "w " * size, "en", s) for n, (s, held) in enumerate(sizes.items()) for i, size in enumerate(held)]
+    got = mixing.mixed(documents(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    for s, held in sizes.items():
+        own = [r for r in got if r["source"] == s]
+        target = own[0]["target"]
+        if sum(held) < 8 * 256:
+            assert target == 2 * sum(held) and [r["taken"] for r in own] == [2 * r["size"] for r in own], s
+        else:
+            assert abs(sum(r["taken"] for r in own) - target) <= 4 * 256, s
+    # A small source under its ceiling comes within half a fine block of its target.
+    rows = [(i, "w " * 50, "en", "abc"[i % 3]) for i in range(12)]
+    got = mixing.mixed(documents(spark, rows)).collect()
+    for s in "abc":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4, s
+
+
 def test_shards_fit_their_limit_and_split_only_when_full(spark, corpus):
     from marketloom.llm import shards
 
