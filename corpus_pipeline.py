@@ -24,8 +24,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Rows without an id all stay."""
-    kept = minhash_paths.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    """One document of each group linked at similarity 0.8 or more stays: the one with the smallest doc_id. Rows without an id all stay."""
+    kept = minhash_paths.near_duplicates(docs, hundredths=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     single = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     single = single.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
