@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import reasons
@@ -20,18 +20,18 @@ def snapshot_at(df: DataFrame, asof: str, clock: str = "available_at") -> DataFr
 
 
 def snapshots(
-    requests: DataFrame, bars: DataFrame, payload: Sequence[str], chunk: Callable[[Column], Column],
+    requests: DataFrame, bars: DataFrame, payload: Sequence[str],
     asof: str = "asof", clock: str = "available_at",
 ) -> DataFrame:
     """Point-in-time rows for many (asset, asof) requests; misses carry a reason."""
-    out = asof_backward(requests, bars, ["asset"], asof, clock, payload, chunk)
+    out = asof_backward(requests, bars, ["asset"], asof, clock, payload)
     return out.withColumn("reason", F.when(F.col("matched_ts").isNull(), "NO_ROW_AVAILABLE"))
 
 
-def execution_quotes(requests: DataFrame, bars: DataFrame, price: str, chunk: Callable[[Column], Column]) -> DataFrame:
+def execution_quotes(requests: DataFrame, bars: DataFrame, price: str) -> DataFrame:
     """Executable price as of each request on the clock that belongs to the price."""
     clock = {"open": "event_time", "close": "available_at"}[price]
-    return snapshots(requests, bars, [price], chunk, clock=clock)
+    return snapshots(requests, bars, [price], clock=clock)
 
 
 def session_lookup(requests: DataFrame, bars: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -111,7 +111,7 @@ def scheduled_universe(requests: DataFrame, schedule: DataFrame) -> DataFrame:
     versions = schedule.select("effective_at").distinct().withColumn("_all", F.lit(1))
     hit = asof_backward(
         requests.select("request_date").distinct().withColumn("_all", F.lit(1)), versions.withColumn("eff", F.col("effective_at")),
-        ["_all"], "request_date", "effective_at", ["eff"], lambda c: F.trunc(c, "year"),
+        ["_all"], "request_date", "effective_at", ["eff"],
     )
     j = hit.select("request_date", F.col("eff").alias("effective_at")).join(schedule, "effective_at", "left")
     return j.select("request_date", "effective_at", "asset",

@@ -105,7 +105,7 @@ def similar_features(corpus: DataFrame, key: str, hypothesis: str, fields: Seque
     return corpus.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
-def illegal_transitions(history: DataFrame, by: str, order: Sequence[str], status: str, allowed: Sequence[tuple[str, str]], chunk: Column) -> DataFrame:
+def illegal_transitions(history: DataFrame, by: str, order: Sequence[str], status: str, allowed: Sequence[tuple[str, str]]) -> DataFrame:
     """Revisions whose status may not follow the previous one, per entity."""
     ok = F.lit(False)
 
@@ -114,7 +114,7 @@ def illegal_transitions(history: DataFrame, by: str, order: Sequence[str], statu
 
     for a, b in allowed:
         ok = ok | ((F.col("_p") == a) & (F.col(status) == b))
-    d = with_lookback(history, [by], list(order), chunk, 1, previous)
+    d = with_lookback(history, [by], list(order), 1, previous)
     bad = F.col("_p").isNotNull() & ~ok
     return d.groupBy(by).agg(F.count("*").alias("revisions"), F.count_if(bad).alias("illegal"))
 

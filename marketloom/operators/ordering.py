@@ -34,14 +34,14 @@ def ordinal(column: str, ranking: Sequence[str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.lit(len(ranking)))
 
 
-def canonical(df: DataFrame, order: Sequence[Column | str], chunk: Column, prefix: str, key: Sequence[str]) -> DataFrame:
+def canonical(df: DataFrame, order: Sequence[Column | str], prefix: str, key: Sequence[str]) -> DataFrame:
     """Sequence number in canonical order and a row id from the key columns."""
-    out = numbered(df, [], order, chunk, "sequence")
+    out = numbered(df, [], order, "sequence")
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
     return out.withColumn("row_id", F.concat(F.lit(prefix + "-"), F.substring(F.sha2(text, 256), 1, 24)))
 
 
-def order_violations(df: DataFrame, by: str, ts: str, clocks: Sequence[str], chunk: Column) -> DataFrame:
+def order_violations(df: DataFrame, by: str, ts: str, clocks: Sequence[str]) -> DataFrame:
     """Rows whose clocks fail to increase strictly after the previous row of the asset."""
 
     def check(frame: DataFrame, part: Sequence[str]) -> DataFrame:
@@ -51,7 +51,7 @@ def order_violations(df: DataFrame, by: str, ts: str, clocks: Sequence[str], chu
             bad = bad | F.coalesce(F.col(c) <= F.lag(c).over(w), F.lit(False))
         return frame.withColumn("_bad", bad)
 
-    flagged = with_lookback(df, [by], [ts], chunk, 1, check)
+    flagged = with_lookback(df, [by], [ts], 1, check)
     return flagged.groupBy(by).agg(F.count("*").alias("rows"), F.count_if("_bad").alias("violations"))
 
 

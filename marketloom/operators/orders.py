@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import Col, as_col, reasons
+from marketloom.operators.chunks import asof_backward
 
 # Fixed values of the rule set: lots, minimums and fee rates.
 LOT = 100
@@ -187,15 +188,17 @@ def apply_actions(positions: DataFrame, actions: DataFrame) -> DataFrame:
 def split_adjusted(bars: DataFrame, splits: DataFrame, asof: str) -> DataFrame:
     """Close adjusted by the factors of later splits known at ``asof``.
 
-    A reverse running product over the union of bars and splits; bars at the split time
-    already trade on the new basis.
+    The running products go over the few splits of an asset; a bar looks up the last split at
+    or before it, whose product covers all later ones, or else takes the product of all. Bars at the
+    split time already trade on the new basis.
     """
     known = splits.where(F.col("available_at") <= F.lit(asof).cast("date"))
-    s = known.groupBy("asset", F.col("effective_at").alias("ts")).agg(F.product(1 / F.col("ratio")).alias("f"))
-    both = bars.select("asset", "ts", "close", F.lit(1.0).alias("f"), F.lit(0).alias("side")).unionByName(
-        s.select("asset", "ts", F.lit(None).cast("double").alias("close"), "f", F.lit(1).alias("side")))
-    w = Window.partitionBy("asset").orderBy(F.desc("ts"), "side").rowsBetween(Window.unboundedPreceding, 0)
-    d = both.withColumn("factor", F.product("f").over(w)).where("side = 0")
+    s = known.groupBy("asset", F.col("effective_at").alias("at")).agg(F.product(1 / F.col("ratio")).alias("f"))
+    later = Window.partitionBy("asset").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("later", F.coalesce(F.product("f").over(later), F.lit(1.0)))
+    whole = s.groupBy("asset").agg(F.product("f").alias("whole"))
+    d = asof_backward(bars.select("asset", "ts", "close"), s, ["asset"], "ts", "at", ["later"]).join(whole, "asset", "left")
+    d = d.withColumn("factor", F.coalesce("later", "whole", F.lit(1.0)))
     return d.select("asset", "ts", "close", "factor", (F.col("close") * F.col("factor")).alias("adjusted_close"))
 
 

@@ -332,7 +332,7 @@ def ingest_issues(df: DataFrame, expected_assets: DataFrame, asset: str = "asset
         return frame.withColumn("prev", F.lag("av").over(Window.partitionBy(*part).orderBy(ts)))
 
     clock = (
-        with_lookback(key, [asset], [ts], F.trunc(ts, "month"), 1, previous)
+        with_lookback(key, [asset], [ts], 1, previous)
         .where(F.col("av") <= F.col("prev"))
         .groupBy(asset).agg(F.count("*").alias("issues"))
         .withColumn("code", F.lit("CLOCK"))
@@ -527,7 +527,7 @@ def price_authority(requests: DataFrame, events: DataFrame, coverage: DataFrame)
     )
     # At equal times a start (-1) comes before the event and an end (+1) after it.
     run = running_total(
-        ends.unionByName(marks), ["asset"], ["t", "side"], "hits", F.trunc("t", "month"), "seen"
+        ends.unionByName(marks), ["asset"], ["t", "side"], "hits", "seen"
     ).where("side <> 0")
     inside = run.groupBy("request_id").agg(F.sum(F.col("seen") * F.col("side")).alias("events_inside"))
     out = requests.join(inside, "request_id", "left").join(coverage, "asset", "left")

@@ -74,20 +74,16 @@ def session_endpoints(df: DataFrame, by: Sequence[str], slot: str, first_by: int
     return g.select(*by, "rows", F.when(ok, F.col("_o")).alias("first_open"), F.when(ok, F.col("_c")).alias("last_close"))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles (Type 7) per group, exact for groups of any size.
 
     ``percentile`` would hold all distinct values of a group in one task. Here values are
-    counted, the counts run up over value buckets, and each quantile picks the two values
-    that hold its neighbouring ranks. The buckets of a group are bounded by its own approximate
-    ranks, so outliers don't crowd the other values into one; the bounds only steer the layout.
+    counted, the counts run up over ranges of values that hold equally many of them, and each
+    quantile picks the two values that hold its neighbouring ranks.
     """
     c = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    cuts = F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets)
-    s = c.groupBy(*by).agg(cuts.alias("_cuts"), F.sum("_c").alias("_n"))
-    d = c.join(s, list(by))
-    place = F.size(F.filter("_cuts", lambda x: x < F.col("_v")))
-    r = running_total(d, by, ["_v"], "_c", place, "_cum")
+    s = c.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    r = running_total(c, by, ["_v"], "_c", "_cum").join(s, list(by))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum")), F.col("_v")))

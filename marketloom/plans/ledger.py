@@ -304,7 +304,7 @@ SELECT o_custkey, count(*) AS revisions, count(*) FILTER (p IS NOT NULL AND (p |
 def gr05b(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
     allowed = [("O", "P"), ("P", "F"), ("O", "F"), ("O", "O")]
-    return ln.illegal_transitions(o, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderstatus", allowed, F.trunc("o_orderdate", "year"))
+    return ln.illegal_transitions(o, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderstatus", allowed)
 
 
 @query("gr06_append_register", """WITH i AS (SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2), e AS (SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2)

@@ -176,10 +176,10 @@ def src17(spark, sf):
 @query("src18_series_sequence", PANELS + """SELECT asset, strftime(ts, '%Y-%m-%d') AS d, close, row_number() OVER (ORDER BY ts, asset, close, open, high, low, volume) AS sequence,
   'row-' || substr(sha256(concat_ws('|', asset, strftime(ts, '%Y-%m-%d'))), 1, 24) AS row_id FROM vendor""")
 def src18(spark, sf):
-    """Global sequence without a global sort in one task: numbered per day plus offsets."""
+    """Global sequence without a global sort in one task: numbered per range of rows plus offsets."""
     v = vendor_rows(spark, sf).withColumn("d", F.date_format("ts", "yyyy-MM-dd"))
     order = ["ts", "asset", "close", "open", "high", "low", "volume"]
-    out = ordering.canonical(v, order, F.to_date("ts"), "row", ["asset", "d"])
+    out = ordering.canonical(v, order, "row", ["asset", "d"])
     return out.select("asset", "d", "close", "sequence", "row_id")
 
 
@@ -339,10 +339,6 @@ def cal09(spark, sf):
 # --- joins ----------------------------------------------------------------------------
 
 
-def by_day(c):
-    return F.to_date(c)
-
-
 @query("join01_snapshot", PANELS + f"""SELECT asset, strftime(arg_max(ts, (ts, price, size)), {FMT}) AS ts, arg_max(price, (ts, price, size)) AS price FROM ticks WHERE ts <= '2024-01-15 12:00:00' GROUP BY asset""")
 def join01(spark, sf):
     out = joins.snapshot_at(ticks(spark, sf).select("asset", "ts", "price", "size"), "2024-01-15 12:00:00", "ts")
@@ -357,7 +353,7 @@ def join01b(spark, sf):
     """Every line item sees the last order of its key: an as-of join of two whole tables."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_suppkey").alias("asset"), F.to_date("l_shipdate").alias("asof"))
     o = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 100).alias("asset"), F.to_date("o_orderdate").alias("available_at")).agg(F.max("o_totalprice").alias("amount"))
-    out = joins.snapshots(li, o, ["amount"], lambda c: F.trunc(c, "month"))
+    out = joins.snapshots(li, o, ["amount"])
     out = out.select("l_orderkey", "l_linenumber", F.col("asset").alias("l_suppkey"), "l_quantity", F.col("asof").alias("d"), F.col("matched_ts").alias("matched"), "amount")
     return published(out, None)
 
@@ -366,7 +362,7 @@ def join01b(spark, sf):
 SELECT r.event_id, r.asset, strftime(h.t + INTERVAL 1 HOUR, {FMT}) AS matched_ts, h.close FROM ticks AS r ASOF LEFT JOIN h ON r.asset = h.asset AND r.ts >= h.t + INTERVAL 1 HOUR""")
 def join02(spark, sf):
     rq = ticks(spark, sf).select("event_id", "asset", F.col("ts").alias("asof"))
-    out = joins.execution_quotes(rq, hour_bars(spark, sf), "close", by_day)
+    out = joins.execution_quotes(rq, hour_bars(spark, sf), "close")
     return published(out.select("event_id", "asset", "matched_ts", "close"), None)
 
 
@@ -545,15 +541,14 @@ def ord02(spark, sf):
     from marketloom.operators.chunks import numbered
 
     o = table(spark, sf, "orders").withColumn("rank", ordering.ordinal("o_orderstatus", ["O", "F", "P"]))
-    chunk = F.col("rank") * 100000 + F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    return numbered(o, [], ["rank", "o_orderdate", "o_orderkey"], chunk, "sequence").select("o_orderkey", "sequence")
+    return numbered(o, [], ["rank", "o_orderdate", "o_orderkey"], "sequence").select("o_orderkey", "sequence")
 
 
 @query("ord03_order_violations", PANELS + """, c AS (SELECT asset, user_id <= lag(user_id) OVER a AS b1, size <= lag(size) OVER a AS b2 FROM ticks WINDOW a AS (PARTITION BY asset ORDER BY ts))
 SELECT asset, count(*) AS rows, count(*) FILTER (coalesce(b1, false) OR coalesce(b2, false)) AS violations FROM c GROUP BY 1""")
 def ord03(spark, sf):
     t = ticks(spark, sf).select("asset", "ts", "user_id", "size")
-    return ordering.order_violations(t, "asset", "ts", ["user_id", "size"], F.to_date("ts"))
+    return ordering.order_violations(t, "asset", "ts", ["user_id", "size"])
 
 
 @query("ord04_latest_state", f"""SELECT user_id, strftime(ts, {FMT}) AS ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) AS x WHERE r = 1""")

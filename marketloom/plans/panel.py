@@ -412,14 +412,14 @@ def win24(spark, sf):
 
 @query("win25_tick_rolling_mean", PANELS + """SELECT event_id, round(avg(price) OVER f, 6) AS v FROM ticks WINDOW f AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def win25(spark, sf):
-    """A row frame over raw ticks, computed per (asset, day) with carried tail rows."""
+    """A row frame over raw ticks, computed per range of rows with carried tail rows."""
     from marketloom.operators.chunks import with_lookback
 
     def mean(frame, part):
         return frame.withColumn("v", F.avg("price").over(win.frame(10, part, "ts")))
 
     t = ticks(spark, sf).select("asset", "ts", "event_id", "price")
-    return published(with_lookback(t, ["asset"], ["ts"], F.to_date("ts"), 9, mean).select("event_id", "v"))
+    return published(with_lookback(t, ["asset"], ["ts"], 9, mean).select("event_id", "v"))
 
 
 # --- cross-sections -------------------------------------------------------------------

@@ -131,12 +131,14 @@ def read_with_context(
 ) -> DataFrame:
     """Rows in ``[start, end)`` plus ``prior`` earlier and ``future`` later rows per key.
 
-    Keys without a row in the range vanish. One numbering pass, no self-join.
+    Keys without a row in the range vanish. The range is a filter that reaches the scan; the
+    context is the nearest ``prior`` or ``future`` rows per key, which Catalyst limits inside every
+    map task, so a key with a long history ships only that many rows a task.
     """
-    inside = (F.col(ts) >= start) & (F.col(ts) < end)
-    w = Window.partitionBy(key)
-    d = df.withColumn("_rn", F.row_number().over(w.orderBy(ts)))
-    mark = F.when(inside, F.col("_rn"))
-    d = d.withColumns({"_lo": F.min(mark).over(w), "_hi": F.max(mark).over(w)})
-    keep = F.col("_rn").between(F.col("_lo") - prior, F.col("_hi") + future)
-    return d.where(keep).drop("_rn", "_lo", "_hi")
+    inside = df.where((F.col(ts) >= start) & (F.col(ts) < end))
+    parts = [inside]
+    for rows, side, order in ((prior, F.col(ts) < start, F.desc(ts)), (future, F.col(ts) >= end, F.asc(ts))):
+        nearest = F.row_number().over(Window.partitionBy(key).orderBy(order))
+        near = df.where(side).withColumn("_n", nearest).where(F.col("_n") <= rows).drop("_n")
+        parts.append(near.join(inside.select(key).distinct(), key, "left_semi"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -58,7 +58,7 @@ def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str], p
 def arrival_counters(stream: DataFrame, source: str, sequence: str, arrival: str, event: str, stale: float, purpose: str) -> DataFrame:
     """Per source: events, out-of-order, stale and future arrivals.
 
-    The running maximum of the sequence is taken per (source, hour) chunk inside a batch
+    The running maximum of the sequence is taken per range of rows inside a batch
     and carried between batches as one stored row per source.
     """
     spark = stream.sparkSession
@@ -66,7 +66,7 @@ def arrival_counters(stream: DataFrame, source: str, sequence: str, arrival: str
     tops = StructType([stream.schema[source], StructField("_top", stream.schema[sequence].dataType)])
 
     def step(df: DataFrame, batch: int) -> None:
-        d = running_max(df, [source], [arrival, sequence], sequence, F.date_trunc("hour", arrival), "_before")
+        d = running_max(df, [source], [arrival, sequence], sequence, "_before")
         if batch > 0:
             prior = collect_batches(df.sparkSession, root, "tops", tops).where(F.col("batch") < batch)
             d = d.join(prior.groupBy(source).agg(F.max("_top").alias("_top")), source, "left")

@@ -70,7 +70,7 @@ def test_lookback_equals_plain_window_on_a_hot_key(spark):
     def mean(frame, part):
         return frame.withColumn("m", F.avg("x").over(windows.frame(6, part, "ts")))
 
-    got = chunks.with_lookback(df, ["asset"], ["ts"], F.floor(F.col("ts") / 9), 5, mean)
+    got = chunks.with_lookback(df, ["asset"], ["ts"], 5, mean, ranges=9)
     want = mean(df, ["asset"])
     assert [(a, t, round(m, 9)) for a, t, _, m in rows(got.select(*want.columns))] == [(a, t, round(m, 9)) for a, t, _, m in rows(want)]
 
@@ -78,23 +78,60 @@ def test_lookback_equals_plain_window_on_a_hot_key(spark):
 def test_running_total_max_and_numbering(spark):
     df = skewed(spark)
     w = Window.partitionBy("asset").orderBy("ts")
-    chunk = F.floor(F.col("ts") / 20)
-    got = chunks.running_total(df, ["asset"], ["ts"], "x", chunk, "v")
+    got = chunks.running_total(df, ["asset"], ["ts"], "x", "v", ranges=7)
     assert rows(got) == rows(df.withColumn("v", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    got = chunks.running_max(df, ["asset"], ["ts"], "x", chunk, "v")
+    got = chunks.running_max(df, ["asset"], ["ts"], "x", "v", ranges=7)
     assert rows(got) == rows(df.withColumn("v", F.max("x").over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    got = chunks.numbered(df, [], ["ts"], chunk, "v")
+    got = chunks.numbered(df, [], ["ts"], "v", ranges=7)
     assert sorted(r["v"] for r in got.collect()) == list(range(1, 401))
     assert all(r["v"] == r["ts"] + 1 for r in got.collect())
 
 
+def test_ranges_share_out_a_key_that_holds_half_the_rows_on_one_day(spark):
+    hot = spark.range(30_000).select(F.lit("hot").alias("asset"), (F.lit(1_700_000_000) + F.col("id") % 20_000).alias("ts"), "id")
+    cold = spark.range(30_000, 60_000).select(F.concat(F.lit("c"), F.col("id") % 300).alias("asset"), (F.lit(1_600_000_000) + F.col("id") * 977).alias("ts"), "id")
+    df = hot.union(cold)
+    laid = chunks.ranged(df, ["asset"], ["ts"], 12)
+    sizes = [r["count"] for r in laid.groupBy(chunks.CHUNK).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2.5 * 60_000 / 12
+    got = chunks.running_total(df.withColumn("x", F.lit(1)), ["asset"], ["ts", "id"], "x", "n", ranges=12)
+    w = Window.partitionBy("asset").orderBy("ts", "id")
+    assert got.join(df.withColumn("m", F.row_number().over(w)), "id").where("n != m").isEmpty()
+
+
+def test_ranges_take_null_keys_ties_and_empty_tables(spark):
+    data = [(None, 1, 2.0), (None, 1, 2.0), (None, None, 5.0), ("a", 3, 1.0), ("a", 3, 4.0), ("a", None, None)] * 3
+    df = spark.createDataFrame(data, "asset string, ts long, x double")
+    for n in (1, 3, 5):
+        got = chunks.running_total(df, ["asset"], ["ts"], "x", "v", ranges=n)
+        ends = {r["asset"]: r["m"] for r in got.groupBy("asset").agg(F.max("v").alias("m")).collect()}
+        assert ends == {None: 27.0, "a": 15.0} and got.count() == len(data)
+        assert sorted(r["v"] for r in chunks.numbered(df, ["asset"], ["ts"], "v", ranges=n).collect()) == sorted([*range(1, 10)] * 2)
+    assert chunks.numbered(df.limit(0), ["asset"], ["ts"], "v").isEmpty()
+
+
+def test_context_rows_and_split_factors(spark):
+    from marketloom.operators import orders
+    from marketloom.sources import bars
+
+    df = spark.createDataFrame([("a", t) for t in range(10)] + [("b", 1), ("b", 9)], "k string, ts long")
+    got = rows(bars.read_with_context(df, "k", "ts", 4, 6, 2, 1))
+    assert got == [("a", t) for t in (2, 3, 4, 5, 6)]
+    day = "2024-01-{:02d}".format
+    px = spark.createDataFrame([("a", day(d), 10.0) for d in range(1, 8)] + [("z", day(1), 7.0)], "asset string, ts string, close double").withColumn("ts", F.to_date("ts"))
+    sp = spark.createDataFrame([("a", day(3), day(1), 2.0), ("a", day(6), day(1), 5.0), ("a", day(7), day(9), 3.0)], "asset string, effective_at string, available_at string, ratio double")
+    sp = sp.withColumn("effective_at", F.to_date("effective_at")).withColumn("available_at", F.to_date("available_at"))
+    out = {(r["asset"], r["ts"].day): round(r["factor"], 9) for r in orders.split_adjusted(px, sp, day(8)).collect()}
+    assert out == {("a", 1): 0.1, ("a", 2): 0.1, ("a", 3): 0.2, ("a", 4): 0.2, ("a", 5): 0.2, ("a", 6): 1.0, ("a", 7): 1.0, ("z", 1): 1.0}
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_asof_matches_pandas(spark, strict):
     rng = np.random.default_rng(1)
     left = pd.DataFrame({"k": rng.choice(["h", "h", "h", "c"], 200), "t": np.sort(rng.integers(0, 300, 200)), "i": range(200)})
     right = pd.DataFrame({"k": rng.choice(["h", "h", "c"], 60), "t": np.sort(rng.integers(20, 300, 60))}).drop_duplicates()
     right["p"] = np.arange(len(right)) * 1.5
-    got = chunks.asof_backward(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "t", ["p"], lambda c: F.floor(c / 25), strict=strict)
+    got = chunks.asof_backward(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "t", ["p"], strict=strict, ranges=6)
     want = pd.merge_asof(left, right, on="t", by="k", allow_exact_matches=not strict)
     expect = {r.i: (None if pd.isna(r.p) else r.p) for r in want.itertuples()}
     assert as_map(got, "i", "p") == expect
@@ -103,7 +140,7 @@ def test_asof_matches_pandas(spark, strict):
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(6)
     data = [("hot", float(round(v, 1))) for v in rng.lognormal(0, 2, 700)] + [("one", 3.0), ("flat", 2.0), ("flat", 2.0)]
-    got = resample.exact_quantiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", [0.0, 0.1, 0.5, 0.95, 1.0], buckets=16)
+    got = resample.exact_quantiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", [0.0, 0.1, 0.5, 0.95, 1.0])
     for r in got.collect():
         want = np.quantile([v for k, v in data if k == r["k"]], [0.0, 0.1, 0.5, 0.95, 1.0])
         assert all(close(a, float(b), 1e-9) for a, b in zip(list(r)[1:], want))
