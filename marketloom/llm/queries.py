@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, language, minhash_paths, mixing, pii, shards, substring, url_rules, vectors, winnow
+from marketloom.llm import bpe, chat, language, merkle, minhash_paths, mixing, pii, shards, substring, tries, url_rules, vectors, winnow
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -212,6 +212,114 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+CHAT_SQL = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+), sized AS (
+  SELECT *, md5(concat_ws(':', coalesce(CAST(conv_id AS VARCHAR), '-'), coalesce(CAST(turn AS VARCHAR), '-'), CAST(strlen(role) AS VARCHAR), role || text)) AS key,
+    len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}|[^\x20\x09-\x0D\p{L}\p{M}\p{N}]')) + 6 AS t,
+    length('### ' || url_encode(role) || ':') + 1 AS head, length(text) + len(regexp_extract_all(text, '### |</turn>')) AS size
+  FROM given
+), placed AS (
+  SELECT *, sum(t) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key ROWS UNBOUNDED PRECEDING) - t AS pre,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS n FROM sized
+), led AS (
+  SELECT *, n = 1 AND role = 'system' AND 2 * t <= 1024 AS lead, max(CASE WHEN n = 1 AND role = 'system' AND 2 * t <= 1024 THEN t ELSE 0 END) OVER (PARTITION BY conv_id) AS s FROM placed
+), cells AS (
+  SELECT *, CASE WHEN lead THEN -1 ELSE pre - s END AS q, CASE WHEN lead THEN 0 ELSE CAST((pre - s) // (768 - s) AS BIGINT) END AS cell FROM led
+), parts AS (
+  SELECT *, NOT lead AND q > a AND q + t - a > 1024 - s AS part FROM (SELECT *, min(CASE WHEN NOT lead THEN q END) OVER (PARTITION BY conv_id, cell) AS a FROM cells)
+), spans AS (
+  SELECT conv_id, cell, part, coalesce(min(q) FILTER (NOT lead), 0) AS a, coalesce(max(q + t) FILTER (NOT lead), 0) AS b, max(s) AS s FROM parts GROUP BY ALL
+), dealt AS (
+  SELECT conv_id, head, size FROM parts
+  UNION ALL SELECT p.conv_id, head, size FROM spans w JOIN parts p ON w.conv_id IS NOT DISTINCT FROM p.conv_id
+    WHERE CASE WHEN lead THEN w.cell > 0 OR w.part ELSE q < w.a AND q >= w.a - least(256, 1024 - w.s - b + w.a) END
+), sums AS (SELECT conv_id, sum(head + size + 9) AS formatted_chars FROM dealt GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(any_value(formatted_chars) AS BIGINT) AS formatted_chars
+FROM placed JOIN sums USING (conv_id) GROUP BY conv_id
+"""
+
+
+@query("op11_chat_windows", CHAT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.windows(chat.with_tricky(table(spark, sf_dir, "conversations"))))
+
+
+#: DuckDB has no crc32: the table of the polynomial and its fold over the bytes of a decimal number.
+CRC = """crc(bits) AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(256) r(i))"""
+CRC_OF = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda c, b: xor(c >> 8, bits[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+LEAF = "sha256(" + " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+MERKLE_SQL = f"""
+WITH RECURSIVE {CRC}, changed AS (
+  SELECT d.* REPLACE (CASE WHEN {CRC_OF.format("doc_id")} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS text) FROM documents d, crc
+), placed AS (
+  SELECT lang, doc_id, a.leaf, b.leaf AS start, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM (SELECT doc_id, lang, {LEAF} AS leaf FROM documents) a JOIN (SELECT doc_id, {LEAF} AS leaf FROM changed) b USING (doc_id)
+), low AS (
+  SELECT lang, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM low WHERE n > 1 GROUP BY lang, level, i // 8
+), subroots AS (SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, place AS i, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM high WHERE n > 1 GROUP BY level, i // 8
+), nodes AS (
+  SELECT lang, false AS upper, level, i, h FROM low WHERE n > 1 UNION ALL SELECT NULL, true, level, i, h FROM high WHERE n > 1
+), runs AS (SELECT lang, upper, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM nodes GROUP BY ALL),
+steps AS (
+  SELECT doc_id, CASE WHEN upper THEN height + level ELSE level END AS step, hs, 1 + CASE WHEN upper THEN place ELSE i END // CAST(8 ** level AS BIGINT) % 8 AS slot
+  FROM placed JOIN subroots s ON placed.lang IS NOT DISTINCT FROM s.lang JOIN runs r ON (r.upper OR r.lang IS NOT DISTINCT FROM placed.lang)
+    AND r.run = CASE WHEN upper THEN place ELSE i END // CAST(8 ** (level + 1) AS BIGINT)
+), proofs AS (
+  SELECT doc_id, max(step) + 1 AS steps, sha256(string_agg(array_to_string(hs[:slot - 1], '') || array_to_string(hs[slot + 1:], ''), '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY 1
+), climbed AS (
+  SELECT doc_id, 0 AS step, start AS h FROM placed
+  UNION ALL SELECT c.doc_id, c.step + 1, sha256(array_to_string(hs[:slot - 1], '') || c.h || array_to_string(hs[slot + 1:], '')) FROM climbed c JOIN steps USING (doc_id, step)
+), ends AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM climbed GROUP BY 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots s ON placed.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT h AS root FROM high WHERE n = 1) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)
+"""
+
+
+@query("op12_merkle", MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = f"""
+WITH {CRC}, own AS (
+  SELECT conv_id, md5(strlen(r) || ':' || r || x) AS item, length(x) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || x)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), heads AS (SELECT c.conv_id, c.conv_id - c.conv_id % 100 AS base, {CRC_OF.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own) c, crc),
+said AS (
+  SELECT heads.conv_id, 0 AS later, o.pos, item, chars FROM heads JOIN own o ON o.conv_id = base AND o.pos <= h
+  UNION ALL SELECT heads.conv_id, 1, o.pos, item, chars FROM heads JOIN own o ON o.conv_id = heads.conv_id AND o.pos > h
+), whole AS (
+  SELECT conv_id, coalesce(s, []) AS s, coalesce(l, []) AS l FROM heads LEFT JOIN (SELECT conv_id, list(item ORDER BY later, pos) AS s, list(chars ORDER BY later, pos) AS l FROM said GROUP BY 1) USING (conv_id)
+), passes AS (
+  SELECT conv_id, d AS depth, s[:d] AS node, CASE WHEN d > 0 THEN s[:d - 1] END AS up, CASE WHEN d > 0 THEN l[d] ELSE 0 END AS chars, d = len(s) AS ends
+  FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT node, up, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM passes GROUP BY ALL
+), kids AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+linked AS (SELECT n.*, coalesce(n_children, 0) AS n_children, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN kids k ON k.node = n.node LEFT JOIN nodes p ON p.node = n.up),
+under AS (
+  SELECT node[:d] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM linked) GROUP BY 1
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM linked JOIN under USING (node)
+"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.nodes(*tries.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def load() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
