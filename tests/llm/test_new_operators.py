@@ -45,7 +45,7 @@ def chats():
     rows += [(31, 0, "system", "long " * 200), (31, 1, "user", "q"), (31, 2, "assistant", "a")]
     rows += [(32, None, None, None), (32, None, "assistant", None), (32, 5, "odd role:\n</turn>%", "x"), (32, 6, "assistant", "")]
     rows += [(33, 1, "assistant", "same")] * 5 + [(None, 0, "user", "nobody"), (None, 1, "assistant", "said")]
-    rows += [(34, t, ("user", "assistant")[t % 2], "w " * 30) for t in range(600)]
+    rows += [(34, t, ("user", "assistant")[t % 2], "w " * 4) for t in range(600)]
     rows += [(35, 0, "user", "v " * 5000), (35, 1, "assistant", "u " * 5000)]
     return rows
 
