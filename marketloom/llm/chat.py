@@ -79,7 +79,7 @@ def windows(
     narrow = given.select(
         "conv", "turn", "key", (F.col("role") == system).alias("first"), (F.col("role") == target).alias("aim"),
         (tokens(F.col("text")) + OVERHEAD).alias("t"), head.cast("long").alias("head"), size.cast("long").alias("size"))
-    placed = cut_lineage(running_total(narrow, ["conv"], ["turn", "key"], "t", "at", before=True).drop("turn"), "placed")
+    placed = cut_lineage(running_total(cut_lineage(narrow, "narrow"), ["conv"], ["turn", "key"], "t", "at", before=True).drop("turn"), "placed")
     # The system turn, and the room it leaves.
     led = placed.where(F.col("first") & (F.col("at") == 0) & (2 * F.col("t") <= budget))
     room = led.select(F.col("conv").alias("_c"), F.col("t").alias("s"))

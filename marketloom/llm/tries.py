@@ -47,7 +47,7 @@ def rebuilt(conversations: DataFrame, shared: int = 100, most: int = 6) -> tuple
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     item = F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"))
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv"), "turn", item.alias("item"), F.length(text).cast("long").alias("length"))
-    own = cut_lineage(numbered(rows, ["conv"], ["turn", "item"], "pos").select("conv", "pos", "item", "length"), "turns")
+    own = cut_lineage(numbered(cut_lineage(rows, "items"), ["conv"], ["turn", "item"], "pos").select("conv", "pos", "item", "length"), "turns")
     sizes = cut_lineage(own.groupBy("conv").agg(F.max("pos").alias("n")), "sizes")
     named = sizes.select("conv", "n", (F.crc32(F.col("conv").cast("string").cast("binary")) % most).alias("h"), (F.col("conv") - F.col("conv") % shared).alias("base"))
     first = sizes.select(F.col("conv").alias("base"), F.col("n").alias("has"))
