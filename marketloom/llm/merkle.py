@@ -251,7 +251,7 @@ def manifest(
     leaves = documents.select(
         F.col(group).cast("string").alias("tree"), F.col(key).cast("long").alias("doc_id"), F.unhex(digest_of(values)).alias("digest"),
         F.when(hit, F.unhex(digest_of(other))).alias("changed"))
-    placed = cut_lineage(numbered(leaves, ["tree"], ["doc_id", "digest"], "pos"), "leaves")
+    placed = cut_lineage(numbered(cut_lineage(leaves, "hashed"), ["tree"], ["doc_id", "digest"], "pos"), "leaves")
     counts = placed.groupBy("tree").agg(_height(F.count("*")).alias("height")).withColumnRenamed("tree", "_t")
     pos = F.col("pos") - 1
     nodes = placed.withColumn("block", F.floor(pos / BLOCK)).withColumn("pos", pos)
