@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import FLAT, Col, as_col, average_rank, clip
+from marketloom.functions.solve import solve_normal
 from marketloom.settings import cut_lineage
 
 
@@ -74,24 +75,32 @@ def neutralized(value: Col, exposure: Col, by: Sequence[str]) -> Column:
 
 
 def neutralized_many(df: DataFrame, value: str, exposures: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
-    """Residual on several exposures: least squares per cross-section (bounded groups)."""
-    import numpy as np
-    import pandas as pd
-
-    cols = list(exposures)
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.full(len(pdf), np.nan)
-        ok = pdf[[value, *cols]].notna().all(axis=1).to_numpy()
-        if ok.sum() > len(cols) + 1:
-            x = np.column_stack([np.ones(ok.sum()), pdf.loc[ok, cols].to_numpy(dtype=float)])
-            y = pdf.loc[ok, value].to_numpy(dtype=float)
-            coef, *_ = np.linalg.lstsq(x, y, rcond=None)
-            out[ok] = y - x @ coef
-        return pdf.assign(**{name: pd.Series(out, index=pdf.index).where(~np.isnan(out), None)})
-
-    return df.groupBy(*by).applyInPandas(solve, out_schema)
+    """Residual on several exposures with intercept, by the normal equations of each cross-section.
+
+    The moments are one aggregate that combines before its shuffle; a small elimination gives the coefficients
+    and every row looks up those of its cross-section. Exposures that others span get coefficient 0, which
+    leaves residuals as they are. NULL where an input is missing or rows don't exceed exposures by two.
+    """
+    whole = F.col(value).isNotNull()
+    for x in exposures:
+        whole = whole & F.col(x).isNotNull()
+    y, *xs = (F.when(whole, F.col(c).cast("double")) for c in (value, *exposures))
+    k = len(xs)
+    moments = [F.covar_pop(xs[i], xs[j]).alias(f"_c{i}_{j}") for i in range(k) for j in range(i, k)]
+    g = df.groupBy(*by).agg(
+        F.count(y).alias("_n"), F.avg(y).alias("_m"), *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(xs)],
+        *[F.covar_pop(y, x).alias(f"_r{i}") for i, x in enumerate(xs)], *moments)
+    square = [[F.col(f"_c{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)]
+    g = g.withColumn("_b", solve_normal(square, [F.col(f"_r{i}") for i in range(k)]))
+    g = g.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_n", "_m", "_b", *[f"_m{i}" for i in range(k)])
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & df[c].eqNullSafe(F.col(f"_k{i}"))
+    j = df.join(g, same, "left")
+    resid = F.col(value) - F.col("_m")
+    for i, x in enumerate(exposures):
+        resid = resid - F.get("_b", F.lit(i)) * (F.col(x) - F.col(f"_m{i}"))
+    return j.select(*df.columns, F.when(whole & (F.col("_n") > k + 1), resid).alias(name))
 
 
 def volatility_scaled(value: Col, vol: Col, floor: float) -> Column:

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.numeric import FLAT, average_rank, correlation, mean_over_std, reasons, weighted_mean
+from marketloom.functions.numeric import FLAT, average_rank, correlation, mean_over_std, reasons
 from marketloom.operators import cross
 from marketloom.settings import cut_lineage
 
@@ -102,27 +101,6 @@ def coverage(obs: DataFrame, by: Sequence[str], value: str, eligible: Column) ->
     )
 
 
-def declared_pairs(panel: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """One row per declared feature pair with both values; pairs come from the columns."""
-    names = sorted(features)
-    pairs = [
-        F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a).alias("a"), F.col(b).alias("b"))
-        for i, a in enumerate(names)
-        for b in names[i + 1 :]
-    ]
-    d = panel.select(*keys, F.explode(F.array(*pairs)).alias("_p")).select(*keys, "_p.*")
-    return d.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-
-
-def pair_rank_correlation(panel: DataFrame, ts: str, features: Sequence[str], minimum: int) -> DataFrame:
-    """Rank correlation per timestamp and pair, ranked inside the pair's intersection."""
-    d = declared_pairs(panel, [ts], features)
-    by = [ts, "factor_a", "factor_b"]
-    d = d.select(*by, average_rank("a", by).alias("ra"), average_rank("b", by).alias("rb"))
-    g = d.groupBy(*by).agg(F.count("*").alias("breadth"), correlation("ra", "rb").alias("rho"))
-    return g.where(F.col("breadth") >= minimum)
-
-
 def candidate_status(obs: DataFrame, value: str, label: str, cross_session: Column, minimum: int, ts: str = "ts", complete: Column | None = None) -> DataFrame:
     """Status of each (candidate, timestamp).
 
@@ -177,11 +155,6 @@ def robustness(means: DataFrame, by: Sequence[str], slices: Sequence[str], gate:
     return g.select(*by, blocked.alias("blocked"), share.alias("positive_share"), (share >= gate).alias("robust"))
 
 
-def similarity_by_state(rho: DataFrame, probabilities: DataFrame, ts: str) -> DataFrame:
-    """State-weighted mean of a per-timestamp statistic. probabilities: ts, state, p."""
-    return rho.join(probabilities, ts).groupBy("factor_a", "factor_b", "state").agg(weighted_mean("rho", "p").alias("similarity"))
-
-
 # --- portfolios of one factor ---------------------------------------------------------
 
 
@@ -221,18 +194,6 @@ def return_summary(df: DataFrame, by: Sequence[str], ret: str, order: str, annua
     )
 
 
-def strategy_correlation(wide: DataFrame, strategies: Sequence[str]) -> DataFrame:
-    """Correlation of declared return columns over days; an unresolved day gives NULL."""
-    d = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a).alias("a"), F.col(b).alias("b"))
-        for i, a in enumerate(sorted(strategies)) for b in sorted(strategies)[i + 1 :]
-    ])).alias("p")).select("p.*")
-    return d.groupBy("factor_a", "factor_b").agg(
-        F.count("*").alias("days"),
-        F.when(F.count_if(F.col("a").isNull() | F.col("b").isNull()) == 0, correlation("a", "b")).alias("rho"),
-    )
-
-
 def novelty(manual: DataFrame, programmatic: DataFrame, agent: DataFrame, key: str) -> DataFrame:
     """Sizes, overlaps and how many agent candidates are new: membership flags per id."""
     def flag(df: DataFrame, name: str) -> DataFrame:
@@ -268,28 +229,31 @@ def gate_candidates(report: DataFrame, thresholds: dict[str, tuple[str, float, s
 
 
 def greedy_selection(scores: DataFrame, rho: DataFrame, family: str, limit: int, max_rho: float, power: float = 1.0) -> DataFrame:
-    """Best-first selection skipping candidates close to one already chosen.
+    """Best-first selection skipping candidates close to one already chosen, for all families at once.
 
-    Inherently ordered, so it runs once per family on aggregated scores (tens of rows).
-    scores: family, candidate, score; rho: family, factor_a, factor_b, rho.
+    A round takes the best open candidate of every family (equal scores: the smaller name) and drops it and
+    its near ones by joins; only the open table shrinks from round to round, and ``limit`` bounds the rounds.
+    scores: family, candidate, score (one row a candidate); rho: family, factor_a, factor_b, rho in either order.
+    Returns family, candidate, score, weight (share of score ** power), place.
     """
-
-    def pick(s: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        near = {(a, b): abs(v) for a, b, v in zip(r["factor_a"], r["factor_b"], r["rho"]) if v is not None}
-        chosen: list[tuple] = []
-        for row in s[s["score"] > 0].sort_values(["score", "candidate"], ascending=[False, True]).itertuples():
-            if len(chosen) == limit:
-                break
-            close = any(max(near.get((row.candidate, c), 0.0), near.get((c, row.candidate), 0.0)) > max_rho for _, c, _ in chosen)
-            if not close:
-                chosen.append((getattr(row, family), row.candidate, row.score))
-        out = pd.DataFrame(chosen, columns=[family, "candidate", "score"])
-        mass = out["score"].clip(lower=1e-12) ** power
-        return out.assign(weight=mass / mass.sum() if len(out) else [], place=range(1, len(out) + 1))
-
-    kind = scores.schema[family].dataType.simpleString()
-    schema = f"{family} {kind}, candidate string, score double, weight double, place long"
-    return scores.groupBy(family).cogroup(rho.groupBy(family)).applyInPandas(pick, schema)
+    close = rho.where(F.abs("rho") > max_rho)
+    near = close.select(family, "factor_a", "factor_b").union(close.select(family, "factor_b", "factor_a")).distinct()
+    near = cut_lineage(near.toDF(family, "candidate", "other"), "near")
+    live = cut_lineage(scores.where(F.col("score") > 0).select(family, "candidate", "score"), "open")
+    chosen = []
+    for place in range(1, limit + 1):
+        best = live.groupBy(family).agg(F.min_by(F.struct("candidate", "score"), F.struct(-F.col("score"), F.col("candidate"))).alias("b"))
+        best = cut_lineage(best.select(family, "b.*", F.lit(place).cast("long").alias("place")), "chosen")
+        chosen.append(best)
+        gone = best.select(family, "candidate").union(near.join(best, [family, "candidate"]).select(family, "other"))
+        live = cut_lineage(live.join(gone, [family, "candidate"], "left_anti"), "open")
+        if live.isEmpty():
+            break
+    out = chosen[0]
+    for more in chosen[1:]:
+        out = out.union(more)
+    mass = F.pow(F.greatest("score", F.lit(1e-12)), F.lit(power))
+    return out.withColumn("weight", mass / F.sum(mass).over(Window.partitionBy(family))).select(family, "candidate", "score", "weight", "place")
 
 
 def slot_accounting(runs: DataFrame, arm: str, identity: str, order: str, valid: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import FLAT, clip
+from marketloom.functions.solve import solve_normal
 from marketloom.settings import cut_lineage
 
 ONE = "\u0001one"
@@ -147,19 +148,24 @@ def ar1(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 
 def ar_p(df: DataFrame, by: str, order: str, value: str, p: int) -> DataFrame:
-    """AR(p) per asset: Spark builds the lag columns, each group solves one least squares."""
-    w = Window.partitionBy(by).orderBy(order)
-    lags = [f"l{k}" for k in range(1, p + 1)]
-    d = df.select(by, F.col(value).alias("y"), *[F.lag(value, k).over(w).alias(n) for k, n in enumerate(lags, 1)]).dropna()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), pdf[lags].to_numpy()])
-        beta, *_ = np.linalg.lstsq(x, pdf["y"].to_numpy(), rcond=None)
-        e = pdf["y"].to_numpy() - x @ beta
-        sd = float(np.sqrt((e**2).sum() / max(len(e) - len(beta), 1)))
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(pdf)], "intercept": [beta[0]], "coefficients": [beta[1:]], "residual_std": [sd]})
+    """AR(p) with intercept per asset: the cross-moments of the lags are one aggregate, elimination gives the coefficients.
 
-    return d.groupBy(by).applyInPandas(solve, f"{by} string, n long, intercept double, coefficients array<double>, residual_std double")
+    Rows whose lags are not all present don't count. Constant series have coefficients 0.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    d = df.select(by, F.col(value).alias("_l0"), *[F.lag(value, k).over(w).alias(f"_l{k}") for k in range(1, p + 1)]).dropna(subset=[f"_l{k}" for k in range(p + 1)])
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    g = d.groupBy(by).agg(
+        F.count("*").alias("n"), *[F.avg(f"_l{k}").alias(f"_m{k}") for k in range(p + 1)],
+        *[F.covar_pop(f"_l{i}", f"_l{j}").alias(f"_c{i}_{j}") for i, j in pairs])
+    square = [[F.col(f"_c{min(i, j)}_{max(i, j)}") for j in range(1, p + 1)] for i in range(1, p + 1)]
+    g = g.withColumn("coefficients", solve_normal(square, [F.col(f"_c0_{k}") for k in range(1, p + 1)]))
+    level, explained = F.col("_m0"), F.lit(0.0)
+    for k in range(1, p + 1):
+        level = level - F.get("coefficients", F.lit(k - 1)) * F.col(f"_m{k}")
+        explained = explained + F.get("coefficients", F.lit(k - 1)) * F.col(f"_c0_{k}")
+    sse = F.greatest(F.col("_c0_0") - explained, F.lit(0.0)) * F.col("n")
+    return g.select(by, "n", level.alias("intercept"), "coefficients", F.sqrt(sse / F.greatest(F.col("n") - p - 1, F.lit(1))).alias("residual_std"))
 
 
 def _refine(loss, boxes: list[tuple[float, float]], rounds: int = 6, points: int = 11) -> np.ndarray:

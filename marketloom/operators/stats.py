@@ -121,7 +121,7 @@ def one_sided_mean(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     g = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd"))
     t = F.when((F.col("n") > 1) & (F.col("_sd") > FLAT), F.col("mean") / (F.col("_sd") / F.sqrt("n")))
     g = g.withColumn("t_stat", t)
-    return g.withColumn("p_value", F.coalesce(tails.student_upper("t_stat", F.col("n") - 1.0), F.when(F.col("mean") > 0, 0.0).otherwise(1.0))).drop("_sd")
+    return g.withColumn("p_value", F.coalesce(tails.student_upper("t_stat", F.col("n") - 1), F.when(F.col("mean") > 0, 0.0).otherwise(1.0))).drop("_sd")
 
 
 def sharpe(df: DataFrame, by: Sequence[str], value: str, annual: float = 1.0) -> DataFrame:
@@ -235,7 +235,7 @@ def autocorrelation(df: DataFrame, by: Sequence[str], order: str, value: str, la
 
 def ljung_box(df: DataFrame, by: Sequence[str], order: str, value: str, lags: int) -> DataFrame:
     a = autocorrelation(df, by, order, value, lags)
-    return a.withColumn("p_value", tails.chi2_upper("q_stat", F.lit(float(lags))))
+    return a.withColumn("p_value", tails.chi2_upper("q_stat", lags))
 
 
 def describe_returns(df: DataFrame, by: Sequence[str], order: str, value: str, lags: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import cross as xs
 from marketloom.operators import evaluate as ev
 from marketloom.operators import folds as fo
+from marketloom.operators import gram
 from marketloom.operators import stats as st
 from marketloom.operators import windows as win
 from marketloom.plans.panel import A, STATE, market_state
@@ -114,18 +115,30 @@ rho AS (SELECT wk, l, r, count(*) AS breadth, covar_pop(ra, rb) / nullif(stddev_
 
 @query("ev07_factor_correlation", PAIRS + 'SELECT l AS factor_a, r AS factor_b, count(*) AS periods, round(avg(rho), 6) + 0.0 AS rho FROM rho GROUP BY 1, 2')
 def ev07(spark, sf):
-    rho = ev.pair_rank_correlation(candidates(spark, sf), "wk", FEATS, 5)
-    return published(rho.groupBy("factor_a", "factor_b").agg(F.count("rho").alias("periods"), F.avg("rho").alias("rho")))
+    return published(gram.mean_rank_correlation(candidates(spark, sf), "wk", FEATS, 5).drop("weighting"))
+
+
+WIDE = 37
+
+
+@query("ev07b_wide_correlation", PANELS + f""", m AS (SELECT asset, wk, unnest(range(1, {WIDE + 1})) AS k, unnest([{", ".join(f"close / lag(close, {k}) OVER a" for k in range(1, WIDE + 1))}]) AS x FROM weekly WINDOW a AS (PARTITION BY asset ORDER BY wk)),
+v AS (SELECT * FROM m WHERE x IS NOT NULL), p AS (SELECT a.wk, a.k AS i, b.k AS j, a.x, b.x AS y FROM v AS a JOIN v AS b ON a.asset = b.asset AND a.wk = b.wk AND a.k < b.k),
+r AS (SELECT wk, i, j, (rank() OVER (PARTITION BY wk, i, j ORDER BY x) + count(*) OVER (PARTITION BY wk, i, j ORDER BY x)) / 2.0 AS u, (rank() OVER (PARTITION BY wk, i, j ORDER BY y) + count(*) OVER (PARTITION BY wk, i, j ORDER BY y)) / 2.0 AS v FROM p),
+c AS (SELECT wk, i, j, covar_pop(u, v) / nullif(stddev_pop(u) * stddev_pop(v), 0) AS rho FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+SELECT 'mom' || lpad(CAST(i AS VARCHAR), 2, '0') AS factor_a, 'mom' || lpad(CAST(j AS VARCHAR), 2, '0') AS factor_b, count(*) AS periods, round(avg(rho), 6) + 0.0 AS rho FROM c GROUP BY 1, 2""")
+def ev07b(spark, sf):
+    """Thirty-seven candidates at once: 666 pairs that never exist as rows before their result."""
+    names = {f"mom{k:02d}": F.col("close") / win.lagged("close", k, ["asset"], "wk") for k in range(1, WIDE + 1)}
+    panel = weekly(spark, sf).select("wk", *[c.alias(n) for n, c in names.items()])
+    return published(gram.mean_rank_correlation(panel, "wk", list(names), 5).drop("weighting"))
 
 
 @query("ev08_state_similarity", PAIRS + """, p AS (SELECT wk, unnest(['lo', 'hi']) AS state, unnest([1 - month(wk) / 12.0, month(wk) / 12.0]) AS p FROM (SELECT DISTINCT wk FROM weekly))
 SELECT l AS factor_a, r AS factor_b, state, round(sum(rho * p) FILTER (p > 0) / sum(p) FILTER (p > 0), 6) + 0.0 AS similarity FROM rho JOIN p USING (wk) GROUP BY 1, 2, 3""")
 def ev08(spark, sf):
-    rho = ev.pair_rank_correlation(candidates(spark, sf), "wk", FEATS, 5)
     hi = F.month("wk") / 12.0
-    p = weekly(spark, sf).select("wk").distinct().select("wk", F.explode(F.array(
-        F.struct(F.lit("lo").alias("state"), (1 - hi).alias("p")), F.struct(F.lit("hi").alias("state"), hi.alias("p")))).alias("s")).select("wk", "s.*")
-    return published(ev.similarity_by_state(rho, p, "wk"))
+    rho = gram.mean_rank_correlation(candidates(spark, sf), "wk", FEATS, 5, {"lo": 1 - hi, "hi": hi})
+    return published(rho.select("factor_a", "factor_b", F.col("weighting").alias("state"), F.col("rho").alias("similarity")))
 
 
 @query("ev09_candidate_status", CAND + """, t AS (SELECT candidate, wk, count(*) AS assets, count(y1) AS labelled, count(*) FILTER (coalesce(year(nxt) > yr, true)) AS crossing, count(value) FILTER (y1 IS NOT NULL) AS usable FROM obs WHERE is_complete GROUP BY 1, 2),
@@ -381,7 +394,7 @@ def ev30(spark, sf):
 @query("ev31_greedy_selection")
 def ev31(spark, sf):
     s = gated(spark, sf).select(F.lit("weekly").alias("family"), "candidate", (F.abs("icir") + 0.001).alias("score"))
-    rho = ev.pair_rank_correlation(candidates(spark, sf), "wk", FEATS, 5).groupBy("factor_a", "factor_b").agg(F.avg("rho").alias("rho"))
+    rho = gram.mean_rank_correlation(candidates(spark, sf), "wk", FEATS, 5).drop("weighting", "periods")
     return published(ev.greedy_selection(s, rho.withColumn("family", F.lit("weekly")), "family", 3, 0.5))
 
 
@@ -391,7 +404,7 @@ UNION ALL SELECT 'a', 'c', count(*), round(CASE WHEN count(*) FILTER (a IS NULL
 def ev32(spark, sf):
     s = candidates(spark, sf).where("y1 IS NOT NULL").groupBy("wk").agg(
         F.avg(F.when(F.col("mom1") > 0, F.col("y1"))).alias("a"), F.avg(F.when(F.col("loc") > 0, F.col("y1"))).alias("b"), F.avg("y1").alias("c"))
-    return published(ev.strategy_correlation(s, ["a", "b", "c"]))
+    return published(gram.series_correlation(s.drop("wk"), ["a", "b", "c"]))
 
 
 @query("ev33_structural_novelty", """WITH m AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), p AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 400000), a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P')

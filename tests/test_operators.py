@@ -389,3 +389,30 @@ def test_shared_folders_can_be_cleared(spark, monkeypatch):
     monkeypatch.setattr(settings, "_made", [])
     frame = settings.cut_lineage(spark.range(3), "clear")
     assert frame.count() == 3 and settings.clear_shared(spark) == 1 and settings.clear_shared(spark) == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_user_features_over_ranges_equal_windows_of_each_key(spark, ranges):
+    from marketloom.operators.userfn import FeatureSpec, with_feature
+
+    rng = np.random.default_rng(3)
+    data = [("hot", t, float(rng.normal()), float(rng.integers(1, 9))) for t in range(300)] + [(k, t, float(t), 1.0) for k in ("a", None) for t in range(5)]
+    data[40] = ("hot", 40, None, 2.0)
+    df = spark.createDataFrame(data, "k string, t long, x double, y double").repartition(6)
+
+    def last_less_mean(block):
+        assert block.shape[1:] == (6, 2)
+        return block[:, -1, 0] - (block[:, :, 0] * block[:, :, 1]).sum(axis=1) / block[:, :, 1].sum(axis=1)
+
+    got = {(r["k"], r["t"]): r["gap"] for r in with_feature(df, FeatureSpec("gap", ("x", "y"), 6, last_less_mean), ["k"], "t", ranges).collect()}
+    assert len(got) == len(data)
+    for k in ("hot", "a", None):
+        rows_ = sorted((r for r in data if r[0] == k), key=lambda r: r[1])
+        for i, r in enumerate(rows_):
+            w = rows_[max(i - 5, 0) : i + 1]
+            if len(w) < 6 or any(v[2] is None for v in w):
+                assert got[(k, r[1])] is None
+            else:
+                assert close(got[(k, r[1])], r[2] - sum(v[2] * v[3] for v in w) / sum(v[3] for v in w), 1e-9)
+    with pytest.raises(Exception, match="non-finite"):
+        with_feature(df, FeatureSpec("gap", ("x",), 2, lambda b: b[:, 0, 0] * np.inf), ["k"], "t", ranges).collect()

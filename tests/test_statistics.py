@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -26,10 +27,94 @@ def matrix(df):
     return df.toPandas().pivot(index="i", columns="trial", values="r").sort_index()
 
 
-def test_tail_functions_match_known_values():
-    assert close(tails.upper_gamma(1.5, 3.841458820694124 / 2 * 0 + 3.9074), 0.0502, 2e-2)
-    assert close(tails.upper_gamma(0.5, 3.841458820694124 / 2), 0.05, 1e-9)
-    assert close(0.5 * tails.incomplete_beta(5.0, 0.5, 10 / (10 + 2.228138851986273**2)), 0.025, 1e-8)
+def test_tail_functions_match_known_values(spark):
+    df = spark.createDataFrame([(3.841458820694124, 1, 2.228138851986273, 10)], "q double, k int, t double, n int")
+    row = df.select(tails.chi2_upper("q", F.col("k")), tails.chi2_upper("q", 2), tails.student_upper("t", F.col("n")), tails.student_upper("t", 1)).first()
+    want = (0.05, math.exp(-3.841458820694124 / 2), 0.025, 0.5 - math.atan(2.228138851986273) / math.pi)
+    assert all(close(a, b, 1e-12) for a, b in zip(row, want))
+
+
+def test_normal_tails_and_quantiles_agree_with_the_library(spark):
+    z = [-38.0, -9.0, -3.0, -1e-9, 0.0, 0.3, 2.4, 3.53, 3.54, 5.0, 20.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select("z", tails.normal_upper("z")).collect()
+    assert all(abs(p - 0.5 * math.erfc(v / math.sqrt(2))) < 1e-15 for v, p in got)
+    p = [1e-12, 1e-5, 0.01, 0.3, 0.5, 0.7, 0.999999]
+    got = spark.createDataFrame([(v,) for v in p], "p double").select("p", tails.normal_quantile("p")).collect()
+    assert all(close(x, NormalDist().inv_cdf(v), 1e-12) for v, x in got if v != 0.5)
+    edge = spark.createDataFrame([(0.0, None), (1.0, float("nan"))], "p double, z double")
+    assert [tuple(r) for r in edge.select(tails.normal_quantile("p"), tails.normal_upper("z"), tails.chi2_upper("z", 3), tails.student_upper("z", 3)).collect()] == [(None,) * 4] * 2
+
+
+def test_tails_agree_with_numerical_integration(spark):
+    def integral(f, a, b, n=40_000):
+        h = (b - a) / n
+        return h / 3 * (f(a) + f(b) + 4 * sum(f(a + h * i) for i in range(1, n, 2)) + 2 * sum(f(a + h * i) for i in range(2, n, 2)))
+
+    for k in (2, 3, 6, 7, 61, 1999, 2000, 2400):
+        scale = math.exp(math.lgamma((k + 1) / 2) - math.lgamma(k / 2)) / math.sqrt(k * math.pi)
+        want = 0.5 - scale * integral(lambda x, k=k: (1 + x * x / k) ** (-(k + 1) / 2), 0.0, 1.7)
+        assert abs(spark.range(1).select(tails.student_upper(F.lit(1.7), k)).first()[0] - want) < 1e-11
+    for k in (3, 4, 9, 12):
+        want = 1 - integral(lambda x, k=k: x ** (k / 2 - 1) * math.exp(-x / 2) / 2 ** (k / 2) / math.gamma(k / 2), 0.0, 5.5)
+        assert abs(spark.range(1).select(tails.chi2_upper(F.lit(5.5), k)).first()[0] - want) < 1e-6
+
+
+def test_gram_correlations_equal_pairwise_ranks(spark):
+    from marketloom.operators import gram
+
+    rng = np.random.default_rng(11)
+    names = [f"c{i}" for i in range(7)]
+    data = np.round(rng.normal(size=(90, 7)), 1)
+    data[rng.random(data.shape) < 0.15] = np.nan
+    data[:, 6] = np.where(np.arange(90) % 3 == 0, 1.0, data[:, 6])
+    pdf = pd.DataFrame(data, columns=names).assign(ts=np.arange(90) % 6, w=(np.arange(90) % 6) / 4.0)
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    want = {}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            for t, g in pdf.groupby("ts"):
+                both = g[[a, b]].dropna().rank()
+                if len(both) >= 5 and both[a].std() > 0 and both[b].std() > 0:
+                    want.setdefault((a, b), []).append((t / 4.0, both[a].corr(both[b])))
+    for block in (3, 100):
+        got = gram.mean_rank_correlation(df, "ts", names, 5, {"even": F.lit(1.0), "late": F.col("w")}, block)
+        got = {(r["factor_a"], r["factor_b"], r["weighting"]): (r["periods"], r["rho"]) for r in got.collect()}
+        for pair, seen in want.items():
+            assert got[(*pair, "even")][0] == len(seen) and close(got[(*pair, "even")][1], float(np.mean([v for _, v in seen])), 1e-9)
+            assert close(got[(*pair, "late")][1], sum(w * v for w, v in seen) / sum(w for w, _ in seen), 1e-9)
+        assert len(got) == 2 * len(want)
+    whole = pdf[names].fillna(0.0)
+    whole["c1"], whole.loc[4, "c2"] = 2.0, np.nan
+    for block in (2, 50):
+        got = gram.series_correlation(spark.createDataFrame(whole).replace(float("nan"), None).repartition(5), names, block)
+        got = {(r["factor_a"], r["factor_b"]): (r["days"], r["rho"]) for r in got.collect()}
+        assert len(got) == 21 and got[("c0", "c1")] == (90, None) and got[("c0", "c2")] == (90, None)
+        assert close(got[("c0", "c3")][1], whole["c0"].corr(whole["c3"]), 1e-9)
+
+
+def test_ar_p_and_many_exposures_against_least_squares(spark):
+    from marketloom.operators import cross, models
+
+    rng = np.random.default_rng(5)
+    r = rng.normal(size=200).cumsum() * 0.1 + rng.normal(size=200)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(r)] + [("flat", i, 2.0) for i in range(9)] + [("gap", i, None if i == 4 else float(i % 3)) for i in range(20)], "k string, i int, r double")
+    got = {x["k"]: x for x in models.ar_p(df, "k", "i", "r", 3).collect()}
+    x = np.column_stack([np.ones(197), r[2:-1], r[1:-2], r[:-3]])
+    beta, *_ = np.linalg.lstsq(x, r[3:], rcond=None)
+    assert got["a"]["n"] == 197 and np.allclose([got["a"]["intercept"], *got["a"]["coefficients"]], beta, atol=1e-9)
+    e = r[3:] - x @ beta
+    assert close(got["a"]["residual_std"], float(np.sqrt(e @ e / 193)), 1e-9)
+    assert got["flat"]["coefficients"] == [0.0] * 3 and got["flat"]["intercept"] == 2.0 and got["gap"]["n"] == 13
+    rows_ = [(t, f"a{i}", *map(float, rng.normal(size=3))) for t in (1, None) for i in range(15)]
+    rows_ = [(*v, v[3] * 2 - v[4]) for v in rows_] + [(1, "none", None, 1.0, 1.0, 1.0), (2, "few", 1.0, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows_, "ts int, asset string, f double, v double, p double, spanned double")
+    out = cross.neutralized_many(df, "f", ["v", "p", "spanned"], ["ts"], "resid").toPandas()
+    for t in (1, None):
+        g = out[(out.ts == t) if t else out.ts.isna()].dropna(subset=["f"])
+        x = np.column_stack([np.ones(len(g)), g[["v", "p"]].to_numpy()])
+        beta, *_ = np.linalg.lstsq(x, g.f.to_numpy(), rcond=None)
+        assert np.allclose(g.resid, g.f - x @ beta, atol=1e-9)
+    assert out[out.asset.isin(["none", "few"])].resid.isna().all()
 
 
 def test_newey_west_against_numpy(spark):
@@ -170,6 +255,23 @@ def test_greedy_selection_skips_close_candidates(spark):
     assert as_map(got, "candidate", "weight") == {"a": 0.75, "c": 0.25}
 
 
+def test_greedy_rounds_equal_a_plain_loop_for_many_families(spark):
+    rng = np.random.default_rng(7)
+    s = [(f"f{f}", f"c{i:02d}", float(rng.integers(0, 6))) for f in range(5) for i in range(14)]
+    r = [(f"f{f}", *((f"c{i:02d}", f"c{j:02d}") if rng.random() < 0.5 else (f"c{j:02d}", f"c{i:02d}")), float(rng.uniform(-1, 1))) for f in range(5) for i in range(14) for j in range(i)]
+    got = evaluate.greedy_selection(spark.createDataFrame(s, "family string, candidate string, score double"), spark.createDataFrame(r, "family string, factor_a string, factor_b string, rho double"), "family", 4, 0.7)
+    got = {(x["family"], x["place"]): x["candidate"] for x in got.collect()}
+    near = {(f, *sorted((a, b))): abs(v) for f, a, b, v in r}
+    want = {}
+    for f in sorted({x[0] for x in s}):
+        chosen = []
+        for _, c, v in sorted((x for x in s if x[0] == f), key=lambda x: (-x[2], x[1])):
+            if v > 0 and len(chosen) < 4 and all(near[(f, *sorted((c, d)))] <= 0.7 for d in chosen):
+                chosen.append(c)
+        want |= {(f, n): c for n, c in enumerate(chosen, 1)}
+    assert got == want
+
+
 def test_rank_ic_perfect_and_flat(spark):
     data = [(1, f"a{i}", float(i), float(i * i)) for i in range(5)] + [(2, f"a{i}", 1.0, float(i)) for i in range(5)]
     df = spark.createDataFrame(data, "ts int, asset string, v double, y double")
