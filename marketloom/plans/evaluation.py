@@ -12,8 +12,8 @@ from marketloom.operators import gram
 from marketloom.operators import stats as st
 from marketloom.operators import windows as win
 from marketloom.plans.panel import A, STATE, market_state
-from marketloom.plans.registry import published, query
-from marketloom.plans.sqltext import PANELS, pub
+from marketloom.plans.registry import SQL, published, query
+from marketloom.plans.sqltext import PANELS, chi2_upper_sql, normal_quantile_sql, normal_upper_sql, pub, student_upper_sql
 from marketloom.settings import cut_lineage
 from marketloom.sources.panels import daily, table, weekly
 
@@ -222,7 +222,7 @@ def ev17(spark, sf):
     return published(st.newey_west(period_ic(spark, sf), ["candidate"], "wk", "rank_ic", 4, pvalues=False))
 
 
-@query("ev17b_newey_west_pvalues")
+@query("ev17b_newey_west_pvalues", pub(NW + f"""SELECT candidate, n, mean, t_stat, 2 * {normal_upper_sql('abs(t_stat)')} AS p_value FROM (SELECT *, mean / sqrt(lrv / n) AS t_stat FROM nw)""", "mean t_stat p_value"))
 def ev17b(spark, sf):
     return published(st.newey_west(period_ic(spark, sf), ["candidate"], "wk", "rank_ic", 4))
 
@@ -256,7 +256,8 @@ def ev20(spark, sf):
     return published(st.adjust_pvalues(p, ["family"], "l_suppkey", "p"))
 
 
-@query("ev21_one_sided_mean")
+@query("ev21_one_sided_mean", pub(CAND + f"""SELECT candidate, n, mean, t_stat, {student_upper_sql('t_stat', '(n - 1)')} AS p_value
+FROM (SELECT candidate, count(*) AS n, avg(rank_ic) AS mean, avg(rank_ic) / stddev_samp(rank_ic) * sqrt(count(*)) AS t_stat FROM ic GROUP BY 1)""", "mean t_stat p_value"))
 def ev21(spark, sf):
     return published(st.one_sided_mean(period_ic(spark, sf), ["candidate"], "rank_ic"))
 
@@ -280,7 +281,15 @@ FAMILY = PANELS + """, fr AS (SELECT asset AS trial, wk, ln(close / lag(close) O
 fam AS (SELECT * FROM fr WHERE r IS NOT NULL AND wk IN (SELECT wk FROM fk WHERE c = (SELECT max(c) FROM fk)))"""
 
 
-@query("ev23_deflated_sharpe")
+DEFLATED = FAMILY + f""", g AS (SELECT 'all' AS family, trial, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd, avg(r) / stddev_samp(r) AS sharpe, skewness(r) AS skew, kurtosis(r) + 3 AS kurt FROM fam GROUP BY 2),
+gt AS (SELECT *, count(*) OVER () AS trials, stddev_samp(sharpe) OVER () AS spread FROM g),
+gb AS (SELECT *, spread * ((1 - 0.5772156649015329) * {normal_quantile_sql('1 - 1.0 / trials')} + 0.5772156649015329 * {normal_quantile_sql('1 - 1.0 / (trials * 2.718281828459045)')}) AS benchmark FROM gt),
+gz AS (SELECT *, (sharpe - benchmark) * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe, 2.220446049250313e-16)) AS z FROM gb),
+ds AS (SELECT * EXCLUDE (z, spread), {normal_upper_sql('(-z)')} AS probability FROM gz)
+"""
+
+
+@query("ev23_deflated_sharpe", pub(DEFLATED + "SELECT * FROM ds", "mean sd sharpe skew kurt benchmark probability"))
 def ev23(spark, sf):
     return published(st.deflated_sharpe(family(spark, sf), ["family"], "trial", "r"))
 
@@ -310,18 +319,28 @@ def ev25(spark, sf):
     return published(st.reality_check(family(spark, sf), ["family"], "trial", "wk", "r", 100, 7, 3))
 
 
-@query("ev26_family_verdict")
+@query("ev26_family_verdict", pub(DEFLATED + f""", t AS (SELECT family, trial, n, mean, mean / sd * sqrt(n) AS t_stat, probability FROM ds),
+pv AS (SELECT *, {student_upper_sql('t_stat', '(n - 1)')} AS p_value FROM t),
+pr AS (SELECT *, row_number() OVER (ORDER BY p_value, trial) AS r, count(*) OVER () AS m FROM pv),
+pa AS (SELECT * EXCLUDE (r, m), least(1, p_value * m) AS bonferroni, least(1, max((m - r + 1) * p_value) OVER (ORDER BY p_value, trial ROWS UNBOUNDED PRECEDING)) AS holm,
+  least(1, min(m * p_value / r) OVER (ORDER BY p_value, trial ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bh FROM pr),
+j AS (SELECT *, (SELECT pbo FROM ({SQL['ev24_overfitting']}) AS o) AS pbo, (SELECT p_value FROM ({SQL['ev25_reality_check']}) AS c) AS reality_p FROM pa),
+jb AS (SELECT *, concat_ws(',', CASE WHEN holm > 0.05 THEN 'MULTIPLICITY' END, CASE WHEN probability < 0.95 THEN 'DEFLATED_SHARPE' END, CASE WHEN pbo > 0.5 THEN 'OVERFITTING' END, CASE WHEN reality_p > 0.05 THEN 'REALITY_CHECK' END) AS blockers FROM j)
+SELECT *, blockers = '' AS passed FROM jb""", "mean t_stat p_value bonferroni holm bh probability pbo reality_p"))
 def ev26(spark, sf):
     return published(st.family_verdict(family(spark, sf), ["family"], "trial", "wk", "r", 100, 7, 3, 6))
 
 
-@query("ev27_autocorrelation", pub(FAMILY + ", c AS (SELECT trial, wk, r - avg(r) OVER (PARTITION BY trial) AS c FROM fr WHERE r IS NOT NULL), l AS (SELECT *, " + ", ".join(f"c * lag(c, {k}) OVER (PARTITION BY trial ORDER BY wk) AS l{k}" for k in (1, 2, 3)) + " FROM c), g AS (SELECT trial AS asset, count(*) AS n, " + ", ".join(f"sum(l{k}) / sum(c * c) AS rho{k}" for k in (1, 2, 3)) + " FROM l GROUP BY 1) SELECT *, n * (n + 2) * (rho1 * rho1 / (n - 1) + rho2 * rho2 / (n - 2) + rho3 * rho3 / (n - 3)) AS q_stat FROM g", "rho1 rho2 rho3 q_stat"))
+LJUNG = FAMILY + ", c AS (SELECT trial, wk, r - avg(r) OVER (PARTITION BY trial) AS c FROM fr WHERE r IS NOT NULL), l AS (SELECT *, " + ", ".join(f"c * lag(c, {k}) OVER (PARTITION BY trial ORDER BY wk) AS l{k}" for k in (1, 2, 3)) + " FROM c), g AS (SELECT trial AS asset, count(*) AS n, " + ", ".join(f"sum(l{k}) / sum(c * c) AS rho{k}" for k in (1, 2, 3)) + " FROM l GROUP BY 1) SELECT *, n * (n + 2) * (rho1 * rho1 / (n - 1) + rho2 * rho2 / (n - 2) + rho3 * rho3 / (n - 3)) AS q_stat FROM g"
+
+
+@query("ev27_autocorrelation", pub(LJUNG, "rho1 rho2 rho3 q_stat"))
 def ev27(spark, sf):
     r = weekly(spark, sf).select("asset", "wk", (F.log(F.col("close") / win.lagged("close", 1, ["asset"], "wk")) / 20).alias("r"))
     return published(st.autocorrelation(r, ["asset"], "wk", "r", 3))
 
 
-@query("ev27b_ljung_box")
+@query("ev27b_ljung_box", pub(f"SELECT *, {chi2_upper_sql('q', 3)} AS p_value FROM (SELECT *, q_stat AS q FROM (" + LJUNG + "))", "rho1 rho2 rho3 q_stat p_value").replace("SELECT * REPLACE", "SELECT * EXCLUDE (q) REPLACE"))
 def ev27b(spark, sf):
     r = weekly(spark, sf).select("asset", "wk", (F.log(F.col("close") / win.lagged("close", 1, ["asset"], "wk")) / 20).alias("r"))
     return published(st.ljung_box(r, ["asset"], "wk", "r", 3))
@@ -391,7 +410,13 @@ def ev30(spark, sf):
     return published(gated(spark, sf).select("candidate", "codes", "passed", "score"))
 
 
-@query("ev31_greedy_selection")
+@query("ev31_greedy_selection", (GATED + """, sc AS (SELECT candidate, abs(icir) + 0.001 AS score FROM gc),
+pk AS (SELECT 0 AS place, CAST([] AS VARCHAR[]) AS chosen, true AS more
+  UNION ALL SELECT place + 1, list_append(chosen, b), b IS NOT NULL FROM (SELECT place, chosen, (SELECT arg_min(candidate, (-score, candidate)) FROM sc WHERE score > 0 AND NOT list_contains(chosen, candidate)
+    AND NOT EXISTS (SELECT 1 FROM nearby WHERE (l = candidate AND list_contains(chosen, r)) OR (r = candidate AND list_contains(chosen, l)))) AS b FROM pk WHERE more AND place < 3) AS z WHERE b IS NOT NULL),
+pc AS (SELECT chosen FROM pk ORDER BY place DESC LIMIT 1)
+SELECT 'weekly' AS family, candidate, round(score, 6) AS score, round(greatest(score, 1e-12) / sum(greatest(score, 1e-12)) OVER (), 6) AS weight, CAST(list_position(chosen, candidate) AS BIGINT) AS place FROM sc, pc WHERE list_contains(chosen, candidate)""")
+    .replace("WITH ticks", "WITH RECURSIVE ticks").replace(", sc AS", PAIRS[len(CAND):] + ", nearby AS (SELECT l, r FROM rho GROUP BY 1, 2 HAVING abs(avg(rho)) > 0.5), sc AS"))
 def ev31(spark, sf):
     s = gated(spark, sf).select(F.lit("weekly").alias("family"), "candidate", (F.abs("icir") + 0.001).alias("score"))
     rho = gram.mean_rank_correlation(candidates(spark, sf), "wk", FEATS, 5).drop("weighting", "periods")

@@ -65,7 +65,21 @@ def md04(spark, sf):
     return published(md.ar1(r, "asset", "x", "r"))
 
 
-@query("md04b_ar_p")
+def _det3(m: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+#: Normal equations of three lags by determinants.
+_SQUARE = [[f"c{min(i, j)}{max(i, j)}" for j in (1, 2, 3)] for i in (1, 2, 3)]
+_COEFFICIENTS = ", ".join(f"{_det3([[f'c0{i + 1}' if j == k else _SQUARE[i][j] for j in range(3)] for i in range(3)])} / {_det3(_SQUARE)} AS b{k + 1}" for k in range(3))
+
+
+@query("md04b_ar_p", pub(PANELS + f""", r AS (SELECT asset, wk, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY wk)) / 20 AS l0 FROM weekly),
+x AS (SELECT asset, l0, lag(l0) OVER a AS l1, lag(l0, 2) OVER a AS l2, lag(l0, 3) OVER a AS l3 FROM r WINDOW a AS (PARTITION BY asset ORDER BY wk)),
+g AS (SELECT asset, count(*) AS n, {", ".join(f"avg(l{k}) AS m{k}" for k in range(4))}, {", ".join(f"covar_pop(l{i}, l{j}) AS c{i}{j}" for i in range(4) for j in range(i, 4))} FROM x WHERE l0 + l1 + l2 + l3 IS NOT NULL GROUP BY 1),
+b AS (SELECT *, {_COEFFICIENTS} FROM g)
+SELECT asset, n, m0 - b1 * m1 - b2 * m2 - b3 * m3 AS intercept, b1 AS first, sqrt(n * (c00 - b1 * c01 - b2 * c02 - b3 * c03) / (n - 4)) AS residual_std FROM b""", "intercept first residual_std"))
 def md04b(spark, sf):
     out = md.ar_p(log_returns(spark, sf), "asset", "wk", "r", 3)
     return published(out.withColumn("first", F.element_at("coefficients", 1)).drop("coefficients"))
