@@ -62,14 +62,13 @@ def session_filter(df: DataFrame, policy: str) -> DataFrame:
     raise ValueError(f"session policy {policy} has no declared bounds")
 
 
-def session_grid(assets: DataFrame, sessions: DataFrame, start: str, end: str, slots: int | Column) -> DataFrame:
-    """assets x sessions x slots without a cross join: dates are exploded and matched."""
-    days = F.sequence(F.lit(start).cast("date"), F.date_sub(F.lit(end).cast("date"), 1))
+def session_grid(assets: DataFrame, sessions: DataFrame, slots: int | Column) -> DataFrame:
+    """assets x sessions x slots: the days between the first and last session are exploded and matched."""
     n = F.lit(slots) if isinstance(slots, int) else slots
-    cal = sessions
+    span = sessions.agg(F.min("session_date").alias("_a"), F.max("session_date").alias("_b"))
     return (
-        assets.select("asset", F.explode(days).alias("session_date"))
-        .join(cal, "session_date")
+        assets.select("asset").crossJoin(span).select("asset", F.explode(F.sequence("_a", "_b")).alias("session_date"))
+        .join(sessions, "session_date")
         .select("asset", "session_date", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("slot"))
     )
 
@@ -80,21 +79,23 @@ def pad(bars: DataFrame, grid: DataFrame, keys: Sequence[str], complete: Column)
     return j.withColumn("is_complete", F.coalesce("is_complete", F.lit(False)))
 
 
-def shared_timestamps(df: DataFrame, clock: str, members: int, start: str, end: str) -> DataFrame:
-    """Timestamps on ``clock`` in ``[start, end)`` at which all ``members`` assets appear."""
-    d = df.where((F.col(clock) >= F.lit(start).cast("timestamp")) & (F.col(clock) < F.lit(end).cast("timestamp")))
+def shared_timestamps(df: DataFrame, clock: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Timestamps on ``clock`` (in ``[start, end)`` where given) at which every asset of ``df`` appears."""
+    d = df if start is None else df.where(F.col(clock) >= F.lit(start).cast("timestamp"))
+    d = d if end is None else d.where(F.col(clock) < F.lit(end).cast("timestamp"))
+    members = df.agg(F.count_distinct("asset").alias("_members"))
     return (
         d.select(clock, "asset").distinct().groupBy(clock).agg(F.count("*").alias("n"))
-        .where(F.col("n") == members).select(F.col(clock).alias("ts"))
+        .crossJoin(members).where("n = _members").select(F.col(clock).alias("ts"))
     )
 
 
-def execution_timestamps(df: DataFrame, price: str, members: int, start: str, end: str) -> DataFrame:
+def execution_timestamps(df: DataFrame, price: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """The open trades at event time, the close when available; extremes never trade."""
     clocks = {"open": "event_time", "close": "available_at"}
     if price not in clocks:
         raise ValueError(f"{price} is not executable")
-    return shared_timestamps(df, clocks[price], members, start, end)
+    return shared_timestamps(df, clocks[price], start, end)
 
 
 def next_open(df: DataFrame, sessions: DataFrame, ts: str = "ts") -> DataFrame:

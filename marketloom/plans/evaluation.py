@@ -382,15 +382,35 @@ GATES = {
     "positive_share": (">=", 0.5, "POSITIVE_SHARE_LOW"), "direction_share": (">=", 0.5, "DIRECTION_UNSTABLE"), "icir": (">=", 0.0, "POOLED_ICIR_LOW"),
     "worst_icir": (">=", -0.3, "WORST_ICIR_LOW"), "turnover": ("<=", 0.9, "TURNOVER_HIGH"), "coverage": (">=", 0.5, "COVERAGE_LOW"),
     "mean_icir": (">=", 0.0, "MEAN_FOLD_ICIR_LOW"), "long_short": (">=", 0.0, "LONG_SHORT_SHARPE_LOW"), "monotonicity": (">=", 0.0, "NOT_MONOTONIC"),
+    "horizon_share": (">=", 1.0, "HORIZON_SIGN_INCONSISTENT"), "significant_share": (">=", 0.5, "HAC_SIGNIFICANCE_LOW"), "q_value": ("<=", 0.1, "Q_VALUE_HIGH"),
 }
 
 
+def hac_sql(name: str, series: str, keys: str, lags: int = 4) -> str:
+    """A CTE of the mean of x and its two-sided HAC p-value by ``keys``."""
+    back = ", ".join(f"c * lag(c, {k}) OVER (PARTITION BY {keys} ORDER BY wk) AS l{k}" for k in range(1, lags + 1))
+    total = " + ".join(f"greatest(1 - {k} / (least({lags}, count(*) - 1) + 1), 0) * coalesce(sum(l{k}), 0)" for k in range(1, lags + 1))
+    return f"""{name}_t AS (SELECT {keys}, avg(x) AS mean, count(*) AS n, sqrt(greatest((sum(c * c) + 2 * ({total})) / count(*), 0) / count(*)) AS se
+  FROM (SELECT *, {back} FROM (SELECT *, x - avg(x) OVER (PARTITION BY {keys}) AS c FROM {series}) AS a) AS b GROUP BY ALL),
+{name} AS (SELECT {keys}, mean, CASE WHEN n >= 2 AND se > 1e-15 THEN 2 * {normal_upper_sql('abs(mean / se)')} ELSE 1 END AS p_value FROM {name}_t)"""
+
+
 GATED = REPORT + QP[len(CAND):] + """, cov AS (SELECT candidate, count(value) FILTER (is_complete) / count(*) FILTER (is_complete) AS coverage FROM obs GROUP BY 1),
 tt AS (SELECT candidate, avg(turnover) AS turnover FROM qt GROUP BY 1), ls AS (SELECT candidate, avg(spread) / stddev_samp(spread) * sqrt(52) AS long_short FROM qs GROUP BY 1),
 mo AS (SELECT candidate, corr(b, m) AS monotonicity FROM (SELECT candidate, b, avg(y1) AS m FROM qk GROUP BY 1, 2) AS z GROUP BY 1),
-ga AS (SELECT *, 0.05 AS q_value FROM rep JOIN pool USING (candidate) JOIN cov USING (candidate) JOIN tt USING (candidate) JOIN ls USING (candidate) JOIN mo USING (candidate)),
+""" + f"""hh AS (SELECT candidate, label_name, wk, (rank() OVER (PARTITION BY candidate, wk, label_name ORDER BY value) + count(*) OVER (PARTITION BY candidate, wk, label_name ORDER BY value)) / 2.0 AS rv,
+  (rank() OVER (PARTITION BY candidate, wk, label_name ORDER BY y) + count(*) OVER (PARTITION BY candidate, wk, label_name ORDER BY y)) / 2.0 AS ry
+  FROM (SELECT candidate, wk, value, unnest(['y1', 'y2']) AS label_name, unnest([y1, y2]) AS y FROM obs WHERE yr > 1997) AS l WHERE value IS NOT NULL AND y IS NOT NULL),
+hi AS (SELECT candidate, label_name, avg(ic) AS m FROM (SELECT candidate, label_name, wk, covar_pop(rv, ry) / nullif(stddev_pop(rv) * stddev_pop(ry), 0) AS ic FROM hh GROUP BY 1, 2, 3 HAVING count(*) >= 5) AS x GROUP BY 1, 2),
+hs AS (SELECT candidate, avg(CASE WHEN m * direction > 0 THEN 1.0 ELSE 0 END) AS horizon_share FROM hi JOIN dirs USING (candidate) GROUP BY 1),
+sx AS (SELECT candidate, yr, wk, rank_ic * direction AS x FROM ic JOIN dirs USING (candidate) WHERE yr > 1997),
+{hac_sql("fo", "sx", "candidate, yr")}, sg AS (SELECT candidate, avg(CASE WHEN p_value <= 0.1 AND mean > 0 THEN 1.0 ELSE 0 END) AS significant_share FROM fo GROUP BY 1),
+{hac_sql("po", "sx", "candidate")}, qv AS (SELECT candidate, least(1, min(m * p_value / r) OVER (ORDER BY p_value, candidate ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value
+  FROM (SELECT *, row_number() OVER (ORDER BY p_value, candidate) AS r, count(*) OVER () AS m FROM po) AS x),
+""" + """ga AS (SELECT * FROM rep JOIN pool USING (candidate) JOIN cov USING (candidate) JOIN tt USING (candidate) JOIN ls USING (candidate) JOIN mo USING (candidate) JOIN hs USING (candidate) JOIN sg USING (candidate) JOIN qv USING (candidate)),
 gc AS (SELECT *, concat_ws(',', CASE WHEN positive_share < 0.5 THEN 'POSITIVE_SHARE_LOW' END, CASE WHEN direction_share < 0.5 THEN 'DIRECTION_UNSTABLE' END, CASE WHEN icir < 0 THEN 'POOLED_ICIR_LOW' END, CASE WHEN worst_icir < -0.3 THEN 'WORST_ICIR_LOW' END,
-  CASE WHEN turnover > 0.9 THEN 'TURNOVER_HIGH' END, CASE WHEN coverage < 0.5 THEN 'COVERAGE_LOW' END, CASE WHEN mean_icir < 0 THEN 'MEAN_FOLD_ICIR_LOW' END, CASE WHEN long_short < 0 THEN 'LONG_SHORT_SHARPE_LOW' END, CASE WHEN monotonicity < 0 THEN 'NOT_MONOTONIC' END) AS codes FROM ga)
+  CASE WHEN turnover > 0.9 THEN 'TURNOVER_HIGH' END, CASE WHEN coverage < 0.5 THEN 'COVERAGE_LOW' END, CASE WHEN mean_icir < 0 THEN 'MEAN_FOLD_ICIR_LOW' END, CASE WHEN long_short < 0 THEN 'LONG_SHORT_SHARPE_LOW' END, CASE WHEN monotonicity < 0 THEN 'NOT_MONOTONIC' END,
+  CASE WHEN horizon_share < 1 THEN 'HORIZON_SIGN_INCONSISTENT' END, CASE WHEN significant_share < 0.5 THEN 'HAC_SIGNIFICANCE_LOW' END, CASE WHEN q_value > 0.1 THEN 'Q_VALUE_HIGH' END) AS codes FROM ga)
 """
 
 
@@ -401,11 +421,20 @@ def gated(spark, sf):
     held = ev.quantile_portfolios(o, ["candidate"], "wk", "asset", "value", "y1", 5, 10)
     mono = xs.spread_and_monotonicity(held, ["candidate"], "bucket", "y1", 5, ranked=False).select("candidate", "monotonicity")
     rep = walk_forward_report(spark, sf).join(cov, "candidate").join(t, "candidate").join(mono, "candidate")
-    rep = rep.withColumn("q_value", F.lit(0.05))  # a parameter of the score
+    ic = stored_ic(spark, sf)
+    way = ev.train_direction(ic, ["candidate"], F.col("yr") <= 1997).select("candidate", "direction")
+    tested = cut_lineage(ic.where("yr > 1997").join(way, "candidate").withColumn("signed", F.col("rank_ic") * F.col("direction")), "tested")
+    sure = st.newey_west(tested, ["candidate", "yr"], "wk", "signed", 4)
+    sure = sure.groupBy("candidate").agg(F.avg(((F.col("p_value") <= 0.1) & (F.col("mean") > 0)).cast("double")).alias("significant_share"))
+    q = st.newey_west(tested, ["candidate"], "wk", "signed", 4).withColumn("family", F.lit("weekly"))
+    q = st.adjust_pvalues(q, ["family"], "candidate", "p_value").select("candidate", F.col("bh").alias("q_value"))
+    far = ev.ic_decay(o.where("yr > 1997"), ["candidate"], "value", ["y1", "y2"], "wk", 5).join(way, "candidate")
+    far = far.groupBy("candidate").agg(F.avg((F.col("ic_mean") * F.col("direction") > 0).cast("double")).alias("horizon_share"))
+    rep = rep.join(far, "candidate").join(sure, "candidate").join(q, "candidate")
     return ev.gate_candidates(rep, GATES, 0.5)
 
 
-@query("ev30_candidate_gate", GATED + """SELECT candidate, codes, codes = '' AS passed, round(CASE WHEN codes = '' THEN greatest(icir, 1e-12) * positive_share * direction_share * (greatest(monotonicity, 0) * 0.5 + 0.5) * sqrt(greatest(coverage, 1e-12)) * 0.975 / (1 + 0.5 * turnover) ELSE 0 END, 6) + 0.0 AS score FROM gc""")
+@query("ev30_candidate_gate", GATED + """SELECT candidate, codes, codes = '' AS passed, round(CASE WHEN codes = '' THEN greatest(icir, 1e-12) * positive_share * direction_share * (greatest(monotonicity, 0) * 0.5 + 0.5) * sqrt(greatest(coverage, 1e-12)) * (1 - q_value * 0.5) / (1 + 0.5 * turnover) ELSE 0 END, 6) + 0.0 AS score FROM gc""")
 def ev30(spark, sf):
     return published(gated(spark, sf).select("candidate", "codes", "passed", "score"))
 

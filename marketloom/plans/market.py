@@ -169,7 +169,7 @@ FROM sessions JOIN f ON session_date = d""")
 def src17(spark, sf):
     """Calendar from the session days that the ticks show."""
     days = ticks(spark, sf).select(F.to_date("ts").alias("session_date")).distinct()
-    rows = sessions(spark).join(days, "session_date").select("session_date", "open_at", "close_at")
+    rows = sessions(spark, sf).join(days, "session_date").select("session_date", "open_at", "close_at")
     return published(cal.from_rows(rows, 480))
 
 
@@ -250,12 +250,12 @@ sz AS (SELECT t.*, CAST(ts AS DATE) AS session_date, open_at, close_at,
 """
 
 
-def weekday_sessions(spark):
-    return sessions(spark).where(F.weekday("session_date") < 5)
+def weekday_sessions(spark, sf):
+    return sessions(spark, sf).where(F.weekday("session_date") < 5)
 
 
 def sessionized(spark, sf):
-    return cal.sessionize(ticks(spark, sf), weekday_sessions(spark))
+    return cal.sessionize(ticks(spark, sf), weekday_sessions(spark, sf))
 
 
 @query("cal01_sessionize", SESSED + "SELECT session_type, strftime(session_date, '%Y-%m-%d') AS session_date, count(*) AS n FROM sz GROUP BY 1, 2")
@@ -277,7 +277,7 @@ def cal03(spark, sf):
 SELECT strftime(session_date, '%Y-%m-%d') AS session_date, count(*) AS n FROM sessions JOIN ticks ON CAST(ts AS DATE) = session_date
 WHERE session_date BETWEEN DATE '2024-01-08' - 1 AND DATE '2024-01-12' + 1 GROUP BY 1""")
 def cal04(spark, sf):
-    s = cal.clip_sessions(sessions(spark), "2024-01-08", "2024-01-12", "UTC")
+    s = cal.clip_sessions(sessions(spark, sf), "2024-01-08", "2024-01-12", "UTC")
     t = ticks(spark, sf).withColumn("session_date", F.to_date("ts"))
     return published(t.join(s, "session_date").groupBy("session_date").agg(F.count("*").alias("n")))
 
@@ -291,10 +291,10 @@ dense AS (SELECT g.asset, g.session_date, CAST(g.slot AS BIGINT) AS slot, open,
 
 
 def dense(spark, sf):
-    s = sessions(spark)
+    s = sessions(spark, sf)
     assets = ticks(spark, sf).select("asset").distinct()
     n = F.when(F.col("is_half_day"), 4).otherwise(8)
-    grid = cal.session_grid(assets, s, "2024-01-01", "2024-01-31", n)
+    grid = cal.session_grid(assets, s, n)
     return cal.pad(hourly(spark, sf), grid, ["asset", "session_date", "slot"], F.col("n") >= 2)
 
 
@@ -304,9 +304,9 @@ def cal05(spark, sf):
 
 
 @query("cal06_common_calendar", PANELS + f"""SELECT strftime(b, {FMT}) AS ts FROM (SELECT DISTINCT asset, date_trunc('hour', ts) + INTERVAL 1 HOUR AS b FROM ticks) AS x
-  WHERE b >= '2024-01-03' AND b < '2024-01-25' GROUP BY b HAVING count(*) = 5""")
+  GROUP BY b HAVING count(*) = (SELECT count(DISTINCT asset) FROM ticks)""")
 def cal06(spark, sf):
-    return published(cal.shared_timestamps(hour_bars(spark, sf), "available_at", 5, "2024-01-03", "2024-01-25"))
+    return published(cal.shared_timestamps(hour_bars(spark, sf), "available_at"))
 
 
 def hour_bars(spark, sf):
@@ -316,16 +316,16 @@ def hour_bars(spark, sf):
 
 
 @query("cal07_execution_calendar", PANELS + f"""SELECT strftime(b, {FMT}) AS ts FROM (SELECT DISTINCT asset, date_trunc('hour', ts) AS b FROM ticks) AS x
-  WHERE b >= '2024-01-03' AND b < '2024-01-25' GROUP BY b HAVING count(*) = 5""")
+  GROUP BY b HAVING count(*) = (SELECT count(DISTINCT asset) FROM ticks)""")
 def cal07(spark, sf):
-    return published(cal.execution_timestamps(hour_bars(spark, sf), "open", 5, "2024-01-03", "2024-01-25"))
+    return published(cal.execution_timestamps(hour_bars(spark, sf), "open"))
 
 
 @query("cal08_next_open", PANELS + f""", s AS (SELECT * FROM sessions WHERE isodow(session_date) < 6)
 SELECT event_id, EXISTS (SELECT 1 FROM s WHERE ts >= open_at AND ts < close_at) AS in_session,
   strftime((SELECT min(open_at) FROM s WHERE open_at >= ts), {FMT}) AS next_open FROM ticks""")
 def cal08(spark, sf):
-    out = cal.next_open(ticks(spark, sf), weekday_sessions(spark))
+    out = cal.next_open(ticks(spark, sf), weekday_sessions(spark, sf))
     return published(out.select("event_id", "in_session", "next_open"))
 
 
@@ -333,7 +333,7 @@ def cal08(spark, sf):
   FROM sessions JOIN (SELECT DISTINCT CAST(ts AS DATE) AS d FROM ticks) ON d = session_date WHERE date_diff('minute', open_at, close_at) % 480 <> 0""")
 def cal09(spark, sf):
     days = ticks(spark, sf).select(F.to_date("ts").alias("session_date")).distinct()
-    return published(cal.indivisible_sessions(sessions(spark).join(days, "session_date"), 480))
+    return published(cal.indivisible_sessions(sessions(spark, sf).join(days, "session_date"), 480))
 
 
 # --- joins ----------------------------------------------------------------------------

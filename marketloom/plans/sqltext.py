@@ -10,7 +10,7 @@ sessions AS (
   SELECT CAST(d AS DATE) AS session_date, d + INTERVAL 9 HOUR AS open_at,
          CASE WHEN isodow(d) = 5 THEN d + INTERVAL 13 HOUR ELSE d + INTERVAL 17 HOUR END AS close_at,
          isodow(d) = 5 AS is_half_day
-  FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS d)),
+  FROM (SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM events)::TIMESTAMP, (SELECT date_trunc('day', max(ts)) FROM events)::TIMESTAMP, INTERVAL 1 DAY)) AS d)),
 hourly AS (
   SELECT asset, CAST(ts AS DATE) AS session_date, CAST(hour(ts) - 9 AS BIGINT) AS slot,
          arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,

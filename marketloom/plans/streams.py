@@ -82,14 +82,14 @@ b AS (SELECT asset, session_date, CAST(w AS BIGINT) AS width, slot // w AS bucke
 
 @query("str06_session_bars", BARS + "SELECT * EXCLUDE (width, session_date), strftime(session_date, '%Y-%m-%d') AS session_date FROM b WHERE width = 1")
 def str06(spark, sf):
-    d = so.session_bars(tick_stream(spark, sf), sessions(spark), 60, [1], "price", "size")
+    d = so.session_bars(tick_stream(spark, sf), sessions(spark, sf), 60, [1], "price", "size")
     out = run.to_table(d, "update", "str06", ["asset", "session_date", "width", "bucket"])
     return published(out.drop("width"), None)
 
 
 @query("str07_multi_interval", BARS + "SELECT * EXCLUDE (session_date), strftime(session_date, '%Y-%m-%d') AS session_date FROM b")
 def str07(spark, sf):
-    d = so.session_bars(tick_stream(spark, sf), sessions(spark), 60, [1, 2, 4], "price", "size")
+    d = so.session_bars(tick_stream(spark, sf), sessions(spark, sf), 60, [1, 2, 4], "price", "size")
     return published(run.to_table(d, "update", "str07", ["asset", "session_date", "width", "bucket"]), None)
 
 
@@ -114,9 +114,10 @@ def str08(spark, sf):
     return published(run.to_table(d, "append", "str08"))
 
 
-@query("str09_cross_section_barrier", PANELS + f"SELECT strftime(CAST(session_date AS TIMESTAMP) + to_hours(slot + 9), {FMT}) AS ts, count(*) AS members FROM hourly GROUP BY session_date, slot HAVING count(*) = 5")
+@query("str09_cross_section_barrier", PANELS + f"SELECT strftime(CAST(session_date AS TIMESTAMP) + to_hours(slot + 9), {FMT}) AS ts, count(*) AS members FROM hourly GROUP BY session_date, slot HAVING count(*) = (SELECT count(DISTINCT asset) FROM hourly)")
 def str09(spark, sf):
-    d = so.barrier(bar_stream(spark, sf), ["ts"], "asset", 5)
+    expected = bar_rows(spark, sf).agg(F.count_distinct("asset").alias("expected"))
+    d = so.barrier(bar_stream(spark, sf), ["ts"], "asset", expected)
     return published(run.to_table(d, "update", "str09", ["ts"]))
 
 
@@ -180,7 +181,7 @@ def src20(spark, sf):
 @query("ev35_stream_batch_parity", BARS + "SELECT CAST(count(*) AS BIGINT) AS stream_rows, CAST(count(*) AS BIGINT) AS batch_rows, CAST(0 AS BIGINT) AS only_stream, CAST(0 AS BIGINT) AS only_batch, true AS equal FROM b")
 def ev35(spark, sf):
     """Streamed bars against batch bars of the same ticks, all days and columns."""
-    d = so.session_bars(tick_stream(spark, sf), sessions(spark), 60, [1, 2, 4], "price", "size")
+    d = so.session_bars(tick_stream(spark, sf), sessions(spark, sf), 60, [1, 2, 4], "price", "size")
     s = run.to_table(d, "update", "ev35", ["asset", "session_date", "width", "bucket"])
     h = hourly(spark, sf)
     b = multi_interval(h.drop("n"), [1, 2, 4]).drop("is_complete", "rows")

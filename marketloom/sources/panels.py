@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPEN_HOUR, CLOSE_HOUR, HALF_DAY_CLOSE = 9, 17, 13
-SPAN_START, SPAN_END = "2024-01-01", "2024-01-31"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +30,10 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sessions(spark: SparkSession) -> DataFrame:
-    """UTC sessions 09:00-17:00 for each day of the span; Fridays close at 13:00."""
-    day = spark.range(1).select(
-        F.explode(
-            F.sequence(F.lit(SPAN_START).cast("date"), F.date_sub(F.lit(SPAN_END).cast("date"), 1))
-        ).alias("session_date")
-    )
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTC sessions 09:00-17:00 for each day from the first to the last tick; Fridays close at 13:00."""
+    span = ticks(spark, sf_dir).agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    day = span.select(F.explode(F.sequence("a", "b")).alias("session_date"))
     half = F.dayofweek("session_date") == 6
     midnight = F.col("session_date").cast("timestamp")
     return day.select(

@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from marketloom.operators.chunks import running_max
 from marketloom.settings import shared_dir
-from marketloom.streaming.run import ROCKSDB, batch_folder, collect_batches, run_available
+from marketloom.streaming.run import ROCKSDB, batch_folder, collect_batches, previous_batch, run_available
 
 
 def deduplicated(stream: DataFrame, ident: str, ts: str, delay: str) -> DataFrame:
@@ -58,8 +58,9 @@ def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str], p
 def arrival_counters(stream: DataFrame, source: str, sequence: str, arrival: str, event: str, stale: float, purpose: str) -> DataFrame:
     """Per source: events, out-of-order, stale and future arrivals.
 
-    The running maximum of the sequence is taken per range of rows inside a batch
-    and carried between batches as one stored row per source.
+    The running maximum of the sequence is taken per range of rows inside a batch. A batch stores the
+    maximum so far, one row per source, and reads that of the batch before it, so its cost doesn't
+    depend on how many came earlier.
     """
     spark = stream.sparkSession
     root = shared_dir(spark, purpose)
@@ -67,16 +68,18 @@ def arrival_counters(stream: DataFrame, source: str, sequence: str, arrival: str
 
     def step(df: DataFrame, batch: int) -> None:
         d = running_max(df, [source], [arrival, sequence], sequence, "_before")
-        if batch > 0:
-            prior = collect_batches(df.sparkSession, root, "tops", tops).where(F.col("batch") < batch)
-            d = d.join(prior.groupBy(source).agg(F.max("_top").alias("_top")), source, "left")
-            d = d.withColumn("_before", F.greatest("_before", "_top"))
+        prior = previous_batch(df.sparkSession, root, "tops", tops, batch)
+        if prior is not None:
+            d = d.join(prior, source, "left").withColumn("_before", F.greatest("_before", "_top"))
         age = F.col(arrival).cast("double") - F.col(event).cast("double")
         out = d.groupBy(source).agg(
             F.count("*").alias("events"), F.count_if(F.col(sequence) <= F.col("_before")).alias("out_of_order"),
             F.count_if(age > stale).alias("stale"), F.count_if(age < 0).alias("future"))
         batch_folder(root, "counts")(out, batch)
-        batch_folder(root, "tops")(df.groupBy(source).agg(F.max(sequence).alias("_top")), batch)
+        top = df.groupBy(source).agg(F.max(sequence).alias("_top"))
+        if prior is not None:
+            top = top.union(prior.select(source, "_top")).groupBy(source).agg(F.max("_top").alias("_top"))
+        batch_folder(root, "tops")(top, batch)
 
     run_available(stream, step, "append", purpose)
     names = ["events", "out_of_order", "stale", "future"]
@@ -116,13 +119,13 @@ def session_bars(stream: DataFrame, sessions: DataFrame, base_minutes: int, widt
         F.sum(size).cast("double").alias("volume"), F.count("*").alias("rows")).drop("_w")
 
 
-def barrier(stream: DataFrame, keys: Sequence[str], member: str, members: int, ts: str = "ts", delay: str = "1 day") -> DataFrame:
+def barrier(stream: DataFrame, keys: Sequence[str], member: str, expected: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """Cross-sections that are complete; partial ones are not emitted and leave the state with the watermark.
 
-    ``keys`` must hold the event time ``ts``.
+    ``keys`` must hold the event time ``ts``; ``expected`` is one row with the number of members of a whole one.
     """
     g = stream.withWatermark(ts, delay).groupBy(*keys).agg(F.size(F.collect_set(member)).cast("long").alias("members"))
-    return g.where(F.col("members") == members)
+    return g.crossJoin(expected.select(expected[0].alias("_expected"))).where("members = _expected").drop("_expected")
 
 
 def gated(stream: DataFrame, verdict: Callable[[DataFrame], DataFrame], purpose: str) -> tuple[DataFrame, DataFrame]:
@@ -132,29 +135,30 @@ def gated(stream: DataFrame, verdict: Callable[[DataFrame], DataFrame], purpose:
     judged = verdict(stream)
 
     def step(df: DataFrame, batch: int) -> None:
-        df = df.persist()
-        batch_folder(root, "accepted")(df.where("allowed"), batch)
-        batch_folder(root, "blocked")(df.where("NOT allowed"), batch)
-        df.unpersist()
+        # One write, by verdict, serves both sinks.
+        df.withColumn("sink", F.when(F.col("allowed"), "accepted").otherwise("blocked")).write.partitionBy("sink").mode("overwrite").parquet(f"{root}/judged/batch={batch}")
 
     run_available(judged, step, "append", purpose)
-    return tuple(collect_batches(spark, root, n, judged.schema).drop("batch") for n in ("accepted", "blocked"))
+    schema = StructType(list(judged.schema.fields)).add("sink", "string")
+    rows = collect_batches(spark, root, "judged", schema).drop("batch")
+    return tuple(rows.where(F.col("sink") == n).drop("sink") for n in ("accepted", "blocked"))
 
 
 def late_rows(stream: DataFrame, ts: str, delay_seconds: int, purpose: str) -> tuple[DataFrame, DataFrame]:
-    """On-time rows and a side table of rows older than the last batch's limit."""
+    """On-time rows and a side table of rows older than the limit that the batches before have set."""
     spark = stream.sparkSession
     root = shared_dir(spark, purpose)
     tops = StructType().add("_top", "timestamp")
 
     def step(df: DataFrame, batch: int) -> None:
-        d = df.withColumn("late", F.lit(False))
-        if batch > 0:
-            top = collect_batches(df.sparkSession, root, "tops", tops).where(F.col("batch") < batch).agg(F.max("_top").alias("_top"))
+        d, top = df.withColumn("late", F.lit(False)), df.agg(F.max(ts).alias("_top"))
+        prior = previous_batch(df.sparkSession, root, "tops", tops, batch)
+        if prior is not None:
             limit = F.col("_top") - F.make_dt_interval(secs=F.lit(delay_seconds))
-            d = df.join(F.broadcast(top)).withColumn("late", F.coalesce(F.col(ts) < limit, F.lit(False))).drop("_top")
+            d = df.crossJoin(prior).withColumn("late", F.coalesce(F.col(ts) < limit, F.lit(False))).drop("_top")
+            top = top.union(prior).agg(F.max("_top").alias("_top"))
         batch_folder(root, "rows")(d, batch)
-        batch_folder(root, "tops")(df.agg(F.max(ts).alias("_top")), batch)
+        batch_folder(root, "tops")(top, batch)
 
     run_available(stream, step, "append", purpose)
     rows = collect_batches(spark, root, "rows", StructType(list(stream.schema.fields)).add("late", "boolean")).drop("batch")

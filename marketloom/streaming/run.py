@@ -53,6 +53,11 @@ def collect_batches(spark: SparkSession, root: str, name: str, schema: StructTyp
     return spark.read.schema(full).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}/batch=*")
 
 
+def previous_batch(spark: SparkSession, root: str, name: str, schema: StructType, batch: int) -> DataFrame | None:
+    """What the batch before stored, or None for the first; batch numbers have no gaps."""
+    return spark.read.schema(schema).parquet(f"{root}/{name}/batch={batch - 1}") if batch > 0 else None
+
+
 def to_table(stream: DataFrame, mode: str, purpose: str, keys: Sequence[str] = ()) -> DataFrame:
     """Run to the end and return the table: all rows, or the newest row per key."""
     spark = stream.sparkSession

@@ -42,3 +42,15 @@ def test_every_sql_belongs_to_a_query():
 def test_query_agrees_with_sql(spark, con, name):
     verdict = check.compare(entry.queries()[name](spark, str(ROOT)), con, entry.oracle_sql().get(name))
     assert not verdict.startswith("FAIL"), verdict
+
+
+@pytest.mark.parametrize("name", ["cal01_sessionize", "cal05_dense_grid", "cal06_common_calendar", "cal07_execution_calendar", "cal08_next_open", "str06_session_bars", "str09_cross_section_barrier"])
+def test_sessions_and_members_follow_the_events(spark, tmp_path, name):
+    """Events of another year, over a leap day, with a sixth type."""
+    kinds = ["click", "view", "purchase", "error", "signup", "refund"]
+    c = duckdb.connect()
+    c.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2028-02-25' + to_minutes(CAST(i * 7 AS INTEGER)) AS ts, i % 9 AS user_id, {kinds}[1 + i % 6] AS event_type,
+      CAST(10 + i % 13 AS DOUBLE) AS value, '{{"k": ' || (i % 90) || '}}' AS props FROM range(2600) r(i)) TO '{tmp_path}/events.parquet'""")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    verdict = check.compare(entry.queries()[name](spark, str(tmp_path)), c, entry.oracle_sql()[name])
+    assert verdict.startswith("ok") and int(verdict.split()[1]) > 0, verdict

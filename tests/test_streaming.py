@@ -71,7 +71,7 @@ def test_conflicts_and_barrier(spark, batches):
     c = run.to_table(so.source_conflicts(feed(spark, again), ["seq"], "price", "ts", "365 days"), "update", "t-conf", ["day", "seq"])
     assert {r["seq"] for r in c.where("conflict").collect()} == {1} and as_map(c, "seq", "deliveries")[2] == 2
     pairs = [[("s", 1, 10, 0, 1.0, "A")], [("s", 2, 10, 0, 1.0, "B"), ("s", 3, 20, 0, 1.0, "A")]]
-    b = run.to_table(so.barrier(feed(spark, pairs), ["ts"], "asset", 2), "update", "t-barrier", ["ts"])
+    b = run.to_table(so.barrier(feed(spark, pairs), ["ts"], "asset", spark.range(2, 3).toDF("members")), "update", "t-barrier", ["ts"])
     assert b.count() == 1
 
 
