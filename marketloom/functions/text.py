@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import Col, as_col
+from marketloom.settings import cut_lineage
 
 # Token patterns.
 LATIN = "[a-z0-9]+"
@@ -50,20 +51,20 @@ def content_id(columns: Sequence[str], prefix: str) -> Column:
 def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
     """Nested objects to (key, field, value) rows with dotted fields; lists stay whole.
 
-    One pass per nesting level, until no object is left.
+    The text is read and parsed once. Each level of nesting is written and only its objects go on to the next,
+    so the work follows the size of the documents whatever their depth. Texts without an object on top give no rows.
     """
     view = df.select(F.col(key).alias("_k"), F.lit("").alias("_f"), F.parse_json(F.col(text)).alias("_v"))
     done = None
     while True:
-        view.createOrReplaceTempView("_flatten_level")
-        level = df.sparkSession.sql(
-            "SELECT _k, CASE WHEN _f = '' THEN e.key ELSE concat(_f, '.', e.key) END AS _f, e.value AS _v "
-            "FROM _flatten_level, LATERAL variant_explode(_v) AS e WHERE e.key IS NOT NULL"
-        )
-        nested = F.schema_of_variant("_v").startswith("OBJECT")
-        leaf = level.where(~nested).select(F.col("_k").alias(key), F.col("_f").alias("field"), F.to_json("_v").alias("value"))
+        inner = view.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer())).where("key is not null")
+        field = F.when(F.col("_f") == "", F.col("key")).otherwise(F.concat_ws(".", "_f", "key"))
+        nested = F.coalesce(F.schema_of_variant("value").startswith("OBJECT"), F.lit(False))
+        level = inner.select("_k", field.alias("_f"), F.col("value").alias("_v"), nested.alias("_nested"))
+        level = cut_lineage(level.withColumns({"_leaf": F.when(~F.col("_nested"), F.to_json("_v")), "_v": F.when(F.col("_nested"), F.col("_v"))}), "flatten")
+        leaf = level.where("not _nested").select(F.col("_k").alias(key), F.col("_f").alias("field"), F.col("_leaf").alias("value"))
         done = leaf if done is None else done.unionByName(leaf)
-        view = level.where(nested)
+        view = level.where("_nested").select("_k", "_f", "_v")
         if view.isEmpty():
             return done
 

@@ -219,6 +219,42 @@ def src19b(spark, sf):
     return bad.groupBy(F.array_join("codes", ",").alias("codes")).agg(F.count("*").alias("n"))
 
 
+#: Every kind of the union in turn, with keys, prices and some broken invariants.
+KIND_LIST = ("quote", "bar", "market_status", "account", "order", "trade", "order_error", "connection")
+UNION_SQL = f"""u AS (SELECT event_id, {list(KIND_LIST)}[1 + event_id % 8] AS kind, date_trunc('second', ts) AS t, 'U' || CAST(user_id AS VARCHAR) AS symbol, value AS price,
+  60 * (1 + event_id % 3) AS seconds, 'M' || CAST(event_id % 5 AS VARCHAR) AS market, CASE WHEN event_id % 50 <> 3 THEN 'A' || CAST(user_id % 40 AS VARCHAR) END AS account,
+  'O' || CAST(event_id % 700 AS VARCHAR) AS ord, 'C' || CAST(event_id % 11 AS VARCHAR) AS conn, event_type AS state, CASE WHEN event_id % 16 = 9 THEN value * 2 ELSE value * 0.5 END AS low FROM events),
+ub AS (SELECT *, CASE WHEN kind = 'bar' AND low > price THEN 'BAR_INVALID' ELSE '' END AS codes,
+  CASE kind WHEN 'quote' THEN symbol WHEN 'bar' THEN symbol || ':' || CAST(seconds AS VARCHAR) WHEN 'market_status' THEN market WHEN 'account' THEN account WHEN 'order' THEN ord WHEN 'order_error' THEN ord WHEN 'connection' THEN conn END AS key FROM u)"""
+
+
+def union_lines(events):
+    """Events (batch or stream) rendered as JSON lines of all eight kinds."""
+    n = F.col("event_id")
+    kind = F.get(F.array(*[F.lit(k) for k in KIND_LIST]), (n % 8).cast("int"))
+    body = F.struct(
+        kind.alias("kind"), F.lit("feed").alias("source"), n.cast("string").alias("source_event_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("event_time"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("received_at"), n.alias("sequence"),
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), F.col("value").alias("bid"), F.col("value").alias("ask"), F.col("value").alias("price"),
+        F.col("value").alias("open"), F.col("value").alias("high"), F.col("value").alias("close"), (F.col("value") * F.when(n % 16 == 9, 2.0).otherwise(0.5)).alias("low"),
+        (60 * (1 + n % 3)).alias("interval_seconds"), F.concat(F.lit("M"), (n % 5).cast("string")).alias("market"),
+        F.when(n % 50 != 3, F.concat(F.lit("A"), (F.col("user_id") % 40).cast("string"))).alias("account_id"),
+        F.concat(F.lit("O"), (n % 700).cast("string")).alias("client_order_id"), F.concat(F.lit("C"), (n % 11).cast("string")).alias("connection_id"), F.col("event_type").alias("state"))
+    return events.select(F.to_json(body).alias("line"))
+
+
+@query("src19c_all_event_kinds", f"WITH {UNION_SQL} SELECT kind, codes, count(*) AS n, count(DISTINCT key) AS keys FROM ub GROUP BY 1, 2")
+def src19c(spark, sf):
+    """All eight kinds decoded: accepted ones with their state keys, rejected ones by code."""
+    good, bad = records.decode_events(union_lines(table(spark, sf, "events")), "line")
+    key = records.projection_key().alias("key")
+    ok = good.select("kind", F.lit("").alias("codes"), key)
+    kind = F.get_json_object("raw", "$.kind").alias("kind")
+    key_of = F.when(kind == "bar", F.concat_ws(":", F.get_json_object("raw", "$.symbol"), F.get_json_object("raw", "$.interval_seconds")))
+    out = ok.union(bad.select(kind, F.array_join("codes", ",").alias("codes"), key_of.alias("key")))
+    return out.groupBy("kind", "codes").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
 @query("src21_sample_export", CLEAN + "SELECT asset, strftime(ts, '%Y-%m-%d') AS d, close FROM kept WHERE asset IN ('S1', 'S2', 'S3') AND ts >= '1997-01-01' AND ts < '1998-01-01'")
 def src21(spark, sf):
     """Asset and time bound on the cleaned path, exported as Parquet and read back."""

@@ -156,7 +156,25 @@ def market_features(spark, sf):
     return m.select("wk", win.rolling_mean("r", 4, ["market"], "wk").alias("trail"), F.sqrt(win.rolling_mean(F.col("r") * F.col("r"), 4, ["market"], "wk")).alias("vol"))
 
 
-@query("st01_mixture_fit")
+def _em_sql(rows: str, tol: str = "1e-6") -> str:
+    """Two-state diagonal EM over columns x and y: one recursive step a round, until the mean likelihood stands still."""
+    def log(j: int) -> str:
+        return f"(ln(w{j}) - 0.5 * (power(x - a{j}, 2) / s{j} + ln(2 * pi() * s{j})) - 0.5 * (power(y - b{j}, 2) / t{j} + ln(2 * pi() * t{j})))"
+
+    top = f"greatest({log(0)}, {log(1)})"
+    post = f"SELECT em.*, x, y, sx, sy, {top} + ln(exp({log(0)} - {top}) + exp({log(1)} - {top})) AS l, exp({log(0)} - {top}) / (exp({log(0)} - {top}) + exp({log(1)} - {top})) AS p0 FROM em, {rows}, sc WHERE it < 500 AND (prior IS NULL OR abs(now - prior) >= {tol})"
+    step = []
+    for p, (mx, my) in (("p0", ("sum(p0 * x) / sum(p0)", "sum(p0 * y) / sum(p0)")), ("(1 - p0)", ("sum((1 - p0) * x) / sum(1 - p0)", "sum((1 - p0) * y) / sum(1 - p0)"))):
+        step.append((f"sum({p}) / count(*)", mx, my, f"greatest(sum({p} * x * x) / sum({p}) - power({mx}, 2), 1e-6 * any_value(sx))", f"greatest(sum({p} * y * y) / sum({p}) - power({my}, 2), 1e-6 * any_value(sy))"))
+    cells = ", ".join(step[j][c] for c in range(5) for j in range(2))
+    return f"""sc AS (SELECT quantile_cont(x, 0.25) AS q0, quantile_cont(x, 0.75) AS q1, avg(y) AS my, var_pop(x) AS sx, var_pop(y) AS sy FROM {rows}),
+em AS (SELECT 0 AS it, 0.5::DOUBLE AS w0, 0.5::DOUBLE AS w1, q0 AS a0, q1 AS a1, my AS b0, my AS b1, sx AS s0, sx AS s1, sy AS t0, sy AS t1, NULL::DOUBLE AS now, NULL::DOUBLE AS prior FROM sc
+  UNION ALL SELECT it + 1, {cells}, avg(l), any_value(now) FROM ({post}) AS e GROUP BY it),
+fit AS (SELECT * FROM em ORDER BY it DESC LIMIT 1)"""
+
+
+@query("st01_mixture_fit", pub(FEATS.replace("WITH ticks", "WITH RECURSIVE ticks") + ", tr AS (SELECT trail AS x, vol AS y FROM mf WHERE wk < '1999-01-01' AND trail IS NOT NULL AND vol IS NOT NULL), " + _em_sql("tr") + """
+SELECT CAST(row_number() OVER (ORDER BY trail, vol) - 1 AS INTEGER) AS state, weight, trail, vol FROM (SELECT unnest([w0, w1]) AS weight, unnest([a0, a1]) AS trail, unnest([b0, b1]) AS vol FROM fit)""", "weight trail vol", digits=4).replace("CAST(row_number() OVER (ORDER BY trail, vol) - 1 AS INTEGER)", "row_number() OVER (ORDER BY trail, vol) - 1"))
 def st01(spark, sf):
     m = ms.fit_mixture(market_features(spark, sf).where("wk < '1999-01-01'"), ["trail", "vol"], 2)
     rows = ", ".join(f"({j}, {m.weights[j]!r}D, {m.means[j][0]!r}D, {m.means[j][1]!r}D)" for j in range(2))
@@ -179,6 +197,17 @@ def st02(spark, sf):
     return published(out.select("wk", "reason", "p0", "p1"))
 
 
+@query("st02b_projection_as_of", FEATS + f""", q AS (SELECT wk, CASE WHEN wk + INTERVAL 7 DAY > TIMESTAMP '1999-06-01' THEN 'OBSERVATION_NOT_AVAILABLE' WHEN wk < '1999-01-01' THEN 'FIT_HISTORY_NOT_PROJECTION'
+  WHEN wk + INTERVAL 7 DAY < TIMESTAMP '1999-02-15' THEN 'MODEL_NOT_AVAILABLE' WHEN trail IS NULL THEN 'FEATURE_UNAVAILABLE' END AS reason,
+  ln(0.4) + {dens('trail', 0.2, 0.04)} + {dens('vol', 0.6, 0.09)} AS a, ln(0.6) + {dens('trail', 0.8, 0.25)} + {dens('vol', 1.5, 0.36)} AS b FROM mf)
+SELECT strftime(wk, '%Y-%m-%d') AS wk, reason, round(CASE WHEN reason IS NULL THEN exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) END, 6) AS p0 FROM q""")
+def st02b(spark, sf):
+    """What was known on a day: later rows and rows before the model's release have no probabilities."""
+    m = market_features(spark, sf).withColumn("known", F.date_add("wk", 7))
+    out = ms.project(m, FIXED, "1999-01-01", "wk", "known", "1999-06-01", "1999-02-15")
+    return published(out.select("wk", "reason", "p0"))
+
+
 @query("gr13_state_transitions", STATE + "SELECT 'all' AS series, p AS from_state, state AS to_state, count(*) AS n FROM (SELECT wk, state, lag(state) OVER (ORDER BY wk) AS p FROM state) AS z WHERE p <> state GROUP BY 2, 3")
 def gr13(spark, sf):
     return ms.transitions(market_state(spark, sf).withColumn("series", F.lit("all")), ["series"], "wk", "state")

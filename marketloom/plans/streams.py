@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from marketloom.operators.orders import admissible
 from marketloom.operators.resample import multi_interval
+from marketloom.plans.market import UNION_SQL, union_lines
 from marketloom.plans.registry import published, query
 from marketloom.plans.sqltext import PANELS
 from marketloom.settings import cut_lineage, shared_dir
+from marketloom.sources import records
 from marketloom.sources.panels import hourly, sessions, table, ticks
 from marketloom.streaming import operators as so
 from marketloom.streaming import run
@@ -69,6 +71,22 @@ def str04(spark, sf):
     return published(run.to_table(d, "update", "str04", ["user_id"]), None)
 
 
+def projection_query(kind: str, letter: str) -> None:
+    sql = f"""WITH {UNION_SQL} SELECT key, event_id AS sequence, strftime(t, {FMT}) AS event_time, state, price FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, event_id DESC) AS r FROM ub WHERE codes = '' AND key IS NOT NULL AND kind = '{kind}') AS x WHERE r = 1"""
+
+    @query(f"str04{letter}_latest_{kind}", sql)
+    def latest_of_kind(spark, sf):
+        """One stream keeps the latest states of all kinds; this is one of its tables."""
+        lines = union_lines(run.file_stream(spark, sf, "events.parquet", table(spark, sf, "events").schema))
+        good, _ = records.decode_events(lines, "line")
+        every = run.to_table(so.projections(good), "update", "str04", ["kind", "key"])
+        return published(every.where(F.col("kind") == kind).select("key", "sequence", "event_time", "state", "price"), None)
+
+
+for _letter, _kind in zip("bcdefgh", records.PROJECTED):
+    projection_query(_kind, _letter)
+
+
 @query("str05_positions", PANELS + """SELECT user_id, asset, CAST(sum(CASE WHEN size > 50 THEN 1 ELSE -1 END * size) AS DOUBLE) AS position, count(*) AS deals FROM ticks GROUP BY 1, 2 HAVING abs(sum(CASE WHEN size > 50 THEN 1 ELSE -1 END * size)) > 1e-12""")
 def str05(spark, sf):
     signed = (F.when(F.col("size") > 50, 1).otherwise(-1) * F.col("size")).cast("double")

@@ -115,6 +115,20 @@ def session_totals(df: DataFrame, keys: Sequence[str], order: str, value: str) -
     )
 
 
+#: The kinds whose latest state is kept.
+PROJECTED = ("quote", "bar", "market_status", "account", "order", "order_error", "connection")
+
+
+def projection_key() -> Column:
+    """What an event's latest state is kept by; NULL for kinds that have none."""
+    kind, bar = F.col("kind"), F.concat_ws(":", "symbol", F.col("interval_seconds").cast("string"))
+    return (
+        F.when(kind == "quote", F.col("symbol")).when(kind == "bar", F.when(F.col("symbol").isNotNull() & F.col("interval_seconds").isNotNull(), bar))
+        .when(kind == "market_status", F.col("market")).when(kind == "account", F.col("account_id"))
+        .when(kind.isin("order", "order_error"), F.col("client_order_id")).when(kind == "connection", F.col("connection_id"))
+    )
+
+
 def decode_events(lines: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Tagged-union events from JSON text: accepted rows and rejects with reasons."""
     schema = T.StructType(
@@ -132,13 +146,19 @@ def decode_events(lines: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
             T.StructField("volume", T.DoubleType()),
             T.StructField("side", T.StringType()),
             T.StructField("state", T.StringType()),
+            *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close")],
+            T.StructField("interval_seconds", T.LongType()),
+            *[T.StructField(c, T.StringType()) for c in ("market", "account_id", "client_order_id", "connection_id")],
         ]
     )
     # The kinds of the event union.
     kinds = ("quote", "bar", "market_status", "account", "order", "trade", "order_error", "connection")
-    d = lines.withColumn("_e", F.from_json(column, schema, {"timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}))
-    d = d.select(F.col(column).alias("raw"), "_e.*")
+    # Exploding one element keeps filters on the fields above the parse, which so runs once a line.
+    parsed = F.explode(F.array(F.from_json(column, schema, {"timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"})))
+    d = lines.select(F.col(column).alias("raw"), parsed.alias("_e")).select("raw", "_e.*")
     known = F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
+    top, bottom = F.greatest("open", "close"), F.least("open", "close")
+    whole = (F.col("high") >= top) & (F.col("low") <= bottom) & (F.col("low") > 0)
     codes = reasons(
         (~known, "UNKNOWN_KIND"),
         (F.col("event_time").isNull() | F.col("received_at").isNull(), "CLOCK_MISSING"),
@@ -146,6 +166,7 @@ def decode_events(lines: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
         (F.col("sequence").isNull() | (F.col("sequence") < 0), "SEQUENCE_INVALID"),
         ((F.col("kind") == "quote") & ~F.coalesce(F.col("ask") >= F.col("bid"), F.lit(False)), "QUOTE_CROSSED"),
         ((F.col("kind") == "trade") & ~F.coalesce(F.col("price") > 0, F.lit(False)), "TRADE_PRICE_INVALID"),
+        ((F.col("kind") == "bar") & ~F.coalesce(whole & (F.col("interval_seconds") > 0), F.lit(False)), "BAR_INVALID"),
     )
     d = d.withColumn("codes", codes)
     ident = F.concat_ws("|", "kind", "source", "source_event_id", F.col("event_time").cast("string"), "symbol",

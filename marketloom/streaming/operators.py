@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from marketloom.operators.chunks import running_max
 from marketloom.settings import shared_dir
+from marketloom.sources.records import projection_key
 from marketloom.streaming.run import ROCKSDB, batch_folder, collect_batches, previous_batch, run_available
 
 
@@ -55,6 +56,19 @@ def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str], p
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in (*order, *payload)])
 
 
+def projections(events: DataFrame) -> DataFrame:
+    """Latest state of all kinds from one pass over decoded events, for update mode.
+
+    One row per (kind, key) with the newest event under (event_time, sequence, received_at, event_id); equal
+    deliveries change nothing. The tagged state combines before its shuffle, so a busy key is no single task.
+    """
+    order = ["event_time", "sequence", "received_at", "event_id"]
+    d = events.withColumn("key", projection_key()).where(F.col("key").isNotNull())
+    rest = [c for c in d.columns if c not in ("kind", "key", *order)]
+    g = d.groupBy("kind", "key").agg(F.max(F.struct(*order, *rest)).alias("_r"))
+    return g.select("kind", "key", *[F.col(f"_r.{c}").alias(c) for c in (*order, *rest)])
+
+
 def arrival_counters(stream: DataFrame, source: str, sequence: str, arrival: str, event: str, stale: float, purpose: str) -> DataFrame:
     """Per source: events, out-of-order, stale and future arrivals.
 

@@ -416,3 +416,13 @@ def test_user_features_over_ranges_equal_windows_of_each_key(spark, ranges):
                 assert close(got[(k, r[1])], r[2] - sum(v[2] * v[3] for v in w) / sum(v[3] for v in w), 1e-9)
     with pytest.raises(Exception, match="non-finite"):
         with_feature(df, FeatureSpec("gap", ("x",), 2, lambda b: b[:, 0, 0] * np.inf), ["k"], "t", ranges).collect()
+
+
+def test_json_of_any_depth_flattens_in_one_reading(spark):
+    from marketloom.functions.text import flatten_json
+
+    deep = '{"a":' * 9 + '{"x":1,"l":[{"y":2}],"n":null}' + "}" * 9
+    df = spark.createDataFrame([(1, deep), (2, '{"s":"q\\"z","e":{}}'), (3, "[1]"), (4, None), (5, '{"b":true,"c":{"d":1.5}}')], "id long, t string")
+    got = {(r["id"], r["field"]): r["value"] for r in flatten_json(df, "id", "t").collect()}
+    p = ".".join("a" * 9)
+    assert got == {(1, f"{p}.x"): "1", (1, f"{p}.l"): '[{"y":2}]', (1, f"{p}.n"): "null", (2, "s"): '"q\\"z"', (5, "b"): "true", (5, "c.d"): "1.5"}

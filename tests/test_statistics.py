@@ -227,10 +227,21 @@ def test_arma_and_garch_recover_parameters(spark):
 def test_mixture_finds_two_states(spark):
     rng = np.random.default_rng(9)
     data = [(float(a), float(b)) for a, b in zip(rng.normal(-2, 0.3, 150), rng.normal(1, 0.2, 150))] + [(float(a), float(b)) for a, b in zip(rng.normal(2, 0.5, 50), rng.normal(3, 0.4, 50))]
-    m = state.fit_mixture(spark.createDataFrame(data, "x double, y double"), ["x", "y"], 2, rounds=15)
+    m = state.fit_mixture(spark.createDataFrame(data, "x double, y double"), ["x", "y"], 2)
     assert abs(m.means[0][0] + 2) < 0.2 and abs(m.means[1][0] - 2) < 0.3 and abs(m.weights[0] - 0.75) < 0.05
 
 
+def test_mixture_refuses_what_it_cannot_fit(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(size=60)], "x double")
+    with pytest.raises(ValueError, match="not converged"):
+        state.fit_mixture(df, ["x"], 2, rounds=2)
+    with pytest.raises(ValueError, match="different rows"):
+        state.fit_mixture(spark.createDataFrame([(1.0,)] * 9, "x double"), ["x"], 2)
+    with pytest.raises(ValueError, match="too few"):
+        state.fit_mixture(df.limit(3), ["x"], 2)
+
+
 def test_null_state_breaks_the_chain(spark):
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate(["a", "b", None, "a", "a", "b"])], "k string, t int, st string")
     assert rows(state.transitions(df, ["k"], "t", "st")) == [("s", "a", "b", 2)]

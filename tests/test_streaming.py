@@ -97,3 +97,18 @@ def test_gate_splits_without_loss(spark, batches):
 
     ok, bad = so.gated(feed(spark, batches), verdict, "t-gate")
     assert ok.count() + bad.count() == 8 and {r["seq"] for r in bad.collect()} == {5, 6, 7}
+
+
+def test_projections_of_all_kinds_follow_event_time_across_batches(spark):
+    from marketloom.sources import records
+
+    kinds = list(records.PROJECTED)
+    # The same state is told twice; the newer event comes in the earlier batch for every other kind.
+    rows_ = [[("s", n, 100 + (50 if (n % 2) == b else 0), b, float(b), k) for n, k in enumerate(kinds)] for b in (0, 1)]
+    stream = feed(spark, rows_).withColumnRenamed("asset", "kind")
+    events = stream.select(
+        "kind", F.lit("S").alias("symbol"), F.lit(60).alias("interval_seconds"), *[F.lit(c).alias(c) for c in ("market", "account_id", "client_order_id", "connection_id")],
+        F.col("ts").alias("event_time"), F.col("seq").alias("sequence"), "received_at", F.concat("kind", F.col("price").cast("string")).alias("event_id"), "price")
+    got = run.to_table(so.projections(events), "update", "t-kinds", ["kind", "key"])
+    assert as_map(got, "kind", "price") == {k: float(n % 2) for n, k in enumerate(kinds)}
+    assert as_map(got, "kind", "key") == dict(zip(kinds, ["S", "S:60", "market", "account_id", "client_order_id", "client_order_id", "connection_id"]))
