@@ -44,24 +44,65 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(labels, words, names, extra)), lambda x: F.length(x) > 2)
 
 
-def mined_rules(labelled: DataFrame, support: float = 0.002, least: int = 20, confidence: float = 0.5, sample: int = 50_000) -> DataFrame:
-    """``(rule, antecedent, confidence)`` that imply the bad label, from rows ``(url, bad)``.
+def compounds(baskets: DataFrame) -> DataFrame:
+    """``(token, item)``: tokens that occur in exactly the same baskets share an item, named by the smallest of them.
 
-    At most about ``sample`` labelled rows, those of lowest hash, are mined; support is a share of
-    them, and ``least`` rows at the least. Rows without a URL or label teach nothing; with no rows there are no rules.
+    ``baskets`` has ``(basket, token)``. Baskets are told apart by the XOR of their hashes and their number.
     """
-    known = with_parts(labelled.where("url is not null and bad is not null").select("url", "bad"))
-    items = F.array_append(tokens(F.col("host"), F.col("path"), F.col("url")), F.when(F.col("bad"), BAD).otherwise(GOOD))
-    baskets = cut_lineage(known.select(F.xxhash64("url").alias("_h"), items.alias("items")), "baskets")
-    total = baskets.count()
+    each = baskets.groupBy("token").agg(F.bit_xor(F.xxhash64("basket")).alias("a"), F.bit_xor(F.xxhash64(F.lit(7), "basket")).alias("b"), F.count("*").alias("n"))
+    named = each.groupBy("a", "b", "n").agg(F.min("token").alias("item"))
+    return each.join(named, ["a", "b", "n"]).select("token", "item", "n")
+
+
+def mined_rules(
+    labelled: DataFrame, support: float = 0.002, least: int = 20, lift: float = 1.5, score: float = 3.0, sample: int = 50_000, longest: int = 24
+) -> DataFrame:
+    """``(rule, antecedent, confidence, lift)`` that imply the bad label, from rows ``(url, bad)``.
+
+    A basket is a distinct URL with its tokens; URLs whose labels contradict each other teach nothing. At most
+    about ``sample`` of them, those of lowest hash, are mined. Support is a share of them, and ``least`` of them at the least.
+    A rule's confidence has to be ``lift`` times the share of bad URLs and ``score`` standard errors above it. Rules are
+    closed: tokens that always occur together count as one item and appear together in an antecedent, and a longer
+    antecedent is kept only if more confident than every shorter one inside it. A basket's ``longest`` most
+    frequent items are mined, which bounds the combinations of very long URLs.
+
+    Rows without a URL or label teach nothing; with no rows there are no rules.
+    """
+    known = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.min("bad").alias("bad"), (F.min("bad") == F.max("bad")).alias("clear"))
+    known = with_parts(known.where("clear").select("url", "bad"))
+    rows = cut_lineage(known.select("url", "bad", F.xxhash64("url").alias("h"), tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens")), "baskets")
     spark = labelled.sparkSession
+    none = spark.range(0).select(F.col("id").alias("rule"), F.array().cast("array<string>").alias("antecedent"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("lift"))
+    total = rows.count()
     if not total:
-        return spark.range(0).select(F.col("id").alias("rule"), F.array().cast("array<string>").alias("antecedent"), F.lit(0.0).alias("confidence"))
+        return none
     if total > sample:
-        baskets = baskets.where(F.shiftrightunsigned("_h", 32) < int((1 << 32) * sample / total))
-    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / min(total, sample))), minConfidence=confidence).fit(baskets).associationRules
-    rules = rules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence")
-    return cut_lineage(rules.select(F.xxhash64("antecedent").alias("rule"), "antecedent", "confidence"), "rules")
+        rows = rows.where(F.shiftrightunsigned("h", 32) < int((1 << 32) * sample / total))
+    size, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    if not 0 < bad < size:
+        return none
+    floor = min(1.0, max(support, least / size))
+    pairs = rows.select(F.col("url").alias("basket"), "bad", F.explode("tokens").alias("token"))
+    named = cut_lineage(compounds(pairs.select("basket", "token")), "items")
+    frequent = named.where(F.col("n") >= floor * size)
+    items = pairs.join(frequent, "token").groupBy("basket").agg(F.max("bad").alias("bad"), F.sort_array(F.collect_set(F.struct((-F.col("n")).alias("n"), "item"))).alias("all"))
+    chosen = F.transform(F.slice("all", 1, longest), lambda x: x["item"])
+    baskets = cut_lineage(items.select(F.array_append(chosen, F.when(F.col("bad"), BAD).otherwise(GOOD)).alias("items")), "mined")
+    base = bad / size
+    mined = FPGrowth(itemsCol="items", minSupport=floor, minConfidence=min(1.0, lift * base)).fit(baskets).associationRules
+    mined = mined.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") / F.col("confidence") * baskets.count()).alias("n"))
+    sure = (F.col("confidence") - base) / F.sqrt(F.lit(base * (1 - base)) / F.col("n"))
+    mined = cut_lineage(mined.where((F.col("confidence") >= lift * base) & (sure >= score)), "confident")
+    # A rule falls to a shorter one inside it that is as confident; they meet in one of the shorter one's items.
+    short = mined.select(F.explode("antecedent").alias("i"), F.col("antecedent").alias("inner"), F.col("confidence").alias("c"))
+    short = short.where(F.col("i") == F.element_at("inner", 1))
+    long = mined.select(F.explode("antecedent").alias("i"), "antecedent", "confidence")
+    inside = (F.size("inner") < F.size("antecedent")) & (F.size(F.array_except("inner", "antecedent")) == 0) & (F.col("c") >= F.col("confidence"))
+    needless = long.join(short, "i").where(inside).select("antecedent").distinct()
+    closed = mined.join(needless, "antecedent", "left_anti").select(F.xxhash64("antecedent").alias("rule"), "antecedent", "confidence")
+    whole = closed.select("rule", "confidence", F.explode("antecedent").alias("item")).join(named.select("item", "token"), "item")
+    rules = whole.groupBy("rule").agg(F.array_sort(F.collect_set("token")).alias("antecedent"), F.max("confidence").alias("confidence"))
+    return cut_lineage(rules.withColumn("lift", F.col("confidence") / base), "rules")
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -409,9 +409,63 @@ def test_mined_rules_are_the_confident_frequent_combinations(spark):
     from marketloom.llm import url_rules
 
     rows = [(f"http://bad.site{i % 3}.com/x/{i}", True) for i in range(40)] + [(f"http://good.site{i % 3}.com/x/{i}?r=1", False) for i in range(60)] + [(None, True), ("http://u.v/x", None)]
-    rules = url_rules.mined_rules(spark.createDataFrame(rows, "url string, bad boolean"), support=0.1, confidence=0.9, least=1)
+    rules = url_rules.mined_rules(spark.createDataFrame(rows, "url string, bad boolean"), support=0.1, least=1)
     found = {tuple(r["antecedent"]): r["confidence"] for r in rules.collect()}
-    assert ("h:bad",) in found and all("h:bad" in k for k in found) and min(found.values()) >= 0.9
+    assert found == {("h:bad",): 1.0}  # closed: nothing longer is more confident
     pages = spark.createDataFrame([(1, "http://bad.site1.com/x/9"), (2, "http://good.site1.com/x/9"), (3, "http://bad.org/")], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_rules.judged(pages, rules, ()).collect()}
     assert got == {1: "block", 2: "allow", 3: "block"}
+
+
+def brute_rules(rows, least, lift, score):
+    """Closed rules of all token combinations, by plain enumeration."""
+    from itertools import combinations
+
+    seen = {}
+    for tokens, bad in rows:
+        for k in range(1, len(tokens) + 1):
+            for some in combinations(sorted(tokens), k):
+                n, b = seen.get(some, (0, 0))
+                seen[some] = (n + 1, b + bad)
+    size, base = len(rows), sum(b for _, b in rows) / len(rows)
+    good = {k: b / n for k, (n, b) in seen.items() if b >= least and b / n >= lift * base and (b / n - base) / (base * (1 - base) / n) ** 0.5 >= score}
+    return {k: c for k, c in good.items() if not any(set(o) < set(k) and d >= c for o, d in good.items())}, size
+
+
+def test_rules_equal_plain_enumeration(spark):
+    from marketloom.llm import url_rules
+
+    rng = random.Random(12)
+    names = ["a", "b", "c", "d", "e"]
+    rows, urls = [], []
+    for i in range(400):
+        words = [w for w in names if rng.random() < 0.4]
+        bad = rng.random() < (0.9 if "a" in words and "b" in words else 0.6 if "c" in words else 0.15)
+        url = f"http://x{i:03d}/{'/'.join(words)}"
+        urls.append((url, bad))
+        rows.append(({f"p:{w}" for w in words} | {f"h:x{i:03d}"}, bad))
+    want, size = brute_rules([({t for t in ts if t[0] == "p"}, b) for ts, b in rows], 20, 1.5, 3.0)
+    got = url_rules.mined_rules(spark.createDataFrame([*urls, *urls[:50]], "url string, bad boolean"))
+    assert {tuple(r["antecedent"]): round(r["confidence"], 9) for r in got.collect()} == {k: round(c, 9) for k, c in want.items()} and want
+
+
+def test_repeats_of_a_long_url_give_one_closed_rule(spark):
+    from marketloom.llm import url_rules
+
+    words = "/".join("abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(40))
+    rows = [(f"http://bad.org/{words}?n{i}=1", True) for i in range(30)] + [(f"http://bad.org/{words}", True)] * 30 + [(f"http://good.org/{i}", False) for i in range(90)]
+    rules = url_rules.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert len(rules) == 1 and len(rules[0]["antecedent"]) == 41 and rules[0]["confidence"] == 1.0
+    assert url_rules.mined_rules(spark.createDataFrame([("http://a/b", True)] * 40, "url string, bad boolean")).isEmpty()
+    both = [("http://a.b/c", True), ("http://a.b/c", False)] * 30
+    assert url_rules.mined_rules(spark.createDataFrame(both, "url string, bad boolean")).isEmpty()
+
+
+def test_registered_query_blocks_pages_by_mined_rules(spark, tmp_path):
+    from marketloom.llm import queries
+
+    pages = [(i, f"http://{'casino' if i % 3 == 0 else 'home'}.site/x/{i}") for i in range(300)] + [(900, "http://casino.site/other"), (901, None)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r["verdict"] for r in queries.op1(spark, str(tmp_path)).collect()}
+    assert got == {i: "block" if i == 900 or (i < 300 and i % 3 == 0) else "allow" for i, _ in pages}
