@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import reasons
 from marketloom.operators.chunks import asof_backward
+from marketloom.operators.ordering import latest
 
 
 def snapshot_at(df: DataFrame, asof: str, clock: str = "available_at") -> DataFrame:
     """Latest row per asset known at ``asof`` (ties on the clock are visible)."""
     known = df.where(F.col(clock) <= F.lit(asof).cast("timestamp"))
-    rest = [c for c in df.columns if c not in ("asset", clock)]
-    g = known.groupBy("asset").agg(F.max(F.struct(clock, *rest)).alias("_r"))
-    return g.select("asset", *[F.col(f"_r.{c}").alias(c) for c in (clock, *rest)])
+    return latest(known, ["asset"], [clock])
 
 
 def snapshots(

@@ -11,30 +11,33 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.numeric import FLAT, clip
 from marketloom.functions.solve import solve_normal
+from marketloom.operators.chunks import numbered
 from marketloom.settings import cut_lineage
 
 ONE = "\u0001one"
 
 
-def gram(df: DataFrame, ts: str, asset: str, value: str, weight: str | None = None) -> DataFrame:
+def complete_vectors(df: DataFrame, ts: str, asset: str, value: str) -> DataFrame:
+    """One row per timestamp at which every asset has a value: ``names`` and ``xs``, in the order of the assets.
+
+    The panel is read once; its vectors are stored, and the members are counted on them.
+    """
+    # One row per (time, asset): repeated rows count by their mean, so they can't stand in for a missing asset.
+    cells = df.groupBy(ts, asset).agg(F.avg(value).alias(value))
+    rows = cells.groupBy(ts).agg(F.sort_array(F.collect_list(F.struct(asset, value))).alias("_v"))
+    rows = cut_lineage(rows.select(ts, F.col("_v").getField(asset).alias("names"), F.col("_v").getField(value).alias("xs")), "vectors")
+    members = rows.select(F.explode("names").alias("_a")).agg(F.count_distinct("_a").alias("_k"))
+    whole = (F.size("names") == F.col("_k")) & ~F.exists("xs", lambda x: x.isNull())
+    return rows.join(F.broadcast(members)).where(whole).drop("_k")
+
+
+def gram(vectors: DataFrame, weight: Column | None = None) -> DataFrame:
     """Σ w x_i x_j over complete timestamps as (i, j, s), with a constant column added.
 
     Each task multiplies the vectors it holds and emits one matrix, so the shuffle carries
-    assets squared per task instead of pairs per timestamp. Timestamps with a missing
-    asset drop out; the constant column yields weights and sums.
+    assets squared per task instead of pairs per timestamp. The constant column yields weights and sums.
     """
-    # One row per (time, asset): repeated rows count by their mean, so they can't stand in for a missing asset.
-    df = df.groupBy(ts, asset).agg(F.avg(value).alias(value), *([F.max(weight).alias(weight)] if weight else []))
-    members = df.agg(F.count_distinct(asset).alias("_k"))
-    w = F.max(weight) if weight else F.lit(1.0)
-    rows = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(ts)
-        .agg(F.sort_array(F.collect_list(F.struct(asset, value))).alias("_v"), w.cast("double").alias("_w"))
-        .join(F.broadcast(members))
-        .where(F.size("_v") == F.col("_k"))
-        .select(F.col("_v").getField(asset).alias("names"), F.col("_v").getField(value).alias("xs"), "_w")
-    )
+    rows = vectors.select("names", "xs", (F.lit(1.0) if weight is None else weight).alias("_w"))
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, names = None, None
@@ -53,9 +56,7 @@ def gram(df: DataFrame, ts: str, asset: str, value: str, weight: str | None = No
     return cells.groupBy("i", F.col("c.names").alias("j")).agg(F.sum("c.row").alias("s"), F.sum("mass").alias("mass"))
 
 
-def covariance(df: DataFrame, ts: str, asset: str, value: str, weight: str | None = None) -> DataFrame:
-    """Weighted covariance (divisor Σw) as (asset_i, asset_j, cov)."""
-    g = gram(df, ts, asset, value, weight)
+def _moments(g: DataFrame) -> DataFrame:
     # Sums of each asset sit in the constant row and column of the same table.
     mi = F.max(F.when(F.col("j") == ONE, F.col("s"))).over(Window.partitionBy("i")) / F.col("mass")
     mj = F.max(F.when(F.col("i") == ONE, F.col("s"))).over(Window.partitionBy("j")) / F.col("mass")
@@ -63,18 +64,18 @@ def covariance(df: DataFrame, ts: str, asset: str, value: str, weight: str | Non
     return c.select(F.col("i").alias("asset_i"), F.col("j").alias("asset_j"), (F.col("s") / F.col("mass") - F.col("_mi") * F.col("_mj")).alias("cov"), "mass")
 
 
-def ewma_weights(df: DataFrame, ts: str, asset: str, value: str, decay: float) -> DataFrame:
-    """Attach decay^(age) to timestamps at which every asset has a value."""
-    k = df.agg(F.count_distinct(asset).alias("_k"))
-    full = df.where(F.col(value).isNotNull()).groupBy(ts).agg(F.count("*").alias("_c")).join(F.broadcast(k)).where("_c = _k")
-    age = F.row_number().over(Window.orderBy(F.desc(ts))) - 1
-    w = full.select(ts, F.pow(F.lit(decay), age).alias("w"))
-    return df.join(w, ts)
+def covariance(df: DataFrame, ts: str, asset: str, value: str) -> DataFrame:
+    """Covariance over complete timestamps as (asset_i, asset_j, cov, mass)."""
+    return _moments(gram(complete_vectors(df, ts, asset, value)))
 
 
 def ewma_covariance(df: DataFrame, ts: str, asset: str, value: str, decay: float, shrink: float) -> DataFrame:
-    """EWMA covariance with off-diagonals shrunk towards zero."""
-    c = covariance(ewma_weights(df, ts, asset, value, decay), ts, asset, value, "w")
+    """Covariance (divisor Σw) weighted by decay^(age), off-diagonals shrunk towards zero.
+
+    Age counts complete timestamps from the newest, 0, across ranges of time.
+    """
+    aged = numbered(complete_vectors(df, ts, asset, value), [], [F.desc(ts)], "_age")
+    c = _moments(gram(aged, F.pow(F.lit(decay), F.col("_age") - 1)))
     off = F.col("asset_i") != F.col("asset_j")
     return c.select("asset_i", "asset_j", F.when(off, F.col("cov") * (1 - shrink)).otherwise(F.col("cov")).alias("cov"))
 

@@ -304,6 +304,48 @@ def test_latest_uses_the_full_order(spark):
     assert rows(ordering.latest(df, ["k"], ["t", "s"])) == [("k", 1, 6, "b")]
 
 
+ORDERS = {
+    "timestamp_seq": (["t", "n"], "t timestamp, n bigint"),
+    "date_flag_int": (["d", "f", "i"], "d date, f boolean, i int"),
+    "two_longs": (["n", "m"], "n bigint, m bigint"),
+    "price": (["x"], "x double"),
+    "text": (["s", "i"], "s string, i int"),
+}
+
+
+@pytest.mark.parametrize("name", ORDERS)
+def test_newest_rows_agree_with_the_largest_struct(spark, name):
+    """Nulls, extremes of the types, ties, null keys and one key with most rows."""
+    order, schema = ORDERS[name]
+    rng = random.Random(7)
+    pools = {
+        "timestamp": ["NULL", "TIMESTAMP'2024-01-02 00:00:00'", "TIMESTAMP'2024-01-02 00:00:00.000001'", "timestamp_micros(9223372036854775807)",
+                      "timestamp_micros(9223372036854775806)", "timestamp_micros(-9223372036854775808)", "timestamp_micros(-1)"],
+        "date": ["NULL", "DATE'1969-12-31'", "DATE'2024-02-29'", "DATE'9999-12-31'"], "boolean": ["NULL", "true", "false"],
+        "bigint": ["NULL", "9223372036854775807L", "-9223372036854775807L - 1L", "0L", "-1L", "3L"], "int": ["NULL", "2147483647", "-2147483647 - 1", "0"],
+        "double": ["NULL", "double('NaN')", "double('Infinity')", "-1.5D", "0D"], "string": ["NULL", "'a'", "'b'", "''"],
+    }
+    kinds = [part.split() for part in schema.split(", ")]
+    lines = []
+    for _ in range(300):
+        key = rng.choice(["'hot'", "'hot'", "'hot'", "'a'", "'b'", "'c'", "NULL"])
+        lines.append(f"({key}, {', '.join(f'CAST({rng.choice(pools[kind])} AS {kind})' for _, kind in kinds)}, '{rng.randrange(3)}')")
+    df = spark.sql(f"SELECT * FROM VALUES {', '.join(lines)} AS v(k, {', '.join(c for c, _ in kinds)}, payload)")
+    whole = df.groupBy("k").agg(F.max(F.struct(*order, "payload")).alias("_r")).select("k", "_r.*")
+    shown = [F.col(c).cast("string") if c not in "td" else F.expr({"t": "unix_micros(t)", "d": "unix_date(d)"}[c]).cast("string") for c in whole.columns]
+    assert sorted(map(repr, ordering.latest(df, ["k"], order).select(*shown).collect())) == sorted(map(repr, whole.select(*shown).collect()))
+
+
+def test_newest_marks_sort_nothing_and_read_no_payload(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 7 AS k", "timestamp_micros(id) AS t", "id AS n", "cast(id as string) AS payload").write.parquet(str(tmp_path / "x"))
+    df = spark.read.parquet(str(tmp_path / "x"))
+    plan = ordering.newest_marks(df, ["k"], ["t", "n"])._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "HashAggregate" in plan and "Sort" not in plan.replace("ShuffleSort", "") and "payload" not in plan
+    assert ordering.newest_marks(df, ["k"], ["payload"]) is None
+    assert [r[3] for r in ordering.latest(df, ["k"], ["t", "n"]).orderBy("k").collect()] == [str(x) for x in (994, 995, 996, 997, 998, 999, 993)]
+    assert ordering.latest(df.where("n < 0"), ["k"], ["t", "n"]).count() == 0
+
+
 # --- orders, text, lineage ------------------------------------------------------------
 
 
