@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries, in the order of the operator inventory.
-MODULES = ("flagship", "quality", "market", "panel", "factor", "evaluation", "modeling", "ledger", "streams")
+MODULES = ("flagship", "quality", "market", "panel", "factor", "evaluation", "candidates", "modeling", "ledger", "streams")
 
 
 def _import_all() -> None:
