@@ -149,9 +149,14 @@ def interval_status(df: DataFrame, periods: DataFrame, by: str, day: str) -> Dat
 
 
 def common_support(df: DataFrame, keys: Sequence[str], member: str, members: int) -> DataFrame:
-    """Rows of keys that carry a value for every one of ``members`` members."""
-    full = df.where(F.col("value").isNotNull()).groupBy(*keys).agg(F.count_distinct(member).alias("_n"))
-    return df.join(full.where(F.col("_n") == members).drop("_n"), list(keys), "left_semi")
+    """Rows of keys that carry a value for every one of ``members`` members.
+
+    One shuffle by key and one read: the members present are a set of at most ``members`` names beside every row of
+    a key. Keys that hold a NULL drop out, as they do in a join.
+    """
+    present = F.collect_set(F.when(F.col("value").isNotNull(), F.col(member))).over(Window.partitionBy(*keys))
+    d = df.dropna(subset=list(keys)).withColumn("_n", F.size(present))
+    return d.where(F.col("_n") == members).drop("_n")
 
 
 def reconcile_positions(ours: DataFrame, theirs: DataFrame, keys: Sequence[str], tolerances: dict[str, float]) -> DataFrame:

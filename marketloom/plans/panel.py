@@ -578,10 +578,11 @@ sup AS (SELECT asset, wk FROM lg GROUP BY 1, 2 HAVING count(*) = 2), cs AS (SELE
 
 
 def two_members(spark, sf):
-    p = factor_panel(spark, sf)
-    a = p.where("f IS NOT NULL").select("asset", "wk", F.lit("mom").alias("member"), F.col("f").alias("value"))
-    b = p.where("volume > 60").select("asset", "wk", F.lit("vol").alias("member"), F.log("volume").alias("value"))
-    return a.unionByName(b)
+    """Two members from one reading of the panel."""
+    cells = F.array(
+        F.struct(F.lit("mom").alias("member"), F.col("f").alias("value")),
+        F.struct(F.lit("vol").alias("member"), F.when(F.col("volume") > 60, F.log("volume")).alias("value")))
+    return factor_panel(spark, sf).select("asset", "wk", F.inline(cells)).where("value IS NOT NULL")
 
 
 def member_weights(spark):

@@ -346,6 +346,16 @@ def test_newest_marks_sort_nothing_and_read_no_payload(spark, tmp_path):
     assert ordering.latest(df.where("n < 0"), ["k"], ["t", "n"]).count() == 0
 
 
+def test_common_support_needs_a_value_of_every_member(spark):
+    data = [("a", 1, "x", 1.0), ("a", 1, "y", 2.0), ("a", 1, "y", 3.0), ("b", 1, "x", 1.0), ("b", 1, "x", 2.0), ("c", 1, "x", 1.0), ("c", 1, "y", None), (None, 1, "x", 1.0), (None, 1, "y", 1.0)]
+    df = spark.createDataFrame(data, "asset string, ts int, member string, value double")
+    got = joins.common_support(df, ["ts", "asset"], "member", 2)
+    assert rows(got) == sorted(data[:3]) and got.columns == df.columns
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert joins.common_support(df.where("ts < 0"), ["ts", "asset"], "member", 2).count() == 0
+
+
 # --- orders, text, lineage ------------------------------------------------------------
 
 
