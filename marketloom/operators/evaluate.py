@@ -114,8 +114,8 @@ def candidate_status(obs: DataFrame, value: str, label: str, cross_session: Colu
         F.count_if(cross_session).alias("crossing"),
         F.count(F.when(F.col(label).isNotNull(), F.col(value))).alias("usable"),
     )
-    slice_ = per_ts.groupBy(ts).agg(F.max("assets").alias("_a"), F.max("labelled").alias("_l"), F.max("crossing").alias("_x"))
-    d = per_ts.join(slice_, ts)
+    slice_ = Window.partitionBy(ts)  # one row a candidate; a join would compute the observations twice
+    d = per_ts.where(F.col(ts).isNotNull()).withColumns({f"_{c[0]}": F.max(c).over(slice_) for c in ("assets", "labelled")} | {"_x": F.max("crossing").over(slice_)})
     status = (
         F.when(F.col("_x") == F.col("_a"), "BOUNDARY")
         .when(F.col("_l") < F.col("_a"), "PARTIAL_LABEL")
