@@ -32,3 +32,13 @@ def test_half_prices_become_the_even_day(agrees):
           AS o(k, d, p) SELECT CAST(k AS BIGINT) AS o_custkey, CAST(d AS TIMESTAMP) AS o_orderdate, CAST(p AS DOUBLE) AS o_totalprice""",
         customer="SELECT CAST(k AS BIGINT) AS c_custkey FROM range(1, 4) AS r(k)",
     )
+
+
+def test_half_balances_become_the_even_day(agrees):
+    """dq23: a balance of 2.5 acts on day 2, the last day of the request, and not on day 3."""
+    agrees(
+        "dq23_price_authority",
+        orders="""SELECT CAST(k AS BIGINT) AS o_orderkey, CAST(1 AS BIGINT) AS o_custkey, DATE '1995-01-03' - to_days(CAST(k AS INTEGER)) AS o_orderdate, '1-URGENT' AS o_orderpriority
+          FROM range(28, 33) AS r(k)""",
+        customer="SELECT CAST(1 AS BIGINT) AS c_custkey, CAST(unnest([-900.0, 2.5, 3.5, 900.0]) AS DOUBLE) AS c_acctbal",
+    )
