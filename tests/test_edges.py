@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 from test_queries import check
@@ -42,3 +44,35 @@ def test_half_balances_become_the_even_day(agrees):
           FROM range(28, 33) AS r(k)""",
         customer="SELECT CAST(1 AS BIGINT) AS c_custkey, CAST(unnest([-900.0, 2.5, 3.5, 900.0]) AS DOUBLE) AS c_acctbal",
     )
+
+
+def zero_correlations(groups, size=25):
+    """Label ranks along the value ranks, of groups whose rank correlation is exactly zero."""
+    rng, out = random.Random(5), []
+    while len(out) < groups:
+        y = rng.sample(range(1, size + 1), size)
+        if 4 * sum((i + 1) * v for i, v in enumerate(y)) == size * (size + 1) ** 2:
+            out.append(y)
+    return out
+
+
+def test_zero_rank_correlation_rounds_as_summed_along_the_labels(spark):
+    """ev13b: the sign of the rounding decides a hit, so it follows the SQL's order in any layout."""
+    from marketloom.operators.evaluate import rank_ic
+
+    groups = zero_correlations(60)
+    want = {}
+    for g, labels in enumerate(groups):
+        n = mx = my = c = 0.0
+        for y, x in sorted((y, x + 1) for x, y in enumerate(labels)):
+            n += 1
+            dx = y - mx
+            mx += dx / n
+            my += (x - my) / n
+            c += dx * (x - my)
+        want[g] = (c > 0) - (c < 0)
+    rows = [(g, float(x), float(y)) for g, labels in enumerate(groups) for x, y in enumerate(labels)]
+    df = spark.createDataFrame(rows, "g long, value double, label double")
+    for layout in (df, df.repartition(7)):
+        got = {r["g"]: (r["rank_ic"] > 0) - (r["rank_ic"] < 0) for r in rank_ic(layout, ["g"], "value", "label").collect()}
+        assert got == want
