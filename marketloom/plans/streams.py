@@ -78,7 +78,7 @@ def projection_query(kind: str, letter: str) -> None:
     def latest_of_kind(spark, sf):
         """One stream keeps the latest states of all kinds; this is one of its tables."""
         lines = union_lines(run.file_stream(spark, sf, "events.parquet", table(spark, sf, "events").schema))
-        good, _ = records.decode_events(lines, "line")
+        good, _ = records.decode_events(lines, "line", positive=False)
         every = run.to_table(so.projections(good), "update", "str04", ["kind", "key"])
         return published(every.where(F.col("kind") == kind).select("key", "sequence", "event_time", "state", "price"), None)
 

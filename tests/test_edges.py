@@ -83,7 +83,7 @@ ZEROS = """SELECT CAST(i AS BIGINT) AS event_id, TIMESTAMP '2024-01-05 10:00:00'
   ['click', 'view', 'purchase', 'error', 'signup'][1 + i % 5] AS event_type, CASE WHEN i % 3 = 0 THEN 0.0 ELSE i / 4.0 END::DOUBLE AS value, '{"k": ' || (i % 90) || '}' AS props FROM range(400) AS r(i)"""
 
 
-@pytest.mark.parametrize("name", ["src19_event_decode", "src19b_event_rejects", "src19c_all_event_kinds"])
+@pytest.mark.parametrize("name", ["src19_event_decode", "src19b_event_rejects", "src19c_all_event_kinds", "str04c_latest_bar"])
 def test_zero_values_are_prices(agrees, name):
     agrees(name, events=ZEROS)
 
