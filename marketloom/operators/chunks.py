@@ -34,7 +34,7 @@ def ranged(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], rang
     return cut_lineage(d.withColumn(CHUNK, F.spark_partition_id()).drop("_spread"), "ranges")
 
 
-def _matches(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+def matches(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """Left join on (``by``, range) in which NULL keys meet; ``right`` holds one row for each."""
     keys = [*by, CHUNK]
     named = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
@@ -57,7 +57,7 @@ def running_total(
     base = sums.select(*by, CHUNK, F.coalesce(F.sum("_s").over(_before(by)), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     d = d.withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return _matches(d, base, by).withColumn(name, F.col("_run") + F.col("_base")).drop(CHUNK, "_run", "_base")
+    return matches(d, base, by).withColumn(name, F.col("_run") + F.col("_base")).drop(CHUNK, "_run", "_base")
 
 
 def numbered(
@@ -68,7 +68,7 @@ def numbered(
     counts = d.groupBy(*by, CHUNK).agg(F.count("*").alias("_c"))
     base = counts.select(*by, CHUNK, F.coalesce(F.sum("_c").over(_before(by)), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
-    d = _matches(d.withColumn("_rn", F.row_number().over(inside)), base, by)
+    d = matches(d.withColumn("_rn", F.row_number().over(inside)), base, by)
     return d.withColumn(name, (F.col("_rn") + F.col("_base")).cast("bigint")).drop(CHUNK, "_rn", "_base")
 
 
@@ -135,7 +135,7 @@ def asof_backward(
     carried = latest.select(*by, CHUNK, F.max("_last").over(_before(by)).alias("_carried"))
     w = Window.partitionBy(*by, CHUNK).orderBy("_ts", "_side", "_pay").rowsBetween(Window.unboundedPreceding, 0)
     hit = both.withColumn("_hit", F.last("_pay", ignorenulls=True).over(w)).where(F.col("_side") == side_l)
-    hit = _matches(hit, carried, by).withColumn("_hit", F.coalesce("_hit", "_carried"))
+    hit = matches(hit, carried, by).withColumn("_hit", F.coalesce("_hit", "_carried"))
     return hit.select(
         *left.columns,
         F.col("_hit._rts").alias("matched_ts"),
@@ -151,5 +151,5 @@ def running_max(
     tops = d.groupBy(*by, CHUNK).agg(F.max(value).alias("_t"))
     base = tops.select(*by, CHUNK, F.max("_t").over(_before(by)).alias("_base"))
     inside = Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = _matches(d.withColumn("_run", F.max(value).over(inside)), base, by)
+    out = matches(d.withColumn("_run", F.max(value).over(inside)), base, by)
     return out.withColumn(name, F.greatest("_run", "_base")).drop(CHUNK, "_run", "_base")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import tails
 from marketloom.functions.numeric import FLAT, average_rank
+from marketloom.operators.chunks import CHUNK, matches, ranged
 
 
 def _over(by: Sequence[str], order: str | None = None):
@@ -100,20 +101,30 @@ def session_bootstrap(df: DataFrame, by: Sequence[str], session: str, value: str
 
 
 def adjust_pvalues(df: DataFrame, family: Sequence[str], key: str, p: str) -> DataFrame:
-    """Bonferroni, Holm and Benjamini-Hochberg per family."""
-    up = Window.partitionBy(*family).orderBy(p, key)
-    m = F.count(p).over(Window.partitionBy(*family))
-    d = df.where(F.col(p).isNotNull()).withColumns({"_r": F.row_number().over(up), "_m": m})
-    run = up.rowsBetween(Window.unboundedPreceding, 0)
-    back = up.rowsBetween(0, Window.unboundedFollowing)
+    """Bonferroni, Holm and Benjamini-Hochberg per family, which may hold more trials than one task should.
+
+    Each range of (family, p, key) has its own row numbers and running extremes, read from either end; one row for
+    each range carries counts and extremes to the others.
+    """
+    part = [*family, CHUNK]
+    d = ranged(df.where(F.col(p).isNotNull()), family, [p, key])
+    every, along = _over(family), _over(family, CHUNK)
+    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), _over(family).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    up, down = _over(part).orderBy(p, key), _over(part).orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = d.groupBy(*part).agg(F.count("*").alias("_c"))
+    sizes = sizes.select(*part, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"), F.sum("_c").over(every).alias("_m"))
+    d = matches(d.withColumn("_r", F.row_number().over(up)), sizes, family).withColumn("_r", F.col("_r") + F.col("_base"))
+    d = d.withColumns({"_holm": (F.col("_m") - F.col("_r") + 1) * F.col(p), "_bh": F.col("_m") * F.col(p) / F.col("_r")})
+    tops = d.groupBy(*part).agg(F.max("_holm").alias("_t"), F.min("_bh").alias("_b"))
+    tops = tops.select(*part, F.max("_t").over(earlier).alias("_top"), F.min("_b").over(later).alias("_bottom"))
+    d = d.withColumns({"_holm": F.max("_holm").over(up.rowsBetween(Window.unboundedPreceding, 0)), "_bh": F.min("_bh").over(down)})
     one = F.lit(1.0)
-    return d.withColumns(
-        {
-            "bonferroni": F.least(one, F.col(p) * F.col("_m")),
-            "holm": F.least(one, F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(run)),
-            "bh": F.least(one, F.min(F.col("_m") * F.col(p) / F.col("_r")).over(back)),
-        }
-    ).drop("_r", "_m")
+    return matches(d, tops, family).select(
+        *df.columns,
+        F.least(one, F.col(p) * F.col("_m")).alias("bonferroni"),
+        F.least(one, F.greatest("_holm", "_top")).alias("holm"),
+        F.least(one, "_bh", "_bottom").alias("bh"),
+    )
 
 
 def one_sided_mean(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

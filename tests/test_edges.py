@@ -97,3 +97,26 @@ def test_prices_must_be_positive_unless_told_otherwise(spark):
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     assert [sorted(r["codes"][0] for r in decode_events(df, "line", p)[1].collect()) for p in (True, False)] == [
         ["BAR_INVALID", "BAR_INVALID", "TRADE_PRICE_INVALID"], ["BAR_INVALID"]]
+
+
+def test_pvalues_of_a_large_family_are_adjusted_in_linear_time(spark):
+    """ev20: against a direct computation, with equal values, missing ones and a family without a name; no window looks ahead without end."""
+    from marketloom.operators import stats
+
+    rng = random.Random(3)
+    rows = [(f, k, None if k % 50 == 7 else round(rng.random() ** 3, 3)) for f in ("a", None) for k in range(700)]
+    got = stats.adjust_pvalues(spark.createDataFrame(rows, "f string, k long, p double"), ["f"], "k", "p")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing$()" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "")
+    seen = {(r["f"], r["k"]): (r["bonferroni"], r["holm"], r["bh"]) for r in got.collect()}
+    assert len(seen) == sum(p is not None for *_, p in rows)
+    for f in ("a", None):
+        own = sorted((p, k) for g, k, p in rows if g == f and p is not None)
+        m, holm, bh = len(own), 0.0, 1.0
+        low = {}
+        for r in range(m, 0, -1):
+            bh = min(bh, m * own[r - 1][0] / r)
+            low[r] = bh
+        for r, (p, k) in enumerate(own, 1):
+            holm = max(holm, (m - r + 1) * p)
+            assert seen[f, k] == pytest.approx((min(1, p * m), min(1, holm), low[r]), rel=1e-12)
