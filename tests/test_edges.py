@@ -120,3 +120,15 @@ def test_pvalues_of_a_large_family_are_adjusted_in_linear_time(spark):
         for r, (p, k) in enumerate(own, 1):
             holm = max(holm, (m - r + 1) * p)
             assert seen[f, k] == pytest.approx((min(1, p * m), min(1, holm), low[r]), rel=1e-12)
+
+
+@pytest.mark.parametrize("gathered", [0, 3, 10_000])
+def test_duplicate_groups_of_any_size_and_key(spark, gathered):
+    """dq06: small and large keys agree, and a key that is NULL has variants too."""
+    from marketloom.operators.quality import duplicate_groups
+
+    nan = float("nan")
+    rows = [("a", 0.0, "x"), ("a", -0.0, "x"), ("b", nan, "x"), ("b", nan, None), ("c", 1.0, "x"), (None, 1.0, "x"), (None, 2.0, "x"), *[("d", float(i % 4), str(i % 3)) for i in range(12)]]
+    got = duplicate_groups(spark.createDataFrame(rows, "k string, v double, w string"), ["k"], ["v", "w"], gathered=gathered)
+    assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {
+        "a": (2, 1, 1, False), "b": (2, 1, 2, True), None: (2, 2, 1, True), "d": (12, 4, 3, True)}
