@@ -132,20 +132,25 @@ def listing_eligibility(requests: DataFrame, master: DataFrame, placeholder: str
     ).drop("_m", "list_date", "delist_date")
 
 
-def interval_status(df: DataFrame, periods: DataFrame, by: str, day: str) -> DataFrame:
+def interval_status(df: DataFrame, periods: DataFrame, by: str, day: str, partitions: int | None = None, year: str | None = None) -> DataFrame:
     """Rows with the statuses whose [start_date, end_date] covers the day; open ends allowed.
 
     Both sides are bucketed by year, so the equi-join key includes the year. Periods spread over
     the years that the days really span, which a one-row side brings, so no end date is assumed.
+    Only periods of keys that have days are spread. ``partitions`` sets into how many parts both sides go by key
+    and year, and ``year`` keeps the year under that name, so that a grouping by it needs no other shuffle.
     """
     span = df.agg(F.year(F.min(day)).alias("_low"), F.year(F.max(day)).alias("_high"))
     first = F.greatest(F.year("start_date"), F.col("_low"))
     last = F.least(F.coalesce(F.year("end_date"), F.col("_high")), F.col("_high"))
-    known = periods.crossJoin(span).where(first <= last)
+    known = periods.join(df.select(by).distinct(), by, "left_semi").crossJoin(span).where(first <= last)
     spread = known.withColumn("_y", F.explode(F.sequence(first, last))).drop("_low", "_high")
-    j = df.withColumn("_y", F.year(day)).join(spread, [by, "_y"])
+    rows = df.withColumn("_y", F.year(day))
+    if partitions:
+        rows, spread = rows.repartition(partitions, by, "_y"), spread.repartition(partitions, by, "_y")
+    j = rows.join(spread, [by, "_y"])
     inside = (F.col(day) >= F.col("start_date")) & (F.col("end_date").isNull() | (F.col(day) <= F.col("end_date")))
-    return j.where(inside).drop("_y")
+    return j.where(inside).withColumnRenamed("_y", year) if year else j.where(inside).drop("_y")
 
 
 def common_support(df: DataFrame, keys: Sequence[str], member: str, members: int) -> DataFrame:

@@ -122,6 +122,19 @@ def test_pvalues_of_a_large_family_are_adjusted_in_linear_time(spark):
             assert seen[f, k] == pytest.approx((min(1, p * m), min(1, holm), low[r]), rel=1e-12)
 
 
+def test_only_periods_of_keys_with_days_are_spread_over_years(spark):
+    """join11: the rows stay the same, and the filter comes before the years."""
+    from marketloom.operators.joins import interval_status
+
+    days = spark.sql("SELECT * FROM VALUES (1, DATE'2020-05-01'), (1, DATE'2022-05-01'), (CAST(NULL AS INT), DATE'2021-01-01') AS t(k, day)")
+    periods = spark.sql("""SELECT * FROM VALUES (1, DATE'2019-01-01', DATE'2020-06-01', 'a'), (1, DATE'2021-01-01', NULL, 'b'), (2, DATE'2019-01-01', NULL, 'c'),
+      (CAST(NULL AS INT), DATE'2019-01-01', NULL, 'd') AS t(k, start_date, end_date, status)""")
+    got = interval_status(days, periods, "k", "day")
+    assert sorted((str(r["day"]), r["status"]) for r in got.collect()) == [("2020-05-01", "a"), ("2022-05-01", "b")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("LeftSemi")
+
+
 @pytest.mark.parametrize("gathered", [0, 3, 10_000])
 def test_duplicate_groups_of_any_size_and_key(spark, gathered):
     """dq06: small and large keys agree, and a key that is NULL has variants too."""
